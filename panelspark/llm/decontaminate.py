@@ -66,12 +66,12 @@ def blocks(fp: str, radius: int) -> Column:
 def items_of(benchmark: DataFrame, width: int) -> DataFrame:
     """``(iid, item_id, width, sh, terms, total, fp)`` of each item with words."""
     base = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
-    base = base.withColumn("iid", F.xxhash64("item_id", F.array_join("w", " "))).withColumn("width", F.least(F.size("w"), F.lit(width)))
-    long = with_shingles(base.where(F.size("w") >= width), width)
-    short = base.where(F.size("w") < width)
-    # one shingle of all words: the same chained hash as width columns give
-    for n in range(1, width):
-        long = long.unionByName(with_shingles(short.where(F.size("w") == n), n))
+    base = cut(base.withColumn("iid", F.xxhash64("item_id", F.array_join("w", " "))).withColumn("width", F.least(F.size("w"), F.lit(width))))
+    long = with_shingles(base.where(F.col("width") == width), width)
+    # an item of fewer words is one shingle of all of them
+    for n in sorted(r[0] for r in base.where(F.col("width") < width).select("width").distinct().collect()):
+        long = long.unionByName(with_shingles(base.where(F.col("width") == n), n))
+    long = cut(long)
     n_items = F.lit(float(max(1, base.count())))
     tf = long.select("iid", F.explode("sh").alias("h")).groupBy("iid", "h").agg(F.count("*").alias("tf"))
     df = tf.groupBy("h").agg(F.count("*").alias("df"))
@@ -101,7 +101,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simi
         # an upper bound first: what the whole document holds of an item
         seeds = (
             with_shingles(rows.select("doc_id", "th", words(F.col("text")).alias("w")), n)
-            .select("doc_id", "th", F.explode("sh").alias("h"))
+            # explode() would filter on the array first and compute it within that filter again
+            .select("doc_id", "th", F.explode_outer("sh").alias("h"))
             .join(small(terms.where(F.col("width") == n), n_terms), "h")
             .groupBy("doc_id", "th", "iid", "total", "h", "tf", "wt")
             .agg(F.count("*").alias("held"))
