@@ -11,6 +11,7 @@ from panelspark.llm import (
     secret_scan,
     simhash_dedup,
     sp_sampling,
+    suffix_dedup,
     url_filter,
 )
 
@@ -19,6 +20,7 @@ def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1,
         "op2_url_filters": url_filter.op2,
+        "op3_suffix_array_dedup": suffix_dedup.op3,
         "op4_sentencepiece_sampling": sp_sampling.op4,
         "op5_sharding": resharding.op5,
         "op6_secret_scans": secret_scan.op6,
