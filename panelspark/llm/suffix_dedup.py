@@ -31,7 +31,7 @@ REACH = LENGTH - GRAM  # how far before its anchor a string may start
 #: Anchors with more rows than this are dealt by the bytes beside them as well.
 BIG = 2_000
 #: Bytes that a task sorts at once; a larger bucket is sorted alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 NO_ID = -(1 << 63)
 _TABLE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -96,26 +96,30 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
         rank_in = inverse.astype(np.int64) + 1
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = rank_in
-    rest = np.arange(0, n, 3)
-    one = one[one < n]
-    wide = len(sample) + 2
+    # sampled suffixes in order; the stop triple, if there is one, is the least
+    by_rank = np.empty(len(sample), np.int64)
+    by_rank[rank_in - 1] = sample
+    by_rank = by_rank[by_rank < n]
+    among = np.arange(len(by_rank))
+    is_one = by_rank % 3 == 1
+    one, two = by_rank[is_one], by_rank[~is_one]
+    # the rest, in order: by first symbol, then by the rank of what follows it
+    rest = one - 1
+    if n % 3 == 1:
+        rest = np.concatenate([[n - 1], rest])
+    first = p[rest]
+    rest = rest[np.argsort(first.astype(np.uint16) if base < 65536 else first, kind="stable")]
+    wide, base = len(sample) + 2, int(p.max()) + 1
+    if base * base * wide >= 1 << 62:
+        _, p = np.unique(p, return_inverse=True)
+        base = int(p.max()) + 1
     by_one = lambda i: p[i] * wide + rank[i + 1]
-    # a pair of symbols and a rank may not fit 64 bits: symbols become dense pairs first
-    _, pair = np.unique(p[:-2] * np.int64(int(p.max()) + 1) + p[1:-1], return_inverse=True)
-    by_two = lambda i: pair[i] * np.int64(wide) + rank[i + 2]
-    rest_key, one_key = by_one(rest), by_one(one)
-    place = np.empty(n, np.int64)
-    rest_order = np.argsort(rest_key, kind="stable")
-    rest_rank = np.empty(len(rest), np.int64)
-    rest_rank[rest_order] = np.arange(len(rest))
-    one_sorted, two_sorted = np.sort(one_key), np.sort(by_two(two))
-    place[rest] = rest_rank + np.searchsorted(one_sorted, rest_key) + np.searchsorted(two_sorted, by_two(rest))
-    rest_two = np.sort(by_two(rest))
-    among = np.argsort(np.argsort(rank[np.concatenate([one, two])]))
-    place[one] = among[: len(one)] + np.searchsorted(rest_key[rest_order], one_key)
-    place[two] = among[len(one) :] + np.searchsorted(rest_two, by_two(two))
+    by_two = lambda i: (p[i] * base + p[i + 1]) * wide + rank[i + 2]
+    rest_one, rest_two, key_one, key_two = by_one(rest), by_two(rest), by_one(one), by_two(two)
     out = np.empty(n, np.int64)
-    out[place] = np.arange(n)
+    out[np.arange(len(rest)) + np.searchsorted(key_one, rest_one) + np.searchsorted(key_two, rest_two)] = rest
+    out[among[is_one] + np.searchsorted(rest_one, key_one)] = one
+    out[among[~is_one] + np.searchsorted(rest_two, key_two)] = two
     return out
 
 
@@ -265,9 +269,11 @@ def repeats_at(texts: list[bytes], doc: np.ndarray, start: np.ndarray) -> np.nda
         return np.zeros(0, np.int64)
     a, b = order[:-1], order[1:]
     same = np.arange(len(a))
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([(data - 1).astype(np.uint8), np.zeros(8, np.uint8)]), 8)
+    words = (data - 1).astype(np.uint64)
+    for n in (1, 2, 4):  # eight bytes from every place on
+        words = words[:-n] << np.uint64(8 * n) | words[n:]
     for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
-        same = same[(words[a[same] + k] == words[b[same] + k]).all(axis=1)]
+        same = same[words[a[same] + k] == words[b[same] + k]]
     joined = np.zeros(len(order), bool)
     joined[same + 1] = True
     group = np.cumsum(~joined) - 1
@@ -290,10 +296,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     marks = found.where("not dup").groupBy("did", "th").agg(F.collect_set(F.struct("key", "at", "big")).alias("marks"))
     did, text = _text_key()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did, text).withColumn("th", F.xxhash64("text"))
-    pairs = rows.select("did", "th", "text").join(marks, ["did", "th"]).select("did", "th", "text", "marks")
+    # both joins deal the texts alike, so that one shuffle serves the two
+    pairs = rows.join(marks, ["did", "th"]).select("did", "th", "text", "marks", "doc_id")
     sorted_spans = sort_contexts(_contexts(pairs))
     copies = found.where("dup").select("did", "th", F.greatest(F.col("at") - REACH, F.lit(0)).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    spans = cut(copies.union(sorted_spans)).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = copies.union(sorted_spans).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches):
         for b in batches:
