@@ -17,9 +17,8 @@ place, so results do not depend on how rows are dealt.
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
-from heapq import heappop, heappush, nsmallest
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +30,23 @@ from panelspark.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 17
 SPACE, ODD = "▁", "﷐"
-#: Text held at once while sampling, and lattice nodes cached, by a task.
-CHUNK_CHARS, CACHE_NODES = 1_000_000, 2_000_000
+#: Characters of text that a task samples at once; a longer text is sampled alone.
+CHUNK_CHARS = 1_500_000
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def uniform(*keys) -> np.ndarray:
-    """Numbers in (0, 1) from integer keys, the same wherever they are drawn."""
+def mix(x) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = np.uint64(SEED)
-        for k in keys:
-            x = (x ^ np.asarray(k).astype(np.uint64)) * M3 + M3
-            x = (x ^ (x >> np.uint64(30))) * M1
-            x = (x ^ (x >> np.uint64(27))) * M2
-            x = x ^ (x >> np.uint64(31))
+        x = np.asarray(x).astype(np.uint64) * M3 + np.uint64(SEED)
+        x = (x ^ (x >> np.uint64(30))) * M1
+        x = (x ^ (x >> np.uint64(27))) * M2
+        return x ^ (x >> np.uint64(31))
+
+
+def uniform(base, place, what) -> np.ndarray:
+    """Numbers in (0, 1) from a mixed row key, a place and a purpose: the same wherever drawn."""
+    with np.errstate(over="ignore"):
+        x = mix(base + np.asarray(place).astype(np.uint64) * M1 + np.uint64(what) * M2)
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -76,34 +78,104 @@ class Vocabulary:
                 self.pieces[name] = (i, -sharpness * math.log(len(self.pieces) + 2))
                 self.bytes[i] = name.replace(SPACE, " ").encode()
         self.byte_weight = -sharpness * math.log(n + 2)
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-        cut_lines = not any("\n" in p for p in self.pieces)
-        self.units = re.compile(r" +[^ \n]*|[^ \n]+|\n" if cut_lines else r" +[^ ]*")
+        self._trie()
         sizes = np.array([len(b) for b in self.bytes])
         self.flat, self.size, self.first = np.frombuffer(b"".join(self.bytes), np.uint8), sizes, np.cumsum(sizes) - sizes
 
-    def lattice(self, unit: str) -> list[list[tuple[float, int, tuple[int, ...]]]]:
-        """For each position its arcs ``(log probability, next position, ids)``."""
-        key = unit.replace(SPACE, ODD).replace(" ", SPACE)
-        n, pieces, starts = len(key), self.pieces, self.starts
-        mass, out = [0.0] * (n + 1), [None] * n
-        for i in range(n - 1, -1, -1):
-            arcs = []
-            for j in range(i + 1, n + 1):
-                s = key[i:j]
-                if s not in starts:
-                    break
-                if s in pieces:
-                    p = pieces[s]
-                    arcs.append((p[1] + mass[j], j, (p[0],)))
-            if key[i] not in pieces:
-                ids = tuple(self.byte_id[b] for b in unit[i].encode("utf-8", "surrogatepass"))
-                arcs.append((self.byte_weight * len(ids) + mass[i + 1], i + 1, ids))
-            top = max(arcs)[0]
-            mass[i] = total = top + math.log(sum([math.exp(a[0] - top) for a in arcs]))
-            out[i] = [(a - total, j, ids) for a, j, ids in arcs]
+    def _trie(self) -> None:
+        """Sorted (state, character) keys of the prefix tree, and what each state spells."""
+        chars = sorted({c for p in self.pieces for c in p})
+        self.char = np.zeros(0x110000, np.int16)  # 0: in no piece
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        state, edges, spells = {"": 0}, [], [(-1, 0.0)]
+        for p in sorted(self.pieces):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in state:
+                    state[p[:k]] = len(state)
+                    edges.append((state[p[: k - 1]] << 13 | int(self.char[ord(p[k - 1])]), state[p[:k]]))
+                    spells.append(self.pieces.get(p[:k], (-1, 0.0)))
+        # pairs of characters that stand side by side in some piece
+        self.pair = np.zeros((len(chars) + 1,) * 2, bool)
+        for p in self.pieces:
+            for a, b in zip(p, p[1:]):
+                self.pair[self.char[ord(a)], self.char[ord(b)]] = True
+        # a table with open addressing, four slots an edge
+        self.bits = max(4, int(np.ceil(np.log2(len(edges) * 4 + 1))))
+        self.edge, self.to = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        for e, t in edges:
+            h = int(self._slot(np.array([e]))[0])
+            while self.edge[h] >= 0:
+                h = (h + 1) % len(self.edge)
+            self.edge[h], self.to[h] = e, t
+        self.piece, self.weight = np.array([i for i, _ in spells]), np.array([w for _, w in spells])
+
+    def codes(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.replace(SPACE, ODD).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def units(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """The texts, a space before each, cut wherever no piece can span.
+
+        No piece holds the two characters at a cut side by side, so every
+        segmentation has a boundary there and the parts are independent.
+        Returns the joined text, where units start, and how many each text has.
+        """
+        whole = "".join([" " + t if t else "" for t in texts])
+        c = self.char[self.codes(whole)]
+        size = np.array([len(t) + 1 if t else 0 for t in texts])
+        begin = np.cumsum(size) - size
+        cut = np.ones(len(c), bool)
+        cut[1:] = ~self.pair[c[:-1], c[1:]]
+        cut[begin[size > 0]] = True
+        at = np.flatnonzero(cut)
+        return whole, at, np.searchsorted(at, begin + size) - np.searchsorted(at, begin)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * M3) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states of the prefix tree, -1 where there is none."""
+        key = state << 13 | c
+        h = self._slot(key)
+        seen = self.edge[h]
+        out = np.where(seen == key, self.to[h], -1)
+        on = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(on):
+            h[on] = (h[on] + 1) % len(self.edge)
+            seen = self.edge[h[on]]
+            hit = seen == key[on]
+            out[on[hit]] = self.to[h[on[hit]]]
+            on = on[~hit & (seen >= 0)]
         return out
 
+    def arcs(self, text: str, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Arcs ``(from, length, id, weight)`` over ``text``, by from; id -1 is a byte arc.
+
+        ``left`` says how many characters of its unit each position has left.
+        """
+        code = self.codes(text)
+        c = self.char[code].astype(np.int64)
+        at, state, size = np.arange(len(c)), np.zeros(len(c), np.int64), 1
+        out: tuple[list, ...] = ([], [], [], [])
+        known = np.zeros(len(c), bool)
+        while len(at):
+            state = self.step(state, c[at + size - 1])
+            ok = state >= 0
+            at, state = at[ok], state[ok]
+            hit = self.piece[state] >= 0
+            for o, v in zip(out, (at[hit], np.full(int(hit.sum()), size), self.piece[state[hit]], self.weight[state[hit]])):
+                o.append(v)
+            if size == 1:
+                known[at[hit]] = True
+            ok = left[at] > size
+            at, state, size = at[ok], state[ok], size + 1
+        lone = np.flatnonzero(~known)
+        n_bytes = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
+        for o, v in zip(out, (lone, np.ones(len(lone), int), np.full(len(lone), -1), self.byte_weight * n_bytes)):
+            o.append(v)
+        start, size, piece, weight = map(np.concatenate, out)
+        order = np.argsort(start, kind="stable")
+        return start[order], size[order], piece[order], weight[order]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of piece ids as UTF-8; the leading space that encoding adds is dropped."""
         size = self.size[ids]
@@ -112,62 +184,84 @@ class Vocabulary:
         return self.flat[at].tobytes()[1:]
 
 
+def distinct(code: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First occurrences of the distinct units, and each unit's number among them.
+
+    Units are told apart by hash and compared with their first occurrence.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(code)) - np.repeat(at, size)
+    with np.errstate(over="ignore"):
+        key = mix(np.add.reduceat(mix(code) * mix(place.astype(np.uint64)), at) + size.astype(np.uint64))
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    like = first[number]
+    same = (size == size[like]).all() and (code == code[np.repeat(at[like], size) + place]).all()
+    if not same:  # two units share a hash
+        text = [code[a : a + n].tobytes() for a, n in zip(at.tolist(), size.tolist())]
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(t, len(seen)) for t in text])
+        first = np.unique(number, return_index=True)[1]
+    return first, number
+
+
 class Tables:
-    """Lattices of the units seen so far, side by side in flat arrays."""
+    """Lattices of distinct units, side by side in flat arrays."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, whole: str, at: np.ndarray):
         self.vocab = vocab
-        self.clear()
-
-    def clear(self) -> None:
-        self.base, self.nodes = {}, 0
-        self.new: list = []
-        self.key, self.lp = np.zeros(0), np.zeros(0)
-        self.next, self.node, self.id_first, self.ids = (np.zeros(0, np.int64) for _ in range(4))
-
-    def numbers(self, units: list[str]) -> np.ndarray:
-        """First node of each unit; unknown units are compiled."""
-        if self.nodes > CACHE_NODES:
-            self.clear()
-        base = self.base
-        for u in set(units).difference(base):
-            lattice = self.vocab.lattice(u)
-            base[u] = self.nodes
-            for i, arcs in enumerate(lattice):
-                self.new.append((self.nodes + i, self.nodes, len(lattice), arcs))
-            self.nodes += len(lattice)
-        self._flush()
-        return np.fromiter(map(base.__getitem__, units), dtype=np.int64, count=len(units))
-
-    def _flush(self) -> None:
-        if not self.new:
-            return
-        key, lp, nxt, node, first, ids = [], [], [], [], [], []
-        count = len(self.ids)
-        for at, start, n, arcs in self.new:
-            total = 0.0
-            for a, j, x in arcs:
-                total += math.exp(a)
-                key.append(at + total)
-                lp.append(min(a, 0.0))
-                nxt.append(start + j if j < n else -1)
-                node.append(at)
-                first.append(count)
-                ids.extend(x)
-                count += len(x)
-            key[-1] = at + 1.0
-        grow = lambda a, b: np.concatenate([a, np.array(b, dtype=a.dtype)])
-        self.key, self.lp, self.next, self.node = grow(self.key, key), grow(self.lp, lp), grow(self.next, nxt), grow(self.node, node)
-        self.id_first, self.ids, self.new = grow(self.id_first, first), grow(self.ids, ids), []
-
-    def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        spans = np.diff(np.append(at, len(code)))
+        first, self.units = distinct(code, at, spans)
+        size = spans[first]
+        ends = np.cumsum(size)
+        take = np.repeat(at[first] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        text = code[take].tobytes().decode("utf-32-le", "surrogatepass")
+        left = np.repeat(ends, size) - np.arange(len(text))
+        start, length, piece, weight = vocab.arcs(text, left)
+        first = np.searchsorted(start, np.arange(len(text) + 1))
+        mass, value = np.zeros(len(text) + 1), np.zeros(len(start))
+        # positions with the same number of characters left are independent: last ones first
+        order = np.argsort(left, kind="stable")
+        cuts = np.flatnonzero(np.diff(left[order])) + 1
+        ending = length == left[start]
+        for nodes in np.split(order, cuts) if len(order) else ():
+            count = first[nodes + 1] - first[nodes]
+            begin = np.cumsum(count) - count
+            a = np.repeat(first[nodes] - begin, count) + np.arange(int(count.sum()))
+            v = weight[a] + np.where(ending[a], 0.0, mass[start[a] + length[a]])
+            top = np.maximum.reduceat(v, begin)
+            mass[nodes] = total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), begin))
+            value[a] = np.minimum(v - np.repeat(total, count), 0.0)
+        self.lp, self.node = value, start
+        total = np.cumsum(np.exp(value))
+        before = np.where(first[:-1] > 0, total[first[:-1] - 1], 0.0)
+        self.key = start + np.minimum(total - before[start], 1.0)
+        self.key[first[1:] - 1] = np.arange(len(text)) + 1.0
+        self.next = np.where(ending, -1, start + length)
+        self.first, self.base = first, (ends - size)
+        lone = np.flatnonzero(piece < 0)
+        spelled = [[vocab.byte_id[b] for b in text[i].encode("utf-8", "surrogatepass")] for i in start[lone].tolist()]
+        count = np.ones(len(piece), np.int64)
+        count[lone] = [len(x) for x in spelled]
+        self.id_end = np.cumsum(count)
+        self.ids = np.repeat(piece, count)
+        self.ids[self.ids < 0] = [i for x in spelled for i in x]
+
+    def starts(self) -> np.ndarray:
+        """First node of each unit given."""
+        return self.base[self.units] if len(self.units) else np.zeros(0, np.int64)
+
+    def walk(self, node: np.ndarray, base: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw arcs from each start node to its unit's end: ``(start number, arc)`` in order."""
         who, arcs, row, step = [], [], np.arange(len(node)), 0
         while len(row):
-            u = uniform(seed[row], turn[row], place[row], step)
-            arc = np.minimum(np.searchsorted(self.key, node[row] + u, side="right"), len(self.key) - 1)
-            # rounding may step over a node's end
-            arc = np.where(self.node[arc] > node[row], arc - 1, arc)
+            u = uniform(base[row], place[row], step)
+            arc, u = self.first[node[row]], u + node[row]
+            on = np.flatnonzero((self.key[arc] <= u) & (arc + 1 < self.first[node[row] + 1]))
+            while len(on):
+                arc[on] += 1
+                on = on[(self.key[arc[on]] <= u[on]) & (arc[on] + 1 < self.first[node[row[on]] + 1])]
             who.append(row)
             arcs.append(arc)
             node = node.copy() if step == 0 else node
@@ -181,15 +275,13 @@ class Tables:
         return who[order], arcs[order]
 
     def arcs_at(self, node: int) -> np.ndarray:
-        a = int(np.searchsorted(self.node, node))
-        b = int(np.searchsorted(self.node, node, side="right"))
-        return np.arange(a, b)
+        return np.arange(self.first[node], self.first[node + 1])
 
     def pieces(self, arcs: np.ndarray) -> np.ndarray:
-        end = np.append(self.id_first, len(self.ids))
-        size = end[arcs + 1] - self.id_first[arcs]
+        end = self.id_end[arcs]
+        size = end - np.where(arcs > 0, self.id_end[arcs - 1], 0)
         at = np.cumsum(size)
-        return self.ids[np.repeat(self.id_first[arcs] - (at - size), size) + np.arange(at[-1] if len(at) else 0)]
+        return self.ids[np.repeat(end - at, size) + np.arange(at[-1] if len(at) else 0)]
 
 
 def log_inclusion(lp: float, arrival: float) -> float:
@@ -200,79 +292,102 @@ def log_inclusion(lp: float, arrival: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
-def _regions(tables: Tables, path, before: float, arrival: float, seed: int, turn: int, k: int, skip: int):
-    """The k earliest regions off ``path`` from its token ``skip`` on."""
-    lp = tables.lp[path[skip:]]
-    prefix = before + np.cumsum(lp) - lp
+#: Purposes of random numbers beside the steps of walks.
+ROOT, SPLIT, PICK, AGAIN = (1 << 40) + np.arange(4)
+
+
+def _regions(lp, before, arrival, base, skip, ends, k: int):
+    """The k earliest regions off each of several paths laid end to end.
+
+    ``lp`` holds the paths' log probabilities from their token ``skip`` on,
+    ``ends`` where each path ends; ``before``, ``arrival`` and ``base`` are its
+    prefix mass, time and mixed key. Per path: ``(time, token, prefix mass)``.
+    """
+    begin = np.concatenate([[0], ends[:-1]])
+    path = np.repeat(np.arange(len(ends)), ends - begin)
+    total = np.cumsum(lp)
+    prefix = total - lp + (before - np.where(begin > 0, total[begin - 1], 0.0) if len(lp) else 0.0)[path]
+    token = np.arange(len(lp)) - begin[path] + skip[path]
     with np.errstate(divide="ignore", over="ignore"):
         mass = prefix + np.log(-np.expm1(lp))
-        wait = -np.log(uniform(seed, turn, np.arange(skip, skip + len(lp)), 1 << 40))
-        times = arrival + wait * np.exp(-mass)
-    best = np.argpartition(times, k - 1)[:k] if len(times) > k else np.arange(len(times))
-    return [(float(times[i]), turn, int(skip + i), float(prefix[i])) for i in best if np.isfinite(times[i])]
-
-
-def sample(texts: list[str], seeds: np.ndarray, tables: Tables, k: int):
-    """For each text its samples ``(log prob, arrival, log inclusion, arcs)``, best first."""
-    find = tables.vocab.units.findall
-    units = [find(" " + t) if t else [] for t in texts]
-    sizes = np.array([len(u) for u in units])
-    node = tables.numbers([u for doc in units for u in doc])
-    doc = np.repeat(np.arange(len(texts)), sizes)
+        times = arrival[path] - np.log(uniform(base[path], token, SPLIT)) * np.exp(-mass)
+    out = []
+    for a, b in zip(begin.tolist(), ends.tolist()):
+        t = times[a:b]
+        best = a + (np.argpartition(t, k - 1)[:k] if b - a > k else np.arange(b - a))
+        out.append([(float(times[i]), int(token[i]), float(prefix[i])) for i in best if times[i] < math.inf])
+    return out
+
+
+def sample(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int):
+    """For each text its samples ``(log prob, arrival, log inclusion, pieces)``, best first."""
+    n = len(texts)
+    whole, at, sizes = vocab.units(texts)
+    tables = Tables(vocab, whole, at)
+    node = tables.starts()
+    doc = np.repeat(np.arange(n), sizes)
     first_unit = np.cumsum(sizes) - sizes
-    place = np.arange(len(node)) - first_unit[doc]
-    who, arcs = tables.walk(node, seeds[doc], place, np.zeros(len(node), np.int64))
-    ends = np.searchsorted(doc[who], np.arange(len(texts) + 1)) if len(who) else np.zeros(len(texts) + 1, np.int64)
-    state = []
-    for d in range(len(texts)):
-        path, unit = arcs[ends[d] : ends[d + 1]], who[ends[d] : ends[d + 1]] - first_unit[d]
-        arrival = float(-np.log(uniform(seeds[d], 0, 0, 1 << 41)))
-        heap: list = []
-        for r in _regions(tables, path, 0.0, arrival, seeds[d], 0, k, 0):
-            heappush(heap, r + ((int(path[r[2]]),),))
-        state.append(([(float(tables.lp[path].sum()), arrival, path, unit)], heap))
+    base = mix(seeds)
+    who, arcs = tables.walk(node, base[doc], np.arange(len(node)) - first_unit[doc])
+    ends = np.searchsorted(doc[who], np.arange(n), side="right")
+    arrival = -np.log(uniform(base, 0, ROOT))
+    found = _regions(tables.lp[arcs], np.zeros(n), arrival, base, np.zeros(n, np.int64), ends, k)
+    done: list[list] = []
+    heaps: list[list] = []
+    for d, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+        path = arcs[a:b]
+        done.append([(float(tables.lp[path].sum()), float(arrival[d]), path, who[a:b] - first_unit[d])])
+        heaps.append(sorted((t, 0, at, prefix, (int(path[at]),)) for t, at, prefix in found[d]))
     for turn in range(1, k):
-        starts, s_seed, s_place, s_turn, plan = [], [], [], [], []
-        for d, (done, heap) in enumerate(state):
-            if not heap or len(done) < turn:
+        turned = mix(seeds ^ np.uint64(turn << 56))
+        starts, owner, places, plan = [], [], [], []
+        for d, heap in enumerate(heaps):
+            if not heap:
                 continue
             time, source, at, prefix, out = heappop(heap)
-            _, _, path, unit = done[source]
-            options = np.setdiff1d(tables.arcs_at(int(tables.node[path[at]])), out)
-            weight = np.exp(tables.lp[options])
-            pick = int(options[min(int(np.searchsorted(np.cumsum(weight), uniform(seeds[d], turn, at, 1 << 42) * weight.sum(), side="right")), len(options) - 1)])
+            _, _, path, unit = done[d][source]
+            options = [o for o in tables.arcs_at(int(tables.node[path[at]])).tolist() if o not in out]
+            weight = np.cumsum(np.exp(tables.lp[options]))
+            pick = options[min(int(np.searchsorted(weight, uniform(turned[d], at, PICK) * weight[-1], side="right")), len(options) - 1)]
             left = [o for o in options if o != pick]
             if left:
                 mass = prefix + math.log(np.exp(tables.lp[left]).sum())
-                wait = float(-np.log(uniform(seeds[d], turn, at, 1 << 43)))
-                again = time + (wait * math.exp(-mass) if mass > -700 else math.inf)
-                if math.isfinite(again):
+                again = time - float(np.log(uniform(turned[d], at, AGAIN))) * math.exp(-mass) if mass > -700 else math.inf
+                if again < math.inf:
                     heappush(heap, (again, source, at, prefix, out + (pick,)))
-            rest = np.arange(unit[at] + 1, sizes[d])
             inner = [int(tables.next[pick])] if tables.next[pick] >= 0 else []
-            starts.append(np.concatenate([np.array(inner, np.int64), node[first_unit[d] + rest]]))
-            s_place.append(np.concatenate([np.full(len(inner), unit[at]), rest]))
-            s_seed.append(np.full(len(starts[-1]), seeds[d], np.uint64))
-            s_turn.append(np.full(len(starts[-1]), turn))
-            plan.append((d, time, source, at, prefix, pick))
+            u = int(unit[at])
+            starts.append(np.concatenate([np.array(inner, np.int64), node[first_unit[d] + u + 1 : first_unit[d] + sizes[d]]]))
+            places.append(np.arange(u + 1 - len(inner), sizes[d]))
+            owner.append(d)
+            plan.append((time, source, at, prefix + float(tables.lp[pick]), pick))
         if not plan:
             break
+        owner, place = np.array(owner), np.concatenate(places)
         offset = np.cumsum([0, *map(len, starts)])
-        places = np.concatenate(s_place)
-        who, arcs = tables.walk(np.concatenate(starts), np.concatenate(s_seed), places, np.concatenate(s_turn))
-        cutat = np.searchsorted(who, offset)
-        for p, (d, time, source, at, prefix, pick) in enumerate(plan):
-            done, heap = state[d]
-            mine = slice(cutat[p], cutat[p + 1])
-            path = np.concatenate([done[source][2][:at], [pick], arcs[mine]]).astype(np.int64)
-            unit = np.concatenate([done[source][3][: at + 1], places[who[mine]]]).astype(np.int64)
-            for r in _regions(tables, path, prefix + float(tables.lp[pick]), time, seeds[d], turn, k - turn, at + 1):
-                heappush(heap, r + ((int(path[r[2]]),),))
-            done.append((float(tables.lp[path].sum()), time, path, unit))
-    result = []
-    for done, heap in state:
-        limit = nsmallest(1, heap)[0][0] if heap else math.inf
-        result.append([(lp, t, log_inclusion(lp, limit), path) for lp, t, path, _ in done])
+        of = np.repeat(np.arange(len(plan)), np.diff(offset))
+        who, arcs = tables.walk(np.concatenate(starts), turned[owner[of]], place)
+        ends = np.searchsorted(who, offset[1:])
+        time, prefix, skip = np.array([p[0] for p in plan]), np.array([p[3] for p in plan]), np.array([p[2] + 1 for p in plan])
+        found = _regions(tables.lp[arcs], prefix, time, turned[owner], skip, ends, k - turn)
+        for p, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+            d, (t, source, at, _, pick) = int(owner[p]), plan[p]
+            old = done[d][source]
+            path = np.concatenate([old[2][:at], [pick], arcs[a:b]])
+            unit = np.concatenate([old[3][: at + 1], place[who[a:b]]])
+            for region in found[p]:
+                heappush(heaps[d], (region[0], len(done[d]), region[1], region[2], (int(path[region[1]]),)))
+            done[d].append((float(tables.lp[path].sum()), t, path, unit))
+    paths = [x[2] for own in done for x in own]
+    pieces, size = tables.pieces(np.concatenate(paths)) if paths else np.zeros(0, np.int64), np.array([len(x) for x in paths])
+    last = np.concatenate([[0], tables.id_end])
+    per_arc = np.concatenate([[0], np.cumsum(np.diff(last)[np.concatenate(paths)])]) if paths else np.zeros(1, np.int64)
+    edge = per_arc[np.concatenate([[0], np.cumsum(size)])].tolist()
+    result, at = [], 0
+    for own, heap in zip(done, heaps):
+        limit = heap[0][0] if heap else math.inf
+        result.append([(lp, t, log_inclusion(lp, limit), pieces[edge[at + i] : edge[at + i + 1]]) for i, (lp, t, _, _) in enumerate(own)])
+        at += len(own)
     return result
 
 
@@ -293,7 +408,6 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: flo
 
     def run(batches):
         vocab = vocabulary(model, sharpness)
-        tables = Tables(vocab)
         for b in batches:
             ids = b.column(0).to_pylist()
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -303,17 +417,16 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: flo
                 while end < len(texts) and (end == at or chars + len(texts[end]) <= CHUNK_CHARS):
                     chars += len(texts[end])
                     end += 1
-                yield chunk(vocab, tables, ids[at:end], texts[at:end])
+                yield chunk(vocab, ids[at:end], texts[at:end])
                 at = end
 
-    def chunk(vocab, tables, ids, texts):
+    def chunk(vocab, ids, texts):
         seeds = np.array([(i or 0) & (2**64 - 1) for i in ids], dtype=np.uint64)
         cols: list[list] = [[] for _ in range(7)]
         values, size = [], [0]
-        for i, t, found in zip(ids, texts, sample(texts, seeds, tables, k)):
+        for i, t, found in zip(ids, texts, sample(texts, seeds, vocab, k)):
             raw = t.encode("utf-8", "surrogatepass")
-            for rank, (lp, time, inc, path) in enumerate(found, 1):
-                p = tables.pieces(path)
+            for rank, (lp, time, inc, p) in enumerate(found, 1):
                 values.append(p)
                 size.append(size[-1] + len(p))
                 good = vocab.decode(p) == raw
