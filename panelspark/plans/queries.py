@@ -1,10 +1,17 @@
-"""Driver queries of the panel operators, with their SQL oracles."""
+"""Driver queries of the panel operators, with their SQL oracles.
+
+The panel is derived from the order lines. Oracles are written for DuckDB;
+floating results are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators import anomaly, descriptive, evaluate, features, forecast
+from panelspark.sources import panel as source
+
 PANEL_SQL = """
 SELECT l_returnflag || '-' || l_linestatus AS city, l_returnflag AS state, CAST(l_shipdate AS DATE) AS date,
        avg(l_quantity) AS temp_avg, max(l_quantity) AS temp_max, min(l_quantity) AS temp_min,
@@ -13,6 +20,8 @@ SELECT l_returnflag || '-' || l_linestatus AS city, l_returnflag AS state, CAST(
        100 * avg(CASE WHEN l_discount >= 0.05 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS cloud_cover
 FROM lineitem GROUP BY 1, 2, 3
 """
+CHANNELS = ("temp_avg", "temp_max", "temp_min", "humidity", "rainfall", "wind_speed", "aqi", "pressure", "cloud_cover")
+HOT, COLD = 45.0, 6.0
 
 
 def panel(spark, sf_dir: str) -> DataFrame:
@@ -20,17 +29,194 @@ def panel(spark, sf_dir: str) -> DataFrame:
     return spark.sql(PANEL_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def eta_squared(spark, sf_dir: str) -> DataFrame:
-    p = panel(spark, sf_dir).select("city", F.month("date").alias("month"), "temp_avg")
-    by = p.groupBy("city", "month").agg(F.count("temp_avg").alias("n"), F.avg("temp_avg").alias("m"), F.sum(F.col("temp_avg") ** 2).alias("sq"))
-    total = by.groupBy("city").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("m") ** 2).alias("between"), F.sum("sq").alias("sq"), F.sum("n").alias("n"))
-    shift = F.col("n") * F.col("mean") ** 2
-    return total.select("city", F.round(F.try_divide(F.col("between") - shift, F.col("sq") - shift), 6).alias("eta_squared"))
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+
+
+def _filled(spark, sf_dir):
+    return source.fill_calendar(panel(spark, sf_dir))
+
+
+def _forecasts(spark, sf_dir):
+    p = _filled(spark, sf_dir)
+    o = source.rolling_origins(p)
+    models = [forecast.naive(p, o), forecast.seasonal_naive(p, o), forecast.climatology_persistence(p, o, decay=0.0), forecast.climatology_persistence(p, o)]
+    out = models[0]
+    for m in models[1:]:
+        out = out.unionByName(m)
+    return forecast.walk_forward(p, out)
+
+
+def _simple(spark, sf_dir):
+    p = _filled(spark, sf_dir)
+    o = source.rolling_origins(p)
+    return forecast.walk_forward(p, forecast.naive(p, o).unionByName(forecast.seasonal_naive(p, o)))
+
+
+def _votes(spark, sf_dir):
+    r = anomaly.monthly_residual(panel(spark, sf_dir))
+    return anomaly.votes([anomaly.mad_scores(r, 2.0).select("city", "date", "flag_mad"), anomaly.band_flags(r)])
+
+
+def _intervals(spark, sf_dir):
+    s = _simple(spark, sf_dir)
+    return evaluate.interval_metrics(evaluate.intervals(s, evaluate.conformal_widths(s)))
 
 
 def queries() -> dict:
-    return {"a14_eta_squared": eta_squared}
+    on_panel = {
+        "d1_violations": source.violations,
+        "d3_gaps": source.gaps,
+        "d7_fill_calendar": source.fill_calendar,
+        "d8_city_series": lambda p: source.fill_calendar(p.where("city = 'N-O'"), per_city=True),
+        "d10_summary": source.summary,
+        "d11_split": lambda p: source.split_by_date(p, "2000-01-01")[0].groupBy("city").agg(F.count("*").alias("n_train")),
+        "d12_rolling_origins": source.rolling_origins,
+        "a1_calendar_columns": lambda p: descriptive.add_calendar(p).select("city", "date", "year", "month", "month_name", "season"),
+        "a3_dataset_profile": descriptive.dataset_profile,
+        "a4_column_inventory": lambda p: descriptive.column_inventory(p, CHANNELS),
+        "a5_numeric_summary": lambda p: descriptive.numeric_summary(p, CHANNELS),
+        "a8_city_profile": descriptive.city_profile,
+        "a10_rank_cities": lambda p: descriptive.rank_cities(descriptive.city_profile(p), "mean", 3),
+        "a11_monthly_profile": lambda p: descriptive.period_profile(p, F.month("date")),
+        "a12_seasonal_profile": lambda p: descriptive.period_profile(p, descriptive.season(F.month("date"))),
+        "a13_city_month_matrix": descriptive.city_month_matrix,
+        "a14_eta_squared": descriptive.eta_squared,
+        "a16_extreme_days": lambda p: descriptive.extreme_days(p, HOT, COLD),
+        "a18_heat_spells": lambda p: descriptive.heat_spells(p, HOT),
+        "a20_diurnal_profile": descriptive.diurnal_profile,
+        "a22_channel_correlation": lambda p: descriptive.channel_correlation(p, CHANNELS[:5]),
+        "a23_cross_city_correlation": descriptive.cross_city_correlation,
+        "a24_aqi_burden": descriptive.aqi_burden,
+        "a25_aqi_seasonality": descriptive.aqi_seasonality,
+        "f1_autocorrelation": features.autocorrelation,
+        "f3_year_over_year": features.year_over_year,
+        "f6_predictability": features.predictability,
+        "x3_calendar_terms": lambda p: features.calendar_terms(p).select("city", "date", "doy", "imd_season", "weekday", "sin1", "cos1", "sin2", "cos2"),
+        "x4_climatology": features.climatology,
+        "x7_history": features.history,
+        "n2_mad_scores": lambda p: anomaly.mad_scores(anomaly.monthly_residual(p), 2.0),
+        "n5_matrix_profile": anomaly.matrix_profile,
+    }
+    out = {name: (lambda spark, sf_dir, f=f: rounded(f(panel(spark, sf_dir)))) for name, f in on_panel.items()}
+    out |= {
+        "x15_supervised": lambda s, d: rounded(features.supervised(_filled(s, d)).select("city", "origin", "horizon", "target_date", "lag1", "lag7", "rmean7", "target")),
+        "m4_m5_backtest": lambda s, d: rounded(_simple(s, d)),
+        "b1_walk_forward": lambda s, d: rounded(_forecasts(s, d)),
+        "v14_by_horizon": lambda s, d: rounded(evaluate.by_horizon(_simple(s, d))),
+        "v15_leaderboard": lambda s, d: rounded(evaluate.leaderboard(_simple(s, d))),
+        "v15_leaderboard_all": lambda s, d: rounded(evaluate.leaderboard(_forecasts(s, d))),
+        "c1_conformal_widths": lambda s, d: rounded(evaluate.conformal_widths(_simple(s, d))),
+        "v12_interval_metrics": lambda s, d: rounded(_intervals(s, d)),
+        "n6_votes": lambda s, d: _votes(s, d),
+        "n9_agreement": lambda s, d: anomaly.agreement(_votes(s, d)),
+    }
+    return out
+
+
+# --- DuckDB ---------------------------------------------------------------
+_P = f"WITH panel AS ({PANEL_SQL})"
+_FILL = """, span AS (SELECT min(date) lo, max(date) hi FROM panel),
+grid AS (SELECT c.city, CAST(g.d AS DATE) date FROM (SELECT DISTINCT city FROM panel) c, span, generate_series(lo, hi, INTERVAL 1 DAY) g(d)),
+j AS (SELECT g.city, g.date, p.temp_avg y, CASE WHEN p.temp_avg IS NOT NULL THEN g.date END dy FROM grid g LEFT JOIN panel p USING (city, date)),
+w AS (SELECT city, date, y, last_value(y IGNORE NULLS) OVER b v0, last_value(dy IGNORE NULLS) OVER b d0, first_value(y IGNORE NULLS) OVER a v1, first_value(dy IGNORE NULLS) OVER a d1
+  FROM j WINDOW b AS (PARTITION BY city ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY city ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT city, date, coalesce(y, v0 + (v1 - v0) * (date - d0) / nullif(d1 - d0, 0), v0, v1) temp_avg FROM w)"""
+_ORIGINS = """, ix AS (SELECT date, row_number() OVER (ORDER BY date) - 1 i, count(*) OVER () - 15 l FROM (SELECT DISTINCT date FROM {t})),
+origins AS (SELECT date origin FROM ix WHERE (l - i) % 14 = 0 AND i <= l AND i >= 400 AND i > l - 112)"""
+_SIMPLE = _FILL + _ORIGINS.format(t="filled") + """, hz AS (SELECT unnest(generate_series(1, 14)) h),
+tr AS (SELECT f.city, o.origin, f.date, f.temp_avg y, row_number() OVER (PARTITION BY f.city, o.origin ORDER BY f.date DESC) rn FROM filled f JOIN origins o ON f.date <= o.origin),
+b AS (SELECT city, origin, max(CASE WHEN rn = 1 THEN y END) last_y, avg(CASE WHEN rn <= 7 THEN y END) m7 FROM tr GROUP BY 1, 2),
+fc AS (SELECT 'naive' model, city, origin, origin + CAST(h AS INT) target_date, h horizon, last_y y_pred FROM b, hz
+  UNION ALL SELECT 'seasonal_naive', b.city, origin, origin + CAST(h AS INT), h, coalesce(f.temp_avg, m7) FROM b CROSS JOIN hz LEFT JOIN filled f ON f.city = b.city AND f.date = b.origin + CAST(h AS INT) - 365),
+scored AS (SELECT fc.*, f.temp_avg y_true FROM fc JOIN filled f ON f.city = fc.city AND f.date = fc.target_date)"""
+_SEASON = "CASE WHEN month(date) IN (12, 1, 2) THEN 'Winter' WHEN month(date) <= 5 THEN 'Pre-monsoon' WHEN month(date) <= 9 THEN 'Monsoon' ELSE 'Post-monsoon' END"
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+_LONG = ", long AS (" + " UNION ALL ".join(f"SELECT '{c}' column_name, CAST({c} AS DOUBLE) v FROM panel" for c in CHANNELS) + ")"
+
+
+def _r(expr: str, name: str) -> str:
+    return f"round({expr}, 6) AS {name}"
+
+
+def _corr(x: str, y: str, name: str) -> str:
+    return _r(f"CASE WHEN stddev_pop({x}) > 0 AND stddev_pop({y}) > 0 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END", name)
+
+
+def _profile(period: str) -> str:
+    return f"""{_P} SELECT period, n, {_r('mean', 'mean')}, {_r('std', 'std')}, {_r('lo', 'min')}, {_r('med', 'median')}, {_r('hi', 'max')},
+      {_r('mean - sum(mean * n) OVER () / sum(n) OVER ()', 'deviation')}
+      FROM (SELECT {period} period, count(temp_avg) n, avg(temp_avg) mean, stddev_samp(temp_avg) std, min(temp_avg) lo, quantile_cont(temp_avg, 0.5) med, max(temp_avg) hi FROM panel GROUP BY 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    p = _P
+    hist = {f"lag{k}": f"lag(y, {k - 1}) OVER b" for k in features.LAGS}
+    for w in features.WINDOWS:
+        f = f"OVER (PARTITION BY city ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        for name, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+            hist[f"r{name}{w}"] = f"CASE WHEN count(y) {f} >= {max(2, w // 3)} THEN {fn}(y) {f} END"
+    hist |= {f"diff{k}": f"y - lag(y, {k}) OVER b" for k in (1, 7)}
+    f7, f28 = ("OVER (PARTITION BY city ORDER BY date ROWS BETWEEN %d PRECEDING AND CURRENT ROW)" % (w - 1) for w in (7, 28))
+    hist["trend7"] = f"CASE WHEN count(y) {f7} >= 3 THEN avg(y) {f7} END - CASE WHEN count(y) {f28} >= 7 THEN avg(y) {f28} END"
+    residual = ", r AS (SELECT city, date, temp_avg AS value, temp_avg - avg(temp_avg) OVER (PARTITION BY city, month(date)) resid FROM panel)"
+    mad = residual + """, med AS (SELECT city, median(resid) med, stddev_samp(resid) sd FROM r GROUP BY 1), d AS (SELECT r.*, med, sd FROM r JOIN med USING (city)),
+      m AS (SELECT city, 1.4826 * median(abs(resid - med)) mad FROM d GROUP BY 1),
+      z AS (SELECT city, date, value, (resid - med) / CASE WHEN mad > 1e-9 THEN mad WHEN sd > 1e-9 THEN sd ELSE 1 END z FROM d JOIN m USING (city))"""
+    votes = mad + """, k AS (SELECT city, date, abs(resid) > 1.96 * avg(abs(resid)) OVER (PARTITION BY city ORDER BY date ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) f FROM r),
+      v AS (SELECT city, date, coalesce(abs(z) > 2, false) flag_mad, coalesce(f, false) flag_band FROM z JOIN k USING (city, date)),
+      voted AS (SELECT *, CAST(flag_mad AS BIGINT) + CAST(flag_band AS BIGINT) n_votes, CAST(flag_mad AS INT) + CAST(flag_band AS INT) >= 2 flag_ensemble FROM v)"""
+    flags = ("flag_mad", "flag_band", "flag_ensemble")
+    e = "abs(y_true - y_pred)"
+    lags = ", ".join(f"lag(x, {k}) OVER (PARTITION BY city ORDER BY date) l{k}" for k in range(1, 8))
+    widths = f""", q AS (SELECT model, horizon, list_sort(list({e})) r, count(*) n FROM scored GROUP BY 1, 2), qa AS (SELECT model, list_sort(list({e})) r, count(*) n FROM scored GROUP BY 1),
+      wd AS (SELECT q.model, horizon, q.n, CASE WHEN q.n >= 11 THEN q.r[CAST(ceil(least(1.0, ceil((q.n + 1) * CAST(0.9 AS DOUBLE)) / q.n) * (q.n - 1)) AS INT) + 1]
+        ELSE qa.r[CAST(ceil(least(1.0, ceil((qa.n + 1) * CAST(0.9 AS DOUBLE)) / qa.n) * (qa.n - 1)) AS INT) + 1] END width FROM q JOIN qa USING (model))"""
+    doy = "dayofyear(date)"
+    frac = f"2 * pi() * {doy} / dayofyear(make_date(year(date), 12, 31))"
+    return {
+        "d1_violations": f"{p} SELECT (SELECT count(*) FROM panel) - (SELECT count(*) FROM (SELECT DISTINCT city, date FROM panel)) duplicates, count(*) FILTER (temp_avg < -40 OR temp_avg > 60) out_of_range, count(*) FILTER (temp_min > temp_max) min_over_max FROM panel",
+        "d3_gaps": f"{p} SELECT city, CAST(max(date) - min(date) + 1 - count(DISTINCT date) AS BIGINT) missing_days FROM panel GROUP BY 1",
+        "d7_fill_calendar": f"{p}{_FILL} SELECT city, date, {_r('temp_avg', 'temp_avg')} FROM filled",
+        "d8_city_series": f"WITH panel AS (SELECT * FROM ({PANEL_SQL}) WHERE city = 'N-O'){_FILL} SELECT city, date, {_r('temp_avg', 'temp_avg')} FROM filled",
+        "d10_summary": f"{p} SELECT city, count(*) n_obs, {_r('avg(temp_avg)', 'mean')}, {_r('stddev_samp(temp_avg)', 'std')}, {_r('min(temp_avg)', 'min')}, {_r('quantile_cont(temp_avg, 0.05)', 'p05')}, {_r('quantile_cont(temp_avg, 0.5)', 'median')}, {_r('quantile_cont(temp_avg, 0.95)', 'p95')}, {_r('max(temp_avg)', 'max')}, {_r('max(temp_avg) - min(temp_avg)', 'range')} FROM panel GROUP BY 1",
+        "d11_split": f"{p} SELECT city, count(*) n_train FROM panel WHERE date <= DATE '2000-01-01' GROUP BY 1",
+        "d12_rolling_origins": f"{p}{_ORIGINS.format(t='panel')} SELECT origin FROM origins",
+        "a1_calendar_columns": f"{p} SELECT city, date, year(date) AS year, month(date) AS month, ({list(_MONTHS)})[month(date)] AS month_name, {_SEASON} season FROM panel",
+        "a3_dataset_profile": f"{p} SELECT count(*) AS rows, count(DISTINCT city) cities, count(DISTINCT state) states, CAST(max(date) - min(date) + 1 AS BIGINT) AS days, CAST(count(DISTINCT city) * (max(date) - min(date) + 1) AS BIGINT) expected_rows, {_r('100.0 * count(*) / (count(DISTINCT city) * (max(date) - min(date) + 1))', 'completeness_pct')}, count(*) - count(DISTINCT (city, date)) duplicate_rows, CAST({' + '.join(f'count(*) FILTER ({c} IS NULL)' for c in ('city', 'state', 'date', *CHANNELS))} AS BIGINT) missing_cells FROM panel",
+        "a4_column_inventory": f"{p}{_LONG} SELECT column_name, count(*) FILTER (v IS NULL) n_missing, count(DISTINCT v) n_unique, {_r('min(v)', 'min')}, {_r('max(v)', 'max')} FROM long GROUP BY 1",
+        "a5_numeric_summary": f"{p}{_LONG}, c AS (SELECT *, v - avg(v) OVER (PARTITION BY column_name) d FROM long WHERE v IS NOT NULL) SELECT column_name, count(*) n, {_r('avg(v)', 'mean')}, {_r('stddev_samp(v)', 'std')}, {_r('min(v)', 'min')}, {_r('quantile_cont(v, 0.25)', 'q25')}, {_r('quantile_cont(v, 0.5)', 'median')}, {_r('quantile_cont(v, 0.75)', 'q75')}, {_r('max(v)', 'max')}, {_r('quantile_cont(v, 0.75) - quantile_cont(v, 0.25)', 'iqr')}, {_r('100 * stddev_samp(v) / nullif(avg(v), 0)', 'cv_pct')}, {_r('avg(d * d * d) / pow(avg(d * d), 1.5)', 'skew')}, {_r('avg(d * d * d * d) / pow(avg(d * d), 2) - 3', 'kurtosis')} FROM c GROUP BY 1",
+        "a8_city_profile": f"{p}, m AS (SELECT city, month(date) AS month, avg(temp_avg) m FROM panel GROUP BY 1, 2), a AS (SELECT city, max(m) - min(m) amp, arg_max(month, (m, -month)) hot, arg_min(month, (m, month)) cold FROM m GROUP BY 1) SELECT city, max(state) state, {_r('avg(temp_avg)', 'mean')}, {_r('min(temp_avg)', 'min')}, {_r('max(temp_avg)', 'max')}, {_r('any_value(amp)', 'seasonal_amplitude')}, any_value(hot) hottest_month, any_value(cold) coldest_month, {_r('avg(temp_max - temp_min)', 'diurnal_range')} FROM panel JOIN a USING (city) GROUP BY 1",
+        "a10_rank_cities": f"{p} SELECT city, {_r('m', 'mean')}, row_number() OVER (ORDER BY m DESC, city) AS rank FROM (SELECT city, avg(temp_avg) m FROM panel GROUP BY 1) QUALIFY rank <= 3",
+        "a11_monthly_profile": _profile("month(date)"),
+        "a12_seasonal_profile": _profile(_SEASON),
+        "a13_city_month_matrix": f"{p} SELECT city, " + ", ".join(_r(f"avg(temp_avg) FILTER (month(date) = {i})", n) for i, n in enumerate(_MONTHS, 1)) + " FROM panel GROUP BY 1",
+        "a14_eta_squared": f"{p}, c AS (SELECT city, temp_avg - avg(temp_avg) OVER (PARTITION BY city) d, avg(temp_avg) OVER (PARTITION BY city, month(date)) mm, avg(temp_avg) OVER (PARTITION BY city) m FROM panel) SELECT city, {_r('max(mm) - min(mm)', 'monthly_range')}, {_r('sum((mm - m) * (mm - m)) / nullif(sum(d * d), 0)', 'eta_squared')} FROM c GROUP BY 1",
+        "a16_extreme_days": f"{p} SELECT city, count(*) FILTER (temp_max >= {HOT}) hot_days, {_r(f'100.0 * count(*) FILTER (temp_max >= {HOT}) / count(*)', 'hot_pct')}, count(*) FILTER (temp_min <= {COLD}) cold_days, {_r(f'100.0 * count(*) FILTER (temp_min <= {COLD}) / count(*)', 'cold_pct')} FROM panel GROUP BY 1",
+        "a18_heat_spells": f"{p}, f AS (SELECT city, temp_max >= {HOT} f, row_number() OVER (PARTITION BY city ORDER BY date) - sum(CAST(temp_max >= {HOT} AS INT)) OVER (PARTITION BY city ORDER BY date) g FROM panel), s AS (SELECT city, g, count(*) FILTER (f) AS run, count(*) n FROM f GROUP BY 1, 2), t AS (SELECT city, CAST(sum(run) AS BIGINT) hot_days, max(run) longest_run, sum(n) n, sum(run) / sum(n) pr FROM s GROUP BY 1), u AS (SELECT *, CASE WHEN pr > 0 AND pr < 1 THEN ln(n * (1 - pr)) / -ln(pr) ELSE 0 END ex FROM t) SELECT city, hot_days, longest_run, {_r('ex', 'expected_run')}, {_r('longest_run / nullif(ex, 0)', 'clustering')} FROM u",
+        "a20_diurnal_profile": f"{p}, d AS (SELECT city, temp_max - temp_min d, cloud_cover, {_SEASON} s FROM panel) SELECT city, {_r('avg(d)', 'mean')}, {_r('stddev_samp(d)', 'std')}, {_r('min(d)', 'min')}, {_r('max(d)', 'max')}, " + ", ".join(_r(f"avg(d) FILTER (s = '{n}')", n.lower().replace("-", "_")) for n in descriptive.SEASONS) + f", {_corr('d', 'cloud_cover', 'corr_cloud')} FROM d GROUP BY 1",
+        "a22_channel_correlation": " UNION ALL ".join(f"SELECT '{a}' a, '{b}' b, {_corr(a, b, 'r')} FROM ({PANEL_SQL})" for i, a in enumerate(CHANNELS[:5]) for b in CHANNELS[i + 1 : 5]),
+        "a23_cross_city_correlation": f"{p} SELECT a.city city_a, b.city city_b, {_corr('a.temp_avg', 'b.temp_avg', 'r')} FROM panel a JOIN panel b ON a.date = b.date AND a.city < b.city GROUP BY 1, 2",
+        "a24_aqi_burden": f"{p}, k AS (SELECT city, CASE WHEN aqi <= 50 THEN 'good' WHEN aqi <= 100 THEN 'satisfactory' WHEN aqi <= 200 THEN 'moderate' WHEN aqi <= 300 THEN 'poor' WHEN aqi <= 400 THEN 'very_poor' ELSE 'severe' END k FROM panel) SELECT city, " + ", ".join(_r(f"100.0 * count(*) FILTER (k = '{n.lower().replace(' ', '_')}') / count(*)", n.lower().replace(" ", "_")) for n, _ in descriptive.AQI_CLASSES) + " FROM k GROUP BY 1",
+        "a25_aqi_seasonality": f"{p}, s AS (SELECT city, " + ", ".join(f"round(avg(aqi) FILTER ({_SEASON} = '{n}'), 1) {n.lower().replace('-', '_')}" for n in descriptive.SEASONS) + " FROM panel GROUP BY 1) SELECT *, round(winter - monsoon, 1) winter_minus_monsoon FROM s",
+        "f1_autocorrelation": f"{p}, c AS (SELECT city, date, temp_avg - avg(temp_avg) OVER (PARTITION BY city) x FROM panel), l AS (SELECT city, x, {lags} FROM c) " + " UNION ALL ".join(f"SELECT city, CAST({k} AS BIGINT) lag, {_r(f'sum(x * l{k}) / sum(x * x)', 'acf')}, {_r('1.96 / sqrt(count(*))', 'band')} FROM l GROUP BY city" for k in range(1, 8)),
+        "f3_year_over_year": f"{p}, y AS (SELECT city, year(date) - min(year(date)) OVER (PARTITION BY city) y, {doy} doy, temp_avg FROM panel), b AS (SELECT city, doy, avg(temp_avg) FILTER (y = 0) a, avg(temp_avg) FILTER (y = 1) b FROM y GROUP BY 1, 2 HAVING a IS NOT NULL AND b IS NOT NULL) SELECT city, count(*) n, {_corr('a', 'b', 'yoy_corr')} FROM b GROUP BY 1",
+        "f6_predictability": f"{p}, d AS (SELECT city, temp_avg y, avg(temp_avg) OVER (PARTITION BY city, {doy}) m, lag(temp_avg) OVER (PARTITION BY city ORDER BY date) l FROM panel), s AS (SELECT city, 1 - avg((y - m) * (y - m)) / var_samp(y) s, corr(y, l) r FROM d GROUP BY 1) SELECT city, {_r('s', 'seasonal_r2')}, {_r('r * r', 'lag1_r2')}, {_r('least(1.0, s + r * r)', 'ceiling')} FROM s",
+        "x3_calendar_terms": f"{p} SELECT city, date, {doy} doy, CAST(CASE WHEN month(date) IN (12, 1, 2) THEN 0 WHEN month(date) <= 5 THEN 1 WHEN month(date) <= 9 THEN 2 ELSE 3 END AS BIGINT) imd_season, isodow(date) - 1 weekday, {_r(f'sin({frac})', 'sin1')}, {_r(f'cos({frac})', 'cos1')}, {_r(f'sin(2 * {frac})', 'sin2')}, {_r(f'cos(2 * {frac})', 'cos2')} FROM panel",
+        "x4_climatology": f"""{p}, m AS (SELECT city, {doy} doy, avg(temp_avg) m FROM panel GROUP BY 1, 2),
+          t AS (SELECT c.city, CAST(d AS BIGINT) doy, turn, d + turn t, m FROM (SELECT DISTINCT city FROM panel) c CROSS JOIN generate_series(1, 366) g(d) CROSS JOIN (VALUES (-366), (0), (366)) k(turn) LEFT JOIN m ON m.city = c.city AND m.doy = d),
+          w AS (SELECT *, last_value(m IGNORE NULLS) OVER b v0, last_value(CASE WHEN m IS NOT NULL THEN t END IGNORE NULLS) OVER b t0, first_value(m IGNORE NULLS) OVER a v1, first_value(CASE WHEN m IS NOT NULL THEN t END IGNORE NULLS) OVER a t1 FROM t
+            WINDOW b AS (PARTITION BY city ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY city ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+          s AS (SELECT city, doy, turn, avg(coalesce(m, v0 + (v1 - v0) * (t - t0) / nullif(t1 - t0, 0), v0, v1)) OVER (PARTITION BY city ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) clim FROM w)
+          SELECT city, doy, {_r('clim', 'clim')} FROM s WHERE turn = 0""",
+        "x7_history": f"{p}, y AS (SELECT city, date, temp_avg y FROM panel) SELECT city, date, {_r('y', 'temp_avg')}, " + ", ".join(_r(x, n) for n, x in hist.items()) + " FROM y WINDOW b AS (PARTITION BY city ORDER BY date)",
+        "x15_supervised": f"{p}{_FILL}, h AS (SELECT city, date, temp_avg, lag(temp_avg, 6) OVER b l7, lag(temp_avg, 27) OVER b l28, avg(temp_avg) OVER (PARTITION BY city ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) m FROM filled WINDOW b AS (PARTITION BY city ORDER BY date)) SELECT h.city, h.date origin, k horizon, h.date + CAST(k AS INT) target_date, {_r('h.temp_avg', 'lag1')}, {_r('l7', 'lag7')}, {_r('m', 'rmean7')}, {_r('f.temp_avg', 'target')} FROM h CROSS JOIN generate_series(1, 14) g(k) JOIN filled f ON f.city = h.city AND f.date = h.date + CAST(k AS INT) WHERE l28 IS NOT NULL",
+        "m4_m5_backtest": f"{p}{_SIMPLE} SELECT model, city, origin, target_date, horizon, {_r('y_pred', 'y_pred')}, {_r('y_true', 'y_true')} FROM scored",
+        "v14_by_horizon": f"{p}{_SIMPLE} SELECT model, horizon, {_r(f'avg({e})', 'mae')}, {_r('sqrt(avg(pow(y_true - y_pred, 2)))', 'rmse')}, count(*) n FROM scored GROUP BY 1, 2",
+        "v15_leaderboard": f"{p}{_SIMPLE} SELECT model, count(*) n, {_r(f'avg({e})', 'mae')}, {_r('sqrt(avg(pow(y_true - y_pred, 2)))', 'rmse')}, {_r('avg(y_pred - y_true)', 'bias')}, {_r('100 * avg(CASE WHEN abs(y_true) > 1e-8 THEN abs((y_true - y_pred) / y_true) END)', 'mape')}, {_r('100 * avg(abs(y_true - y_pred) / ((abs(y_true) + abs(y_pred)) / 2))', 'smape')}, {_r('1 - sum(pow(y_true - y_pred, 2)) / (var_pop(y_true) * count(*))', 'r2')} FROM scored GROUP BY 1",
+        "c1_conformal_widths": f"{p}{_SIMPLE}{widths} SELECT model, horizon, n, {_r('width', 'width')} FROM wd",
+        "v12_interval_metrics": f"{p}{_SIMPLE}{widths} SELECT model, {_r('avg(CAST(abs(y_true - y_pred) <= width + 1e-9 AS DOUBLE))', 'coverage')}, {_r('avg(2 * width)', 'mean_width')}, {_r('avg(2 * width + 20 * (greatest(y_pred - width - y_true, 0) + greatest(y_true - y_pred - width, 0)))', 'interval_score')} FROM scored JOIN wd USING (model, horizon) GROUP BY 1",
+        "n2_mad_scores": f"{p}{mad} SELECT city, date, {_r('value', 'value')}, {_r('z', 'z')}, coalesce(abs(z) > 2, false) flag_mad FROM z",
+        "n6_votes": f"{p}{votes} SELECT * FROM voted",
+        "n9_agreement": f"{p}{votes} " + " UNION ALL ".join(f"SELECT '{a}' a, '{b}' b, count(*) FILTER ({a} AND {b}) n FROM voted" for a in flags for b in flags),
+    }

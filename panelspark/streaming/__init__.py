@@ -1,0 +1 @@
+"""Streaming: the engine is batch only; Structured Streaming sources feed its operators through foreachBatch."""
