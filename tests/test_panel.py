@@ -29,7 +29,7 @@ def test_oracle(spark, duck, name):
 
 def rows(spark, values, city="A"):
     start = dt.date(2020, 1, 1)
-    data = [(city, start + dt.timedelta(days=i), v) for i, v in values]
+    data = [(city, start + dt.timedelta(days=i), float(v)) for i, v in values]
     return spark.createDataFrame(data, "city string, date date, temp_avg double")
 
 
