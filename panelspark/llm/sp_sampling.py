@@ -31,7 +31,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 17
 SPACE, ODD = "▁", "﷐"
 #: Characters of text that a task samples at once; a longer text is sampled alone.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 3_000_000
+#: Units sampled in one round.
+ROUND_UNITS = 50_000
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,33 +150,44 @@ class Vocabulary:
         return out
 
     def arcs(self, text: str, left: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Arcs ``(from, length, id, weight)`` over ``text``, by from; id -1 is a byte arc.
+        """Arcs ``(from, length, id, weight)`` over ``text``, by from, and each position's first.
 
-        ``left`` says how many characters of its unit each position has left.
+        Id -1 is a byte arc. ``left`` says how many characters of its unit each position has left.
         """
         code = self.codes(text)
         c = self.char[code].astype(np.int64)
         at, state, size = np.arange(len(c)), np.zeros(len(c), np.int64), 1
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
+        held = np.zeros(len(c) + 1, np.int32)
         known = np.zeros(len(c), bool)
         while len(at):
             state = self.step(state, c[at + size - 1])
             ok = state >= 0
             at, state = at[ok], state[ok]
             hit = self.piece[state] >= 0
-            for o, v in zip(out, (at[hit], np.full(int(hit.sum()), size), self.piece[state[hit]], self.weight[state[hit]])):
+            here, what = at[hit], state[hit]
+            for o, v in zip(out, (here, np.full(len(here), size, np.int32), self.piece[what], self.weight[what], held[here])):
                 o.append(v)
+            held[here] += 1
             if size == 1:
-                known[at[hit]] = True
+                known[here] = True
             ok = left[at] > size
             at, state, size = at[ok], state[ok], size + 1
         lone = np.flatnonzero(~known)
         n_bytes = 1 + (code[lone] > 0x7F) + (code[lone] > 0x7FF) + (code[lone] > 0xFFFF)
-        for o, v in zip(out, (lone, np.ones(len(lone), int), np.full(len(lone), -1), self.byte_weight * n_bytes)):
+        for o, v in zip(out, (lone, np.ones(len(lone), np.int32), np.full(len(lone), -1), self.byte_weight * n_bytes, held[lone])):
             o.append(v)
-        start, size, piece, weight = map(np.concatenate, out)
-        order = np.argsort(start, kind="stable")
-        return start[order], size[order], piece[order], weight[order]
+        held[lone] += 1
+        # an arc's place: where its position's arcs begin, plus those found before it
+        first = np.cumsum(held) - held
+        start, size, piece, weight, slot = map(np.concatenate, out)
+        place = first[start] + slot
+        sorted_out = []
+        for v, kind in ((start, np.int32), (size, np.int32), (piece, np.int32), (weight, np.float64)):
+            full = np.empty(len(place), kind)
+            full[place] = v
+            sorted_out.append(full)
+        return *sorted_out, first
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of piece ids as UTF-8; the leading space that encoding adds is dropped."""
@@ -218,8 +231,7 @@ class Tables:
         take = np.repeat(at[first] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
         text = code[take].tobytes().decode("utf-32-le", "surrogatepass")
         left = np.repeat(ends, size) - np.arange(len(text))
-        start, length, piece, weight = vocab.arcs(text, left)
-        first = np.searchsorted(start, np.arange(len(text) + 1))
+        start, length, piece, weight, first = vocab.arcs(text, left)
         mass, value = np.zeros(len(text) + 1), np.zeros(len(start))
         # positions with the same number of characters left are independent: last ones first
         order = np.argsort(left, kind="stable")
@@ -238,7 +250,7 @@ class Tables:
         before = np.where(first[:-1] > 0, total[first[:-1] - 1], 0.0)
         self.key = start + np.minimum(total - before[start], 1.0)
         self.key[first[1:] - 1] = np.arange(len(text)) + 1.0
-        self.next = np.where(ending, -1, start + length)
+        self.next = np.where(ending, np.int32(-1), start + length)
         self.first, self.base = first, (ends - size)
         lone = np.flatnonzero(piece < 0)
         spelled = [[vocab.byte_id[b] for b in text[i].encode("utf-8", "surrogatepass")] for i in start[lone].tolist()]
@@ -254,25 +266,25 @@ class Tables:
 
     def walk(self, node: np.ndarray, base: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw arcs from each start node to its unit's end: ``(start number, arc)`` in order."""
-        who, arcs, row, step = [], [], np.arange(len(node)), 0
+        steps, row, at = [], np.arange(len(node), dtype=np.int32), node.astype(np.int32)
+        length = np.zeros(len(node), np.int32)
         while len(row):
-            u = uniform(base[row], place[row], step)
-            arc, u = self.first[node[row]], u + node[row]
-            on = np.flatnonzero((self.key[arc] <= u) & (arc + 1 < self.first[node[row] + 1]))
+            u = uniform(base[row], place[row], len(steps))
+            arc, end, u = self.first[at], self.first[at + 1] - 1, u + at
+            on = np.flatnonzero((self.key[arc] <= u) & (arc < end))
             while len(on):
                 arc[on] += 1
-                on = on[(self.key[arc[on]] <= u[on]) & (arc[on] + 1 < self.first[node[row[on]] + 1])]
-            who.append(row)
-            arcs.append(arc)
-            node = node.copy() if step == 0 else node
-            node[row] = self.next[arc]
-            row = row[node[row] >= 0]
-            step += 1
-        if not who:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        who, arcs = np.concatenate(who), np.concatenate(arcs)
-        order = np.argsort(who, kind="stable")
-        return who[order], arcs[order]
+                on = on[(self.key[arc[on]] <= u[on]) & (arc[on] < end[on])]
+            steps.append((row, arc))
+            length[row] += 1
+            at = self.next[arc]
+            more = at >= 0
+            row, at = row[more], at[more]
+        offset = np.cumsum(length) - length
+        arcs = np.empty(int(length.sum()), np.int64)
+        for k, (row, arc) in enumerate(steps):
+            arcs[offset[row] + k] = arc
+        return np.repeat(np.arange(len(node)), length), arcs
 
     def arcs_at(self, node: int) -> np.ndarray:
         return np.arange(self.first[node], self.first[node + 1])
@@ -292,6 +304,8 @@ def log_inclusion(lp: float, arrival: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
+#: Numbers are under 1 - 2**-54, so a wait is over 5e-17 and over 5e-17 * exp(60) > SURE beyond FAR.
+FAR, SURE = -60.0, 1e9
 #: Purposes of random numbers beside the steps of walks.
 ROOT, SPLIT, PICK, AGAIN = (1 << 40) + np.arange(4)
 
@@ -303,28 +317,49 @@ def _regions(lp, before, arrival, base, skip, ends, k: int):
     ``ends`` where each path ends; ``before``, ``arrival`` and ``base`` are its
     prefix mass, time and mixed key. Per path: ``(time, token, prefix mass)``.
     """
+    if not len(lp):
+        return [[] for _ in ends]
     begin = np.concatenate([[0], ends[:-1]])
-    path = np.repeat(np.arange(len(ends)), ends - begin)
     total = np.cumsum(lp)
-    prefix = total - lp + (before - np.where(begin > 0, total[begin - 1], 0.0) if len(lp) else 0.0)[path]
-    token = np.arange(len(lp)) - begin[path] + skip[path]
-    with np.errstate(divide="ignore", over="ignore"):
-        mass = prefix + np.log(-np.expm1(lp))
-        times = arrival[path] - np.log(uniform(base[path], token, SPLIT)) * np.exp(-mass)
+    length = ends - begin
+    prefix = total - lp + np.repeat(before - np.where(begin > 0, total[begin - 1], 0.0), length)
+
+    def times(i: np.ndarray, path: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", over="ignore"):
+            mass = prefix[i] + np.log(-np.expm1(lp[i]))
+            return arrival[path] - np.log(uniform(base[path], i - begin[path] + skip[path], SPLIT)) * np.exp(-mass)
+
+    # a region of prefix mass under FAR comes later than SURE whatever its number; most tokens are such
+    near = np.flatnonzero(prefix > FAR)
+    path = np.searchsorted(ends, near, side="right")
+    edge = np.searchsorted(near, np.concatenate([[0], ends])).tolist()
+    near_times = times(near, path)
     out = []
-    for a, b in zip(begin.tolist(), ends.tolist()):
-        t = times[a:b]
-        best = a + (np.argpartition(t, k - 1)[:k] if b - a > k else np.arange(b - a))
-        out.append([(float(times[i]), int(token[i]), float(prefix[i])) for i in best if times[i] < math.inf])
+    for p, (a, b) in enumerate(zip(edge, edge[1:])):
+        i, t = near[a:b], near_times[a:b]
+        if (t < SURE).sum() < min(k, length[p]):
+            i = np.arange(begin[p], ends[p])
+            t = times(i, np.full(len(i), p))
+        best = np.argpartition(t, k - 1)[:k] if len(t) > k else np.arange(len(t))
+        out.append([(float(t[x]), int(i[x] - begin[p] + skip[p]), float(prefix[i[x]])) for x in best if t[x] < math.inf])
     return out
 
 
 def sample(texts: list[str], seeds: np.ndarray, vocab: Vocabulary, k: int):
     """For each text its samples ``(log prob, arrival, log inclusion, pieces)``, best first."""
-    n = len(texts)
     whole, at, sizes = vocab.units(texts)
     tables = Tables(vocab, whole, at)
-    node = tables.starts()
+    node, ends = tables.starts(), np.cumsum(sizes)
+    result, a = [], 0
+    while a < len(texts):  # one lattice table, several rounds of sampling
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ROUND_UNITS, side="right")))
+        result += _sample(tables, node[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b], seeds[a:b], k)
+        a = b
+    return result
+
+
+def _sample(tables: Tables, node: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, k: int):
+    n = len(sizes)
     doc = np.repeat(np.arange(n), sizes)
     first_unit = np.cumsum(sizes) - sizes
     base = mix(seeds)
