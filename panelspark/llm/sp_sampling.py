@@ -191,10 +191,14 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of piece ids as UTF-8; the leading space that encoding adds is dropped."""
+        return self.spell(ids)[0][1:]
+
+    def spell(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of piece ids end to end, and where each piece ends."""
         size = self.size[ids]
         ends = np.cumsum(size)
         at = np.repeat(self.first[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[at].tobytes()[1:]
+        return self.flat[at].tobytes(), ends
 
 
 def distinct(code: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -457,17 +461,21 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: flo
 
     def chunk(vocab, ids, texts):
         seeds = np.array([(i or 0) & (2**64 - 1) for i in ids], dtype=np.uint64)
-        cols: list[list] = [[] for _ in range(7)]
-        values, size = [], [0]
+        cols: list[list] = [[] for _ in range(6)]
+        values, raws, size = [], [], [0]
         for i, t, found in zip(ids, texts, sample(texts, seeds, vocab, k)):
             raw = t.encode("utf-8", "surrogatepass")
             for rank, (lp, time, inc, p) in enumerate(found, 1):
                 values.append(p)
+                raws.append(raw)
                 size.append(size[-1] + len(p))
-                good = vocab.decode(p) == raw
-                for c, v in zip(cols, (i, rank, lp, -math.log(time), inc, len(p), good)):
+                for c, v in zip(cols, (i, rank, lp, -math.log(time), inc, len(p))):
                     c.append(v)
-        flat = np.concatenate(values) if values else np.zeros(0)
+        flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+        spelled, ends = vocab.spell(flat)
+        edge = np.concatenate([[0], ends])[size].tolist()
+        # what decode gives back is all but the space in front
+        cols.append([spelled[a + 1 : b] == raw for a, b, raw in zip(edge, edge[1:], raws)])
         lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat.astype(np.int32)))
         kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
         names = [f.split()[0] for f in SCHEMA.split(", ")]
