@@ -33,7 +33,7 @@ SPACE, ODD = "▁", "﷐"
 #: Characters of text that a task samples at once; a longer text is sampled alone.
 CHUNK_CHARS = 3_000_000
 #: Units sampled in one round.
-ROUND_UNITS = 50_000
+ROUND_UNITS = 100_000
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
