@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators import anomaly, descriptive, evaluate, features, forecast
+from panelspark.operators import anomaly, descriptive, evaluate, features, forecast, plot_data
 from panelspark.sources import panel as source
 
 PANEL_SQL = """
@@ -97,6 +97,12 @@ def queries() -> dict:
         "x7_history": features.history,
         "n2_mad_scores": lambda p: anomaly.mad_scores(anomaly.monthly_residual(p), 2.0),
         "n5_matrix_profile": anomaly.matrix_profile,
+        "f4_cross_series": lambda p: descriptive.cross_city_correlation(p).agg(F.avg("r").alias("mean"), F.median("r").alias("median"), F.max("r").alias("max"), F.min("r").alias("min")),
+        "p8_histogram": plot_data.histogram,
+        "p9_monthly_boxes": plot_data.monthly_boxes,
+        "p11_ecdf": plot_data.ecdf,
+        "p14_scatter_fit": lambda p: plot_data.scatter_fit(p, "humidity", "temp_avg"),
+        "p17_city_overview": plot_data.city_overview,
     }
     out = {name: (lambda spark, sf_dir, f=f: rounded(f(panel(spark, sf_dir)))) for name, f in on_panel.items()}
     out |= {
@@ -108,6 +114,10 @@ def queries() -> dict:
         "v15_leaderboard_all": lambda s, d: rounded(evaluate.leaderboard(_forecasts(s, d))),
         "c1_conformal_widths": lambda s, d: rounded(evaluate.conformal_widths(_simple(s, d))),
         "v12_interval_metrics": lambda s, d: rounded(_intervals(s, d)),
+        "b4_pivot_predictions": lambda s, d: rounded(plot_data.pivot_predictions(_simple(s, d), ("naive", "seasonal_naive"))),
+        "v6_mase": lambda s, d: rounded(plot_data.mase(_filled(s, d), _simple(s, d))),
+        "v13_diebold_mariano": lambda s, d: rounded(plot_data.diebold_mariano(_simple(s, d), "naive", "seasonal_naive", 2)),
+        "v16_mae_by_city": lambda s, d: rounded(evaluate.mae_by_city(_simple(s, d), ("A-F", "N-O"))),
         "n6_votes": lambda s, d: _votes(s, d),
         "n9_agreement": lambda s, d: anomaly.agreement(_votes(s, d)),
     }
@@ -216,6 +226,19 @@ def oracle_sql() -> dict[str, str]:
         "v15_leaderboard": f"{p}{_SIMPLE} SELECT model, count(*) n, {_r(f'avg({e})', 'mae')}, {_r('sqrt(avg(pow(y_true - y_pred, 2)))', 'rmse')}, {_r('avg(y_pred - y_true)', 'bias')}, {_r('100 * avg(CASE WHEN abs(y_true) > 1e-8 THEN abs((y_true - y_pred) / y_true) END)', 'mape')}, {_r('100 * avg(abs(y_true - y_pred) / ((abs(y_true) + abs(y_pred)) / 2))', 'smape')}, {_r('1 - sum(pow(y_true - y_pred, 2)) / (var_pop(y_true) * count(*))', 'r2')} FROM scored GROUP BY 1",
         "c1_conformal_widths": f"{p}{_SIMPLE}{widths} SELECT model, horizon, n, {_r('width', 'width')} FROM wd",
         "v12_interval_metrics": f"{p}{_SIMPLE}{widths} SELECT model, {_r('avg(CAST(abs(y_true - y_pred) <= width + 1e-9 AS DOUBLE))', 'coverage')}, {_r('avg(2 * width)', 'mean_width')}, {_r('avg(2 * width + 20 * (greatest(y_pred - width - y_true, 0) + greatest(y_true - y_pred - width, 0)))', 'interval_score')} FROM scored JOIN wd USING (model, horizon) GROUP BY 1",
+        "f4_cross_series": f"{p}, c AS (SELECT covar_pop(a.temp_avg, b.temp_avg) / (stddev_pop(a.temp_avg) * stddev_pop(b.temp_avg)) r FROM panel a JOIN panel b ON a.date = b.date AND a.city < b.city GROUP BY a.city, b.city) SELECT {_r('avg(r)', 'mean')}, {_r('median(r)', 'median')}, {_r('max(r)', 'max')}, {_r('min(r)', 'min')} FROM c",
+        "p8_histogram": f"{p}, x AS (SELECT city, temp_avg x, min(temp_avg) OVER (PARTITION BY city) lo, max(temp_avg) OVER (PARTITION BY city) hi FROM panel), b AS (SELECT city, CAST(least(floor((x - lo) / ((hi - lo) / 10)), 9) AS BIGINT) bin, count(*) n, max((hi - lo) / 10) w FROM x GROUP BY 1, 2) SELECT city, bin, n, {_r('n / (sum(n) OVER (PARTITION BY city) * w)', 'density')} FROM b",
+        "p9_monthly_boxes": f"{p} SELECT city, month(date) AS month, {_r('quantile_cont(temp_avg, 0.25)', 'q25')}, {_r('quantile_cont(temp_avg, 0.5)', 'median')}, {_r('quantile_cont(temp_avg, 0.75)', 'q75')} FROM panel GROUP BY 1, 2",
+        "p11_ecdf": f"{p} SELECT city, date, {_r('temp_avg', 'temp_avg')}, {_r('row_number() OVER (PARTITION BY city ORDER BY temp_avg, date) / count(*) OVER (PARTITION BY city)', 'share')} FROM panel",
+        "p14_scatter_fit": f"{p} SELECT city, {_r('regr_slope(temp_avg, humidity)', 'slope')}, {_r('regr_intercept(temp_avg, humidity)', 'intercept')}, count(*) n FROM panel GROUP BY 1",
+        "p17_city_overview": f"{p} SELECT date, {_r('avg(temp_avg)', 'mean')}, count(temp_avg) n FROM panel GROUP BY 1",
+        "b4_pivot_predictions": f"{p}{_SIMPLE} SELECT city, origin, target_date, horizon, {_r('y_true', 'y_true')}, " + ", ".join(_r(f"avg(y_pred) FILTER (model = '{m}')", m) for m in ("naive", "seasonal_naive")) + " FROM scored GROUP BY city, origin, target_date, horizon, scored.y_true",
+        "v6_mase": f"{p}{_SIMPLE}, sc AS (SELECT avg(d) s FROM (SELECT abs(temp_avg - lag(temp_avg, 7) OVER (PARTITION BY city ORDER BY date)) d FROM filled)) SELECT model, {_r(f'avg({e}) / any_value(s)', 'mase')} FROM scored, sc GROUP BY 1",
+        "v13_diebold_mariano": f"""{p}{_SIMPLE}, dl AS (SELECT city, origin, horizon, sum(CASE WHEN model = 'naive' THEN 1 ELSE -1 END * pow(y_true - y_pred, 2)) d FROM scored GROUP BY 1, 2, 3),
+          dc AS (SELECT *, avg(d) OVER (PARTITION BY city) m, d - avg(d) OVER (PARTITION BY city) c FROM dl), lg AS (SELECT *, lag(c) OVER (PARTITION BY city ORDER BY origin, horizon) l FROM dc),
+          st AS (SELECT city, count(*) n, avg(m) m, greatest(avg(c * c) + avg(c * l), 1e-12) v FROM lg GROUP BY 1)
+          SELECT city, n, {_r('m', 'mean_loss_diff')}, {_r('CASE WHEN n >= 10 THEN sqrt((n + 1 - 4 + CAST(2 AS DOUBLE) / n) / n) * m / sqrt(v / n) END', 'dm')} FROM st""",
+        "v16_mae_by_city": f"{p}{_SIMPLE} SELECT model, " + ", ".join(_r(f"avg({e}) FILTER (city = '{c}')", f'"{c}"') for c in ("A-F", "N-O")) + " FROM scored GROUP BY 1",
         "n2_mad_scores": f"{p}{mad} SELECT city, date, {_r('value', 'value')}, {_r('z', 'z')}, coalesce(abs(z) > 2, false) flag_mad FROM z",
         "n6_votes": f"{p}{votes} SELECT * FROM voted",
         "n9_agreement": f"{p}{votes} " + " UNION ALL ".join(f"SELECT '{a}' a, '{b}' b, count(*) FILTER ({a} AND {b}) n FROM voted" for a in flags for b in flags),
