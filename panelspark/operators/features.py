@@ -24,10 +24,6 @@ def autocorrelation(panel: DataFrame, lags: int = 7, column: str = "temp_avg") -
     return wide.unpivot(["city", "n"], [str(k) for k in range(1, lags + 1)], "lag", "acf").select("city", F.col("lag").cast("long").alias("lag"), "acf", (1.96 / F.sqrt("n")).alias("band"))
 
 
-def ljung_box(acf: DataFrame, n: int) -> DataFrame:
-    return acf.groupBy("city").agg((F.lit(n * (n + 2.0)) * F.sum(F.col("acf") ** 2 / (n - F.col("lag")))).alias("q"))
-
-
 def year_over_year(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
     """Correlation of a series' first two years by day of the year."""
     first = Window.partitionBy("city")

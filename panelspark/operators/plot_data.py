@@ -41,14 +41,15 @@ def pivot_predictions(scored: DataFrame, models) -> DataFrame:
     return scored.groupBy("city", "origin", "target_date", "horizon", "y_true").pivot("model", list(models)).agg(F.avg("y_pred"))
 
 
-def diebold_mariano(scored: DataFrame, a: str, b: str, h: int = 1) -> DataFrame:
-    """Statistic of equal accuracy by squared loss, with the small-sample factor.
+def diebold_mariano(scored: DataFrame, a: str, b: str, h: int = 1, absolute: bool = False) -> DataFrame:
+    """Statistic of equal accuracy by squared (or absolute) loss, with the small-sample factor.
 
     Losses are compared within each series in order of origin and horizon, so
     no lag crosses a series; fewer than ten pairs give null.
     """
     wide = pivot_predictions(scored, (a, b)).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    d = wide.select("city", "origin", "horizon", ((F.col("y_true") - F.col(a)) ** 2 - (F.col("y_true") - F.col(b)) ** 2).alias("d"))
+    loss = lambda m: F.abs(F.col("y_true") - F.col(m)) if absolute else (F.col("y_true") - F.col(m)) ** 2
+    d = wide.select("city", "origin", "horizon", (loss(a) - loss(b)).alias("d"))
     own = Window.partitionBy("city")
     by = own.orderBy("origin", "horizon")
     c = d.withColumn("m", F.avg("d").over(own)).withColumn("c", F.col("d") - F.col("m"))
