@@ -60,3 +60,9 @@ def interval_metrics(scored: DataFrame, alpha: float = 0.1) -> DataFrame:
     y, lo, hi = F.col("y_true"), F.col("lower"), F.col("upper")
     miss = F.greatest(lo - y, F.lit(0.0)) + F.greatest(y - hi, F.lit(0.0))
     return scored.groupBy("model").agg(F.avg(y.between(lo - EDGE, hi + EDGE).cast("double")).alias("coverage"), F.avg(hi - lo).alias("mean_width"), F.avg(hi - lo + miss * (2 / alpha)).alias("interval_score"))
+
+
+def compare_boards(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Errors of the models of two leaderboards side by side, and their ratio."""
+    left, right = a.select("model", F.col("mae").alias("mae_a")), b.select("model", F.col("mae").alias("mae_b"))
+    return left.join(right, "model", "full").withColumn("ratio", F.try_divide("mae_a", "mae_b"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import pi
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,41 @@ def supervised(panel: DataFrame, horizon: int = 14, column: str = "temp_avg") ->
     ahead = F.array(*[F.struct(F.lit(k).alias("horizon"), F.lead(column, k).over(by_city()).alias("target")) for k in range(1, horizon + 1)])
     rows = h.withColumn("ahead", ahead).where(" and ".join(f"lag{k} is not null" for k in LAGS)).withColumn("a", F.explode("ahead")).drop("ahead")
     return rows.select("city", F.col("date").alias("origin"), "a.horizon", F.date_add("date", F.col("a.horizon")).alias("target_date"), *[c for c in h.columns if c not in ("city", "date", column)], "a.target").where("target is not null")
+
+
+def smoothed(panel: DataFrame, spans=(7, 30), column: str = "temp_avg") -> DataFrame:
+    """Exponential moving averages with decay 2 / (span + 1), started at the first value."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        return pdf[["city", "date"]].assign(**{f"ewm{s}": pdf["y"].ewm(span=s, adjust=False).mean() for s in spans})
+
+    fields = "city string, date date, " + ", ".join(f"ewm{s} double" for s in spans)
+    return panel.select("city", "date", F.col(column).cast("double").alias("y")).groupBy("city").applyInPandas(run, fields)
+
+
+def channel_history(panel: DataFrame, columns, lags=(1, 7, 14)) -> DataFrame:
+    """Lags and weekly means of covariates known at each origin, and the daily range where both temperatures are there."""
+    over = by_city().rowsBetween(-6, 0)
+    weekly = lambda c: F.when(F.count(c).over(over) >= 3, F.avg(c).over(over))
+    out = {f"{c}_lag{k}": F.lag(F.col(c).cast("double"), k - 1).over(by_city()) for c in columns for k in lags}
+    out |= {f"{c}_rmean7": weekly(F.col(c).cast("double")) for c in columns}
+    if {"temp_max", "temp_min"} <= set(panel.columns):
+        span = F.col("temp_max") - F.col("temp_min")
+        out |= {"diurnal_range": span, "diurnal_range_rmean7": weekly(span)}
+    return panel.select("city", "date", *[c.alias(n) for n, c in out.items()])
+
+
+def climatology_at(rows: DataFrame, clim: DataFrame, panel: DataFrame, date: str = "date", column: str = "temp_avg") -> DataFrame:
+    """``rows`` with the climatology of their day; unknown series and days take the panel's mean."""
+    overall = panel.agg(F.avg(column).alias("overall"))
+    joined = rows.withColumn("doy", F.dayofyear(date)).join(clim, ["city", "doy"], "left").crossJoin(F.broadcast(overall))  # one row
+    return joined.withColumn("clim", F.coalesce("clim", "overall")).drop("doy", "overall")
+
+
+def encodings(supervised_rows: DataFrame, clim: DataFrame, panel: DataFrame) -> DataFrame:
+    """Code of the series by name, climatology at the target date and the last anomaly against it."""
+    names = supervised_rows.select("city").distinct()
+    codes = names.withColumn("city_code", (F.row_number().over(Window.orderBy("city")) - 1).cast("long"))  # one row a series
+    rows = climatology_at(supervised_rows, clim, panel, "target_date").join(codes, "city")
+    return rows.withColumnRenamed("clim", "target_clim").withColumn("anomaly_lag1", F.col("lag1") - F.col("target_clim"))

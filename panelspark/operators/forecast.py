@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.features import climatology
+from panelspark.sources.panel import rolling_origins
 
 COLUMNS = ("model", "city", "origin", "target_date", "horizon", "y_pred")
 
@@ -62,3 +63,10 @@ def walk_forward(panel: DataFrame, forecasts: DataFrame, column: str = "temp_avg
     """Forecasts with their truth; targets without a truth are dropped."""
     truth = panel.select("city", F.col("date").alias("target_date"), F.col(column).alias("y_true")).where("y_true is not null")
     return forecasts.join(truth, ["city", "target_date"])
+
+
+def calibration_origins(panel: DataFrame, horizon: int = 14, n: int = 6, tests: int = 8, stride: int = 14, min_train: int = 400, calibration_days: int = 90) -> DataFrame:
+    """Origins before the test window, one horizon apart, whose targets end at or before the first test origin."""
+    first = rolling_origins(panel, horizon, tests, stride, min_train).agg(F.min("origin").alias("first_origin"))
+    before = panel.join(F.broadcast(first), F.col("date") <= F.col("first_origin"))  # one row
+    return rolling_origins(before, horizon, n, horizon, min_train - calibration_days)

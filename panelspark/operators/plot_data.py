@@ -68,3 +68,18 @@ def mase(panel: DataFrame, scored: DataFrame, seasonality: int = 7, column: str
     scale = panel.select(F.abs(F.col(column) - F.lag(column, seasonality).over(by)).alias("d")).agg(F.avg("d").alias("scale"))
     mae = scored.groupBy("model").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
     return mae.crossJoin(F.broadcast(scale)).select("model", F.when(F.col("scale") > 1e-12, F.col("mae") / F.col("scale")).alias("mase"))  # one row
+
+
+def calendar_grid(panel: DataFrame, years, column: str = "temp_avg") -> DataFrame:
+    """Day of the year against the given years."""
+    days = panel.select(F.dayofyear("date").alias("doy"), F.year("date").alias("year"), column)
+    return days.groupBy("doy").pivot("year", list(years)).agg(F.avg(column))
+
+
+def forecast_example(panel: DataFrame, scored: DataFrame, city: str, rows: int = 90, column: str = "temp_avg") -> DataFrame:
+    """One series' last ``rows`` days before its last origin, then forecasts of every model beside the truth."""
+    own = scored.where(F.col("city") == city)
+    last = own.agg(F.max("origin").alias("origin"))
+    past = panel.where(F.col("city") == city).join(F.broadcast(last), F.col("date").between(F.date_sub("origin", rows - 1), F.col("origin")))  # one row
+    ahead = own.join(F.broadcast(last), "origin").select(F.col("target_date").alias("date"), "model", "y_true", "y_pred")
+    return past.select("date", F.lit("history").alias("model"), F.col(column).alias("y_true"), F.lit(None).cast("double").alias("y_pred")).unionByName(ahead)
