@@ -134,3 +134,12 @@ def test_models_do_not_see_the_future(spark, weather):
     for model in (models.autoregression, models.quantile_tree):
         whole = model(weather, o).where("city = 'Delhi'").orderBy("horizon").collect()
         assert whole == model(weather.where(F.col("date") <= cut), o).where("city = 'Delhi'").orderBy("horizon").collect()
+
+
+def test_panel_is_written_and_read(spark, weather, tmp_path):
+    from panelspark.sources.sinks import write_panel
+
+    write_panel(weather, str(tmp_path / "panel"))
+    again = source.read_csv(spark, str(tmp_path / "panel"))
+    assert again.select("city", "date", "temp_avg", "aqi", "aqi_category").exceptAll(weather.select("city", "date", "temp_avg", "aqi", "aqi_category")).count() == 0
+    assert again.count() == weather.count()
