@@ -117,14 +117,15 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Rows of ``docs`` that lead their near-duplicate group, columns as given.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: one row of each group of five-word Jaccard 0.8 or more.
 
-    The least doc_id of a group stays; rows of a repeated doc_id stay together.
+    The contract's fingerprints and radius are op9's alone: texts of that
+    similarity often differ in more bits, so the stage searches exactly.
     """
-    group = near_duplicates(docs, width)
-    lost = group.where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")
+    from panelspark.llm import jaccard_dedup
+
+    return jaccard_dedup.keep_one(docs)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelspark.llm import (
     decontaminate,
     embedding_dedup,
+    jaccard_dedup,
     license_scan,
     quality,
     queries,
@@ -321,6 +322,32 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 7 for i in range(200, 260)) and 3 not in got
 
 
+def brute_shingles(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_dedup_stage_against_brute_force(spark, docs, monkeypatch, block):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_dedup, "BLOCK", block)
+    rng, data = random.Random(8), [(r.doc_id, r.text) for r in docs.collect()]
+    for k in range(12):  # copies about the bound: each changed word changes up to five shingles
+        base = [f"w{k}x{i}" for i in range(200)]
+        for n in range(8):
+            words = list(base)
+            for i in rng.sample(range(200), n):
+                words[i] = f"new{n}y{i}"
+            data.append((100_000 + 10 * k + n, " ".join(words)))
+    sets = [(d, brute_shingles(t)) for d, t in data]
+    like = lambda a, b: not a and not b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    want = {d for d, root in brute_components(sorted(sets, key=lambda x: x[0]), like).items() if d == root}
+    made = spark.createDataFrame(data, "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, made, SF).collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(data) - 12
+
+
 # --- embeddings --------------------------------------------------------------
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
