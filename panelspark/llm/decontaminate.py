@@ -3,10 +3,10 @@
 Documents and items become word shingles (five words; an item with fewer words
 is one shingle of all its words). A window of a document, as many shingles
 long as an item, is laid wherever a shingle of the item anchors it: a window
-without any shared shingle has similarity zero, so none is missed. Windows and
-items get SimHash fingerprints; RADIUS + 1 blocks of the fingerprints index
-them, so every pair within RADIUS differing bits meets in a block; what meets
-is verified by exact weighted-shingle similarity.
+without any shared shingle has similarity zero. Windows and
+their item are compared by exact weighted-shingle similarity. SimHash
+fingerprints only say in how many bits the two differ: a filter on them would
+drop pairs that the weights accept, as their votes are equal.
 
 Weights fall with the number of items that share a shingle. Similarity is the
 weight of the item's shingles (with multiplicity) that the window holds, over
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import cut, discard, table
 
 WIDTH, SIMILARITY = 5, 0.8
-#: A pair with similarity 0.8 differs in 13 bits on average, with a deviation of 3.2.
-RADIUS = 26
 #: Rows that may be broadcast (some 40 bytes each); larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -53,16 +51,6 @@ def simhash(sh: str) -> Column:
     )
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """``radius + 1`` disjoint blocks of a fingerprint as (number, bits)."""
-    n = radius + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    return F.array(*[
-        F.struct(F.lit(k).alias("no"), F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"))
-        for k, (a, b) in enumerate(zip(edges, edges[1:]))
-    ])
-
-
 def items_of(benchmark: DataFrame, width: int) -> DataFrame:
     """``(iid, item_id, width, sh, terms, total, fp)`` of each item with words."""
     base = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
@@ -82,7 +70,7 @@ def items_of(benchmark: DataFrame, width: int) -> DataFrame:
     return long.drop("w").join(terms, "iid").withColumn("fp", simhash("sh"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, item_id, similarity, word_start, hamming)`` of each document that holds an item.
 
     One row per document id and item, with its best window. Null, empty and
@@ -127,13 +115,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simi
             .withColumn("win", F.slice("sh", F.col("start") + 1, F.size("ish")))
             .select("doc_id", "iid", "start", "win", simhash("win").alias("wfp"))
         )
-        index = items.select("iid", "item_id", "terms", "total", "fp", F.explode(blocks("fp", radius)).alias("b"))
-        hits = (
-            windows.withColumn("wb", F.explode(blocks("wfp", radius)))
-            .join(small(index, n_items * (radius + 1)).withColumnRenamed("iid", "i2"), (F.col("iid") == F.col("i2")) & (F.col("wb") == F.col("b")))
-            .withColumn("hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))))
-            .where(F.col("hamming") <= radius)
-            .dropDuplicates(["doc_id", "iid", "start", "wfp"])
+        hits = windows.join(small(items.select("iid", "item_id", "terms", "total", "fp"), n_items), "iid").withColumn(
+            "hamming", F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))
         )
         exact = F.expr("aggregate(terms, 0D, (s, t) -> s + t.wt * least(t.tf, size(filter(win, x -> x = t.h)))) / total")
         part = hits.withColumn("similarity", exact).where(F.col("similarity") >= similarity - 1e-9).select("doc_id", "item_id", "similarity", "start", "hamming")

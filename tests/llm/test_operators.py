@@ -262,6 +262,18 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_finds_items_of_a_template(spark):
+    template = [f"t{i}" for i in range(19)]
+    items = [(k, template + [f"i{k}x{i}" for i in range(15)]) for k in range(200)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    # each text holds the 15 shingles of its item that no other has
+    made = spark.createDataFrame([(k, " ".join([f"a{k}y{i}" for i in range(30)] + w[15:] + [f"z{k}y{i}" for i in range(30)])) for k, w in items], "doc_id long, text string")
+    got = decontaminate.contaminated(made, bench).collect()
+    want = math.log1p(200) / (math.log1p(200) + math.log1p(1))
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(200)}
+    assert all(r.similarity == pytest.approx(want) for r in got)
+
+
 def test_decontamination_stays_native(docs, spark):
     plan = decontaminate.contaminated(docs, table(spark, SF, "benchmark"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
