@@ -1,8 +1,9 @@
 """Secret scans: credential patterns and password guess-cost.
 
 Base spans come from three fixed patterns. The method then looks at values in
-a credential context that the base patterns leave out (other context words,
-or values under eight characters) and estimates how many guesses an attacker
+a credential context that the base patterns leave out in whole or in part
+(other context words, values under eight characters, or characters that end a
+base value early) and estimates how many guesses an attacker
 needs: dynamic programming picks the cheapest way to cut the value into
 dictionary words, dates, repeats, keyboard walks and brute-force stretches.
 Values that cost at least ``min_log10`` decimal digits of guesses are spans of
@@ -29,8 +30,9 @@ KINDS = ("assign", "access", "hex", "guess")
 # Further words that announce a credential.
 CONTEXT = (
     r"""(password|passwd|passphrase|pwd|secret|token|api_?key|access_?key|private_?key|auth|credentials?|bearer)"""
-    r"""["']?\x20*[:=]\x20*["']?([^\s"'<>,;]+)"""
+    r"""["']?\x20*[:=]\x20*["']?(?=[^\s"'<>,;])"""
 )
+VALUE = r"""[^\s"'<>,;]+"""
 # Words that guessing starts with, most likely first.
 WORDS = (
     "password 123456 qwerty admin letmein welcome monkey dragon master login secret token "
@@ -49,6 +51,7 @@ NEXT = {(r[i], r[i + d]) for r in ROWS for d in (1, -1) for i in range(len(r)) i
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?", re.ASCII)
 LEET = str.maketrans("@40135$7", "aaoiesst")
 RE_ASSIGN, RE_CONTEXT = re.compile(ASSIGN, re.I | re.A), re.compile(CONTEXT, re.I | re.A)
+RE_VALUE = re.compile(VALUE, re.A)
 RE_ACCESS = re.compile(ACCESS, re.A)
 RE_HEX = re.compile(r"[0-9a-f]{32,}", re.A)  # runs of HEX are maximal, so its long matches are these
 
@@ -116,12 +119,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], min_log10: float) -> list[tuple[int, int, int]]:
-    """Values in a credential context, outside base spans, that are costly to guess."""
+    """Values in a credential context that reach beyond base spans and are costly to guess.
+
+    A value may itself announce another; one inside a found value is part of it.
+    """
     out = []
+    stop = found = 0
     for m in RE_CONTEXT.finditer(text):
-        a, b = m.span(2)
-        if not any(s < b and a < e for s, _, e in base) and guess_cost(m[2]) >= min_log10:
-            out.append((a, 3, b))
+        a = m.end()
+        if a >= stop:  # values that start within a run of such characters end with it
+            stop = RE_VALUE.match(text, a).end()
+        if a < found:
+            continue
+        at = a
+        for s, _, e in base:
+            if s <= at < e:
+                at = e
+        if at < stop and guess_cost(text[a:stop]) >= min_log10:
+            out.append((a, 3, stop))
+            found = stop
     return out
 
 

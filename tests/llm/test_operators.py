@@ -229,6 +229,16 @@ def test_guess_cost():
     assert secret_scan.spans("auth: password") == []
 
 
+def test_guesses_reach_beyond_base_spans():
+    text = "password = \"hunter22!Xk9$Qz#pW\""
+    assert secret_scan.show(secret_scan.spans(text)) == "assign:0:20,guess:12:30"
+    assert secret_scan.redact_text(text) == '[SECRET]"'
+    assert secret_scan.show(secret_scan.spans("auth: token: zx9$Q!r7pL")) == "guess:13:23"
+    assert secret_scan.show(secret_scan.spans("auth:token=zx9$Q!r7pL")) == "guess:5:21"
+    assert secret_scan.show(secret_scan.spans("token = abcdefgh12345 y")) == "assign:0:21"
+    assert len(secret_scan.spans("auth:" * 200_000)) == 1
+
+
 # --- licenses ----------------------------------------------------------------
 def test_licenses(spark, docs, odd, empty):
     got = {(r.doc_id, r.template) for r in license_scan.scan(docs).collect()}
