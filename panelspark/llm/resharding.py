@@ -133,18 +133,20 @@ def plan(blocks: list[tuple[int, int, int]], n_old: int, n_new: int) -> dict[int
 
 
 def measure(docs: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
-    """``(doc_id, size, text_crc32, block)``; size is the text's UTF-8 bytes plus 1."""
+    """``(doc_id, size, text_crc32, text_hash, block)``; size is the text's UTF-8 bytes plus 1."""
     text = F.col("text").cast("string")
+    text_hash = F.xxhash64(F.coalesce(text, F.lit("")))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(n_blocks)).cast("int").alias("block"),
+        text_hash.alias("text_hash"),
+        F.pmod(text_hash, F.lit(n_blocks)).cast("int").alias("block"),
     )
 
 
 def reshard(docs: DataFrame, n_new: int = N_SHARDS, n_old: int = OLD_SHARDS, n_blocks: int = N_BLOCKS) -> DataFrame:
-    """``(doc_id, size, text_crc32, block, old_shard, shard, slot)`` of every row.
+    """``(doc_id, size, text_crc32, text_hash, block, old_shard, shard, slot)`` of every row.
 
     Old shards are the layout ``block mod n_old``; new shards hold near equal
     bytes. Null and empty texts count one byte and share a block; copies stay
@@ -168,25 +170,39 @@ def reshard(docs: DataFrame, n_new: int = N_SHARDS, n_old: int = OLD_SHARDS, n_b
         placed.withColumn("at", F.row_number().over(order))
         .join(first, ["shard", "cell"])
         .withColumn("slot", F.col("first") + F.col("at") - 1)
-        .select("doc_id", "size", "text_crc32", "block", "old_shard", "shard", "slot")
+        .select("doc_id", "size", "text_crc32", "text_hash", "block", "old_shard", "shard", "slot")
     )
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, out: str, files_per_shard: int = 8) -> list[int]:
     """Write the shards that lose or gain rows under ``out/shard=N``; returns their numbers.
 
-    Rows of untouched shards are filtered out before the shuffle; a shard is
-    dealt to ``files_per_shard`` tasks.
+    A row finds its place by doc_id, text hash and an occurrence number, so null
+    and repeated ids keep each row once. Rows of untouched shards are filtered
+    out before the write; a shard is dealt to ``files_per_shard`` tasks, and the
+    files of a shard that lost its last row go.
     """
     touched = sorted(
         {r.s for r in placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect()}
     )
-    part = placed.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_shard))
+    part = placed.where(F.col("shard").isin(touched))
+    filled = {r.shard for r in part.select("shard").distinct().collect()}
+    # copies have one shard, so any order among them will do
+    number = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    part = part.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "shard", "slot").withColumn("_no", number("_id", "_th"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"_row_id": F.col("doc_id").cast("long"), "_row_th": F.xxhash64(text)}).withColumn("_row_no", number("_row_id", "_row_th"))
+    same = F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_th") == F.col("_th")) & (F.col("_row_no") == F.col("_no"))
+    salt = F.pmod(F.xxhash64("slot"), F.lit(files_per_shard))
     (
-        docs.join(part, "doc_id").repartition(max(1, len(touched)) * files_per_shard, "shard", salt)
+        rows.join(part, same).select(*[docs[c] for c in docs.columns], "shard", "slot")
+        .repartition(max(1, len(touched)) * files_per_shard, "shard", salt)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(out)
     )
+    spark = docs.sparkSession
+    for shard in set(touched) - filled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/shard={shard}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return touched
 
 

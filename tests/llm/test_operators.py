@@ -198,6 +198,21 @@ def test_rewrite_touches_moved_shards(spark, docs, tmp_path):
     assert got == placed.where(F.col("shard").isin(touched)).count()
 
 
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    data = [(1, f"text {i}") for i in range(40)] + [(2, "same")] * 5 + [(None, f"none {i}") for i in range(20)] + [(None, "same")] * 3 + [(3, None), (3, "")]
+    made = spark.createDataFrame(data, "doc_id long, text string")
+    placed = resharding.reshard(made, n_new=2, n_old=3, n_blocks=64).cache()
+    out = str(tmp_path / "out")
+    spark.createDataFrame([(9, "old", 0, 2)], "doc_id long, text string, slot long, shard int").write.partitionBy("shard").parquet(out)
+    touched = resharding.rewrite(made, placed, out)
+    assert touched == [0, 1, 2]
+    got = spark.read.parquet(out).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(data)  # nor is the old row of the emptied shard there
+    want = {(r.shard, r.slot): (r.doc_id, r.text_hash) for r in placed.collect()}
+    th = {r.text: r.h for r in made.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    assert {(r.shard, r.slot): (r.doc_id, th[r.text]) for r in got} == want
+
+
 # --- secrets -----------------------------------------------------------------
 def brute_secrets(t):
     out = []
