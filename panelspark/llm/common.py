@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    A private folder is made only where the session names none, as in tests.
+    A private folder stands in only where the session names none and runs on
+    one machine, as in tests; a cluster without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="panelspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,12 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)``.
 
     Alternating large-star and small-star rewiring: each round is two grouped
     minima and two joins, every one over edges only, and the edge set never
-    grows. Returns ``(id, component)`` with the least reachable id for each id
+    grows, until a round changes nothing. Returns ``(id, component)`` with the least reachable id for each id
     that has an edge; self-loops are ignored.
     """
     pairs = edges.where("a <> b").select(
@@ -62,9 +65,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     now = cut(pairs.distinct())
     state = _digest(now)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (
@@ -84,8 +85,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before, state, now = state, _digest(new), new
         if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
     return stars.union(roots)

@@ -2,17 +2,30 @@
 
 Vectors are scaled to unit length and equal ones are one representative. A
 coarse quantiser deals representatives to inverted lists; the residual's
-subspaces are coded with small codebooks. A query (every representative)
-probes the lists nearest to it, looks distances up in its asymmetric tables,
-and what comes within the cosine threshold plus a margin is ranked again by
-the exact cosine in double precision. Codebooks are fitted on a bounded sample
-(MAX_TRAIN rows by hash); every row is indexed.
+subspaces are coded with small codebooks and every row keeps the error of its
+own code. Two bounds say where a link can hide:
+
+* A vector of list c lies on c's side of the plane halfway between c and the
+  query's own centroid, so a query needs list c only if that plane is no farther
+  than the threshold times the cosine of the angle at which the link crosses it.
+  Of two vectors the one with the lower list visits the other: a pair meets once.
+* A table distance strays from the true one by the indexed row's coding error at
+  most, and by less the more upright that error stands on the link.
+
+``angle`` bounds both cosines. At 1 the search is exact for any vectors and any
+codebooks, and visits many lists; the default is ANGLE standard deviations of
+the cosine between random directions, which finds 0.997 of pairs planted at
+cosines of 0.9005 to 0.93 and more of closer ones. What both bounds leave is
+ranked again by the exact cosine in double precision. Codebooks are fitted on a
+bounded sample (MAX_TRAIN rows by hash), and lists grow with the square root of
+the rows up to its size; every row is indexed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +34,17 @@ from panelspark.llm.common import components, cut, discard, table
 COSINE = 0.9
 MAX_TRAIN = 16_384
 SUBSPACES, CODES = 8, 64
-PROBES, LIST_ROWS, MAX_LISTS, TILE = 12, 400, 1024, 1_000
+#: Rows on each side of a task's comparison; longer lists are cut into such tiles.
+TILE = 2_048
+ANGLE = 2.4
 SEED = 7
+#: Slack of the bounds, far above rounding and far below any step of a distance that matters.
+SLACK = 1e-7
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half = (c * c).sum(1) / 2
+    return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, int)])
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -36,45 +58,47 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
-def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    half = (c * c).sum(1) / 2
-    return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, int)])
-
-
 class Codebooks:
-    """Coarse centroids, residual codebooks and the distance margin."""
+    """Coarse centroids and residual codebooks: arrays whose size does not depend on the input's."""
 
     def __init__(self, sample: np.ndarray, n_lists: int):
         rng = np.random.default_rng(SEED)
-        self.coarse = _kmeans(sample, n_lists, rng)
+        self.coarse = np.unique(_kmeans(sample, n_lists, rng), axis=0)
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         self.books = [_kmeans(rest[:, p], CODES, rng) for p in self.parts]
-        code = self.encode(rest)
-        error = rest - np.hstack([b[code[:, j]] for j, b in enumerate(self.books)])
-        #: table distances stray by at most about twice the coding error of the indexed vector
-        self.margin = 2.0 * float(np.quantile(np.sqrt((error**2).sum(1)), 0.999))
 
-    def encode(self, rest: np.ndarray) -> np.ndarray:
-        return np.stack([_nearest(np.ascontiguousarray(rest[:, p]), b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
-
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        far = (self.coarse * self.coarse).sum(1) / 2 - x @ self.coarse.T
-        n = min(n, len(self.coarse))
-        return np.argpartition(far, n - 1, axis=1)[:, :n]
+    def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of residuals and the length of what each code leaves."""
+        code = np.stack([_nearest(np.ascontiguousarray(rest[:, p]), b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
+        left = rest - np.hstack([b[code[:, j]] for j, b in enumerate(self.books)])
+        return code, np.sqrt((left * left).sum(1))
+
+    def visits(self, x: np.ndarray, home: np.ndarray, limit: float) -> list[np.ndarray]:
+        """The lists after its own that may hold a vector within ``limit`` of each row."""
+        half = (self.coarse * self.coarse).sum(1) / 2
+        out = []
+        for i in range(0, len(x), 1024):
+            own = home[i : i + 1024]
+            far = half - x[i : i + 1024] @ self.coarse.T
+            apart = 2 * (half[own][:, None] + half - self.coarse[own] @ self.coarse.T)
+            gap = (far - far[np.arange(len(own)), own][:, None]) / np.sqrt(np.maximum(apart, 1e-300))
+            near = (gap <= limit + SLACK) & (np.arange(len(half)) > own[:, None])
+            out += [np.flatnonzero(row).astype(np.int32) for row in near]
+        return out
 
     def table_distances(self, x: np.ndarray, which: int, code: np.ndarray) -> np.ndarray:
-        """Squared distances, queries by indexed rows, from one lookup table per query."""
+        """Distances, queries by indexed rows, from one lookup table per query."""
         rest = x - self.coarse[which]
         out = np.zeros((len(x), len(code)))
         for j, (p, b) in enumerate(zip(self.parts, self.books)):
             q = rest[:, p]
             out += ((q**2).sum(1)[:, None] - 2 * q @ b.T + (b**2).sum(1)[None])[:, code[:, j]]
-        return out
+        return np.sqrt(np.maximum(out, 0))
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v array<double> or null)``: null where nothing can link.
+def keyed(vectors: DataFrame) -> DataFrame:
+    """``(vec_id, e, k1, k2)``: 128 bits that stand for the unit vector, null where nothing can link.
 
     Null, empty and zero vectors and those with a null or non-finite component
     have no direction.
@@ -86,103 +110,190 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     )
     # scaling by the largest component first keeps squares in range
     scaled = F.when(ok, F.transform(v, lambda x: x / big))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("s"))
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"), scaled.alias("s"))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
-    return out.withColumn("norm", norm).select("vec_id", F.transform("s", lambda x: x / F.col("norm")).alias("v"))
+    out = out.withColumn("norm", norm).withColumn("u", F.transform("s", lambda x: x / F.col("norm")))
+    key = lambda *c: F.when(F.col("u").isNotNull(), F.xxhash64(*c, "u"))
+    return out.select("vec_id", "e", key().alias("k1"), key(F.lit(1)).alias("k2"))
 
 
-def _stack(column) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision at unit length."""
+    x = x.astype(float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def pairs(reps: DataFrame, cosine: float = COSINE, n_probes: int = PROBES) -> DataFrame:
-    """``(a, b)`` with a < b of representatives ``reps(id, v)`` that link.
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
-    Vectors of different lengths never meet. Lists are cut into tiles of about
-    TILE rows by a hash, so a list of any size is many tasks and each task
-    holds two tiles.
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of as few of the pairs as connect the same ids."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    keep = []
+    for n, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        i, j = root(i), root(j)
+        if i != j:
+            up[j] = i
+            keep.append(n)
+    return np.array(keep, dtype=int)
+
+
+def fit(mine: DataFrame, n: int, lists: int | None = None) -> Codebooks:
+    """Codebooks from at most about MAX_TRAIN of the ``n`` rows, by a hash of the vector."""
+    share = min(1.0, MAX_TRAIN / n)
+    taken = mine.where(F.pmod(F.xxhash64("v", F.lit(SEED)), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("v").orderBy("v")
+    sample = _matrix(taken.toArrow().column("v").combine_chunks())
+    if not len(sample):  # a share that no hash falls in
+        sample = _matrix(mine.select(F.min("v").alias("v")).toArrow().column("v").combine_chunks())
+    return Codebooks(units(sample), min(lists or int(np.ceil(np.sqrt(n) / 2)), len(sample)))
+
+
+def links(reps: DataFrame, cosine: float = COSINE, lists: int | None = None, angle: float | None = None) -> DataFrame:
+    """Links of representatives ``reps(id, n, v)``: ``(a, b, more)``.
+
+    Rows with ``b`` are links that connect all that is linked; the others say
+    that ``a`` has ``more`` links, each partner counted ``n`` times. Vectors of
+    different lengths never meet. A list is cut into tiles by a hash, so a list
+    of any size is many tasks, each holding two tiles; a task passes on no more
+    rows than it holds, however dense its links are.
     """
     spark = reps.sparkSession
-    found = None
+    kind = np.float32 if reps.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    reps = reps if kind is np.float32 else reps.withColumn("v", F.col("v").cast("array<double>"))
+    parts = []
     for row in reps.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
-        dim, n = row.d, row.n
-        mine = reps.where(F.size("v") == dim)
-        share = min(1.0, MAX_TRAIN / n)
-        picked = mine.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).orderBy("id").select("v").collect()
-        if not picked:
-            picked = mine.select("v").limit(1).collect()
-        book = Codebooks(np.array([r.v for r in picked]), int(np.clip(n // LIST_ROWS, 1, MAX_LISTS)))
+        mine, limit = reps.where(F.size("v") == row.d), float(np.sqrt(2 - 2 * cosine))
+        book = fit(mine, row.n, lists)
+        share = min(1.0, ANGLE / np.sqrt(row.d)) if angle is None else angle
 
         def deal(batches):
-            for pdf in batches:
-                x = _stack(pdf.v)
-                if not len(x):
+            for b in batches:
+                raw = _matrix(b.column("v"))
+                if not len(raw):
                     continue
-                near = _nearest(x, book.coarse)
-                code = book.encode(x - book.coarse[near])
-                yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "list": near.astype(np.int32), "code": [c.tobytes() for c in code], "probes": list(book.probes(x, n_probes).astype(np.int32))})
-
-        dealt = cut(mine.mapInPandas(deal, "id long, v array<double>, list int, code binary, probes array<int>"))
-        sizes = cut(dealt.groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
-        asked = cut(
-            dealt.select("id", "v", F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / TILE).cast("int").alias("q_tiles"))
-        )
-        shape = sizes.join(asked, "list")
+                x = units(raw)
+                home = _nearest(x, book.coarse)
+                code, error = book.encode(x - book.coarse[home])
+                visits = book.visits(x, home, limit * share)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("id"), b.column("n"), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(home, pa.int32()),
+                        pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error), pa.array(visits, pa.list_(pa.int32())),
+                    ],
+                    names=["id", "n", "v", "list", "code", "error", "visits"],
+                )
+
+        kinds = "id long, n long, v binary, list int, code binary, error double, visits array<int>"
+        dealt = cut(mine.select("id", "n", "v").mapInArrow(deal, kinds))
+        asked = dealt.select(F.explode(F.concat(F.array("list"), "visits")).alias("list")).groupBy("list").agg(F.count("*").alias("q"))
+        held = dealt.groupBy("list").agg(F.count("*").alias("i"))
+        tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+        # lists number at most MAX_TRAIN, so this is small whatever the input
+        shape = F.broadcast(cut(held.join(asked, "list").select("list", tiles("i").alias("i_tiles"), tiles("q").alias("q_tiles"))))
         tile = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-        kept = dealt.join(F.broadcast(shape), "list").select(
-            "id", "v", "code", "list", tile("tiles", 1).alias("tile"), F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)).alias("q_tile")
-        )
-        query = dealt.select("id", "v", F.explode("probes").alias("list")).join(F.broadcast(shape), "list").select(
-            "id", "v", F.lit(None).cast("binary").alias("code"), "list",
-            F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), tile("q_tiles", 2).alias("q_tile"),
-        )
-        limit = np.sqrt(2 - 2 * cosine)
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = dealt.join(shape, "list").withColumns({"t": tile("i_tiles", 1), "k": tile("q_tiles", 2)})
+        # the same row both as one indexed and as a query where its two tiles meet
+        index = own.withColumn("k2", upto("q_tiles")).select("list", F.col("t").alias("tile"), F.col("k2").alias("q_tile"), "id", "n", "v", "code", "error", (F.col("k") == F.col("k2")).alias("asks"))
+        none = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"), F.lit(True).alias("asks")]
+        again = own.where("i_tiles > 1").withColumn("t2", upto("i_tiles")).where("t2 <> t").select("list", F.col("t2").alias("tile"), F.col("k").alias("q_tile"), "id", "n", "v", *none)
+        guests = dealt.select("id", "n", "v", F.explode("visits").alias("list")).join(shape, "list").withColumn("k", tile("q_tiles", 2))
+        guests = guests.withColumn("t2", upto("i_tiles")).select("list", F.col("t2").alias("tile"), F.col("k").alias("q_tile"), "id", "n", "v", *none, F.lit(1).alias("guest"))
+        members = index.withColumn("guest", F.lit(0)).union(again.withColumn("guest", F.lit(0))).union(guests)
 
         def search(pdf):
-            index, ask = pdf[pdf.code.notna()], pdf[pdf.code.isna()]
-            if not len(index) or not len(ask):
-                return pd.DataFrame({"a": [], "b": []}).astype("int64")
-            x, y = _stack(ask.v), _stack(index.v)
-            code = np.frombuffer(b"".join(index.code), dtype=np.uint8).reshape(len(index), -1)
-            near = np.argwhere(book.table_distances(x, int(pdf["list"].iloc[0]), code) <= (limit + book.margin) ** 2)
-            q, i = near[:, 0], near[:, 1]
-            exact = np.concatenate([(x[q[s : s + 65536]] * y[i[s : s + 65536]]).sum(1) for s in range(0, len(q), 65536)] or [np.zeros(0)])
-            a, b = ask.id.to_numpy()[q[exact >= cosine]], index.id.to_numpy()[i[exact >= cosine]]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b]
-
-        part = kept.union(query).groupBy("list", "tile", "q_tile").applyInPandas(search, "a long, b long").distinct()
-        part = cut(part)
-        discard(sizes, asked)
-        found = part if found is None else found.union(part)
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, n_probes: int = PROBES) -> DataFrame:
+            listed, asks = pdf[pdf.code.notna()], pdf[pdf.asks]
+            nothing = pd.DataFrame({"a": [], "b": [], "more": []}).astype("Int64")
+            if not len(listed) or not len(asks):
+                return nothing
+            y = units(np.frombuffer(b"".join(listed.v), kind).reshape(len(listed), -1))
+            code = np.frombuffer(b"".join(listed.code), dtype=np.uint8).reshape(len(listed), -1)
+            error, y_id, y_n = listed.error.to_numpy(), listed.id.to_numpy(), listed.n.to_numpy()
+            reach = np.sqrt(limit**2 + error**2 + 2 * limit * error * share) + SLACK
+            x_id, x_n, guest = asks.id.to_numpy(), asks.n.to_numpy(), asks.guest.to_numpy() == 1
+            raw = asks.v.to_numpy()
+            ids, place = np.unique(np.concatenate([y_id, x_id]), return_inverse=True)
+            y_at, x_at, more, found = place[: len(y_id)], place[len(y_id) :], np.zeros(len(ids), np.int64), []
+            for s in range(0, len(raw), 256):
+                x = units(np.frombuffer(b"".join(raw[s : s + 256]), kind).reshape(-1, y.shape[1]))
+                near = book.table_distances(x, int(pdf["list"].iloc[0]), code) <= reach
+                # in its own list a row comes as indexed and as query: the lesser id is the indexed one
+                near &= guest[s : s + 256, None] | (y_id[None] < x_id[s : s + 256, None])
+                q, i = np.nonzero(near)
+                sure = np.concatenate([(x[q[k : k + 65536]] * y[i[k : k + 65536]]).sum(1) for k in range(0, len(q), 65536)] or [np.zeros(0)]) >= cosine
+                q, i = q[sure] + s, i[sure]
+                np.add.at(more, x_at[q], y_n[i])
+                np.add.at(more, y_at[i], x_n[q])
+                keep = _forest(x_id[q], y_id[i])
+                found.append((x_id[q[keep]], y_id[i[keep]]))
+            a, b = (np.concatenate(c) for c in zip(*found))
+            keep = _forest(a, b)
+            has = np.flatnonzero(more)
+            links, counts = len(keep), len(has)
+            column = lambda x, gone: pd.arrays.IntegerArray(x.astype(np.int64), gone)
+            blank = np.repeat([False, True], [links, counts])
+            return pd.DataFrame({
+                "a": np.concatenate([a[keep], ids[has]]),
+                "b": column(np.concatenate([b[keep], np.zeros(counts)]), blank),
+                "more": column(np.concatenate([np.zeros(links), more[has]]), ~blank),
+            })
+
+        parts.append(cut(members.groupBy("list", "tile", "q_tile").applyInPandas(search, "a long, b long, more long")))
+        discard(dealt)
+    out = spark.createDataFrame([], "a long, b long, more long")
+    for part in parts:
+        out = out.union(part)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, lists: int | None = None, angle: float | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors(vec_id, embedding)``.
 
-    Equal unit vectors count as links of each other but add no pairs. Rows
-    without a direction have no link and are their own component. Repeated
-    vec_ids each keep their row, an empty table gives none and labels or other
-    columns are ignored.
+    Equal unit vectors link with each other but are one vertex of the search.
+    Rows without a direction have no link and are their own component. Rows
+    with a null or repeated vec_id are rows like any other: component_id is the
+    least id that is not null, null if all are, and a row is kept if its id
+    equals that, null or not. An empty table gives none and labels or other
+    columns are ignored. ``lists`` sets the number of inverted lists and
+    ``angle=1.0`` makes the search exact.
     """
-    rows = cut(unit_vectors(vectors).withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
-    reps = cut(
-        rows.where("v is not null").groupBy("key", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("key", "id", "n", "v")
-    )
-    edges = pairs(reps.select("id", "v"), cosine, n_probes)
-    weight = reps.select("id", "n")
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    degree = both.join(weight.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("more"))
-    named = cut(
-        reps.join(degree, reps["id"] == degree["a"], "left")
-        .join(components(edges).withColumnRenamed("id", "c"), F.col("id") == F.col("c"), "left")
-        .select("key", F.col("v").alias("rv"), (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    rows = rows.withColumn("key", F.coalesce("key", F.xxhash64("vec_id")))
-    joined = rows.join(named.withColumnRenamed("key", "k2"), (F.col("key") == F.col("k2")) & (F.col("v") == F.col("rv")), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    rows = cut(keyed(vectors))
+    reps = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min("e").alias("v"))
+    # written before use, so that every later step sees the same numbers
+    reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
+    found = links(reps.select("id", "n", "v"), cosine, lists, angle)
+    degree = found.where("more is not null").groupBy(F.col("a").alias("id")).agg(F.sum("more").alias("more"))
+    groups = components(found.where("b is not null").select("a", "b"))
+    joined = cut(reps.drop("v").join(degree, "id", "left").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    first = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = joined.join(first, "component").select("k1", "k2", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = rows.drop("e").where("k1 is not null").join(named, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The same by brute force over all pairs.
+OP10_SQL = f"""
+WITH RECURSIVE raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+vec AS (SELECT vec_id, e, len(e) AS d, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM raw
+        WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM vec x JOIN vec y ON x.vec_id <> y.vec_id AND x.d = y.d
+        WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= {COSINE}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM raw UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM raw JOIN least ON vec_id = least.a LEFT JOIN degree ON vec_id = degree.a
+"""

@@ -101,7 +101,9 @@ class Index:
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """``(doc_id, license, template, containment, window_start)`` of each template found in a row.
 
-    Null, empty and word-free texts give no row, repeated rows each give
+    A template whose shingles here all belong to a template that the row holds
+    more fully is another version of that one and gives no row. Null, empty and
+    word-free texts give no row, repeated rows each give
     theirs, an empty table gives none and further columns are ignored.
     """
     index = Index(templates)
@@ -127,3 +129,23 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
 def op7(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The same from the exact containment of every window.
+OP7_SQL = rf"""
+WITH given(template, license, text) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))}),
+tw AS (SELECT *, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM given),
+tl AS (SELECT template, license, list_distinct(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS sh FROM tw),
+term AS (SELECT template, license, len(sh) AS n, CAST(pow(2, ceil(log2(len(sh)))) AS BIGINT) AS m, unnest(sh) AS h FROM tl),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+dsh AS (SELECT rid, doc_id, unnest(range(0, len(w) - {WIDTH - 1})) AS p, unnest(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS h FROM dw WHERE len(w) >= {WIDTH}),
+occ AS (SELECT rid, doc_id, template, license, n, m, h, unnest([p // m, p // m - 1]) AS k FROM dsh JOIN term USING (h)),
+win AS (SELECT rid, doc_id, template, license, k * m AS start, list(DISTINCT h) AS held, count(DISTINCT h) / n AS containment FROM occ WHERE k >= 0 GROUP BY rid, doc_id, template, license, n, m, k),
+best AS (SELECT * FROM win WHERE containment >= {CONTAINMENT} QUALIFY row_number() OVER (PARTITION BY rid, template ORDER BY containment DESC, start) = 1)
+SELECT doc_id, license, CAST(template AS INT) AS template, containment, CAST(start AS BIGINT) AS window_start FROM best x
+WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.rid = x.rid AND x.containment < y.containment AND list_has_all(y.held, x.held))
+"""

@@ -67,15 +67,16 @@ def statistics(text: str | None) -> list[float]:
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``(doc_id, x array<double>)`` of every row of ``docs(doc_id, text)``."""
+def features(docs: DataFrame, keep=()) -> DataFrame:
+    """``(doc_id, x array<double>)`` of every row of ``docs(doc_id, text)``; long columns ``keep`` pass."""
 
     def run(batches):
         for b in batches:
             x = pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), x], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), x, *b.columns[2:]], names=["doc_id", "x", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    fields = "doc_id long, x array<double>" + "".join(f", {c} long" for c in keep)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(run, fields)
 
 
 def held_out():
@@ -182,34 +183,37 @@ def fit(feats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mode
     return Model(model.mean, model.scale, beta, knots, values)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row of ``docs``.
+def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep=()) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for each row of ``docs``; long columns ``keep`` pass.
 
     Null and empty texts are scored from zero statistics, repeated rows each
     keep their row, a null doc_id is never held out, empty tables give no rows
     and columns other than doc_id and text never enter a score.
     """
-    feats = cut(features(docs))
+    feats = cut(features(docs, keep))
     model = fit(feats, labels, max_train)
 
     def run(batches):
         for b in batches:
             s = model.score(_matrix(b.column(1))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *b.columns[2:]], names=["doc_id", "score", *keep])
 
-    return feats.mapInArrow(run, "doc_id long, score double").select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return feats.mapInArrow(run, "doc_id long, score double" + "".join(f", {c} long" for c in keep)).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *keep
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the classifier does not reject, columns as given.
 
-    A doc_id that repeats is rejected only if all of its rows are.
+    Each row is judged by its own text: repeated and null doc_ids change
+    nothing, equal texts are judged alike and an empty table gives none.
     """
-    scored = score(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("good"))
-    bad = cut(scored.where("good = 0").select(F.col("doc_id").alias("bad_id")))
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["bad_id"], "left_anti")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    scored = score(docs.select("doc_id", "text", keys[0].alias("k1"), keys[1].alias("k2")), labels, keep=["k1", "k2"])
+    bad = cut(scored.where("predicted = 0").select(F.col("k1").alias("_bad1"), F.col("k2").alias("_bad2")).distinct())
+    return docs.join(bad, (keys[0] == bad["_bad1"]) & (keys[1] == bad["_bad2"]), "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -47,8 +47,15 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghi
 
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
+#: A run that is cut short is cut where a word or a date that leaves it may start.
+OVERLAP = max(LONGEST, 10)
 NEXT = {(r[i], r[i + d]) for r in ROWS for d in (1, -1) for i in range(len(r)) if 0 <= i + d < len(r)}
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?", re.ASCII)
+# Forms of a date (year, with month, with day) and log10 of how many there are.
+DATES = (
+    (re.compile(r"(?:19|20)\d\d", re.A), 2.1),
+    (re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])", re.A), 4.0),
+    (re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", re.A), 4.0),
+)
 LEET = str.maketrans("@40135$7", "aaoiesst")
 RE_ASSIGN, RE_CONTEXT = re.compile(ASSIGN, re.I | re.A), re.compile(CONTEXT, re.I | re.A)
 RE_VALUE = re.compile(VALUE, re.A)
@@ -56,57 +63,86 @@ RE_ACCESS = re.compile(ACCESS, re.A)
 RE_HEX = re.compile(r"[0-9a-f]{32,}", re.A)  # runs of HEX are maximal, so its long matches are these
 
 
-def guess_cost(value: str) -> float:
+class Value:
+    """A value's spans that are cheaper than brute force, found where they are asked for."""
+
+    def __init__(self, value: str):
+        self.value, self.low = value, value.lower()
+        self.low = self.low if len(self.low) == len(value) else value
+        self.plain = self.low.translate(LEET)
+        spread = 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value)
+        spread += 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
+        self.brute = math.log10(max(spread, 10))
+        self.spans: dict[int, list[tuple[int, float]]] = {}
+        self.same = self.walk = (0, 0)  # the run last looked at
+
+    def _run(self, i: int, known: tuple[int, int], joined) -> tuple[int, int]:
+        if known[0] <= i < known[1]:
+            return known
+        end = i + 1
+        while end < len(self.low) and joined(self.low[end - 1], self.low[end]):
+            end += 1
+        return i, end
+
+    def at(self, i: int) -> list[tuple[int, float]]:
+        """``(end, log10 of guesses)`` of the words, dates, repeats and walks that start at ``i``."""
+        if i in self.spans:
+            return self.spans[i]
+        out, value, low = [], self.value, self.low
+        for j in range(i + 1, min(len(low), i + LONGEST) + 1):
+            for word, extra in ((low[i:j], 0.0), (self.plain[i:j], 0.7)):
+                if word in RANK:
+                    out.append((j, math.log10(RANK[word] + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0)))
+        if value[i].isdigit():
+            out += [(m.end(), cost) for form, cost in DATES for m in [form.match(value, i)] if m]
+        self.same = self._run(i, self.same, lambda x, y: x == y)
+        self.walk = self._run(i, self.walk, lambda x, y: (x, y) in NEXT)
+        for (_, end), least, cost in ((self.same, 3, self.brute), (self.walk, 4, 2.0)):
+            out += [(j, cost + math.log10(j - i)) for j in range(max(i + least, end - OVERLAP), end + 1)]
+        self.spans[i] = out
+        return out
+
+
+def guess_cost(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses the cheapest segmentation needs; 0.0 for ''.
 
-    Spans of n parts also pay log10(n!), as an attacker tries their orders.
-    Runs are extended only while they hold, so the work is proportional to the
-    length for repeats and walks and to length times word size for words.
+    A segmentation of n parts also pays log10(n!), as an attacker tries their
+    orders, so the minimum is taken over place and number of parts: one layer a
+    part, holding the cheapest way to each place. A layer ends the search when
+    its orders alone cost as much as the best way found, and a way that costs
+    ``enough`` or more is dropped; then ``enough`` is returned if none is left.
+    A run of repeats or a walk may end before it must only where something that
+    leaves the run can start: ending it elsewhere never pays.
     """
-    n, low = len(value), value.lower()
+    n = len(value)
     if not n:
         return 0.0
-    plain = low.translate(LEET)
-    spread = 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value)
-    spread += 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
-    brute = math.log10(max(spread, 10))
-    best, parts = [0.0] + [math.inf] * n, [0] * (n + 1)
-
-    def offer(i: int, j: int, cost: float) -> None:
-        total = best[i] + cost + math.log10(parts[i] + 1)
-        if total < best[j]:
-            best[j], parts[j] = total, parts[i] + 1
-
-    flat = [0.0] * (n + 1)  # brute-force stretches grow one character at a time
-    same = step = 0
-    for i in range(n):
-        flat_from = best[i] + math.log10(parts[i] + 1)
-        open_end = flat[i] if i and flat[i] <= flat_from else flat_from
-        flat[i + 1] = open_end + brute
-        if flat[i + 1] < best[i + 1]:
-            best[i + 1] = flat[i + 1]
-            parts[i + 1] = parts[i] + (open_end == flat_from)
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            for word, extra in ((low[i:j], 0.0), (plain[i:j], 0.7)):
-                if word in RANK:
-                    offer(i, j, math.log10(RANK[word] + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0))
-        for m in filter(None, (DATE.match(value, i),)):
-            offer(i, m.end(), 4.0 if m.end() - i > 4 else 2.1)
-        if i >= same:
-            same = i
-            while same < n and low[same] == low[i]:
-                same += 1
-            if same - i >= 3:
-                offer(i, same, math.log10(spread or 10) + math.log10(same - i))
-        if i >= step:
-            step = i + 1
-            while step < n and (low[step - 1], low[step]) in NEXT:
-                step += 1
-            if step - i >= 4:
-                offer(i, step, 2.0 + math.log10(step - i))
-            else:
-                step = i + 1
-    return best[n]
+    own = Value(value)
+    best, layer, orders, parts = min(n * own.brute, enough), {0: 0.0}, 0.0, 0
+    while layer:
+        parts += 1
+        orders += math.log10(parts)
+        if orders >= best:
+            break
+        after: dict[int, float] = {}
+        room = best - orders
+        flat = math.inf  # a brute-force stretch grows one character at a time
+        i = min(layer)
+        last = max(layer)
+        while i < n and (i <= last or flat < room):
+            here = layer.get(i, math.inf)
+            if here < room:
+                for j, cost in own.at(i):
+                    if here + cost < after.get(j, room):
+                        after[j] = here + cost
+            flat = min(flat, here) + own.brute
+            if flat < after.get(i + 1, room):
+                after[i + 1] = flat
+            i += 1
+        if n in after:
+            best = min(best, after.pop(n) + orders)
+        layer = after
+    return best
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -135,7 +171,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], min_log10: float) -
         for s, _, e in base:
             if s <= at < e:
                 at = e
-        if at < stop and guess_cost(text[a:stop]) >= min_log10:
+        if at < stop and guess_cost(text[a:stop], min_log10) >= min_log10:
             out.append((a, 3, stop))
             found = stop
     return out
@@ -197,7 +233,12 @@ def redact_text(text: str | None, min_log10: float = 8.0, mark: str = "[SECRET]"
 
 
 def redact(docs: DataFrame, min_log10: float = 8.0) -> DataFrame:
-    """``docs`` with secrets masked in ``text`` and ``n_chars`` brought up to date."""
+    """``docs`` with secrets masked in ``text`` and ``n_chars`` brought up to date.
+
+    Every row is masked by itself: null and empty texts stay, repeated rows and
+    null doc_ids are rows like any other, other columns pass, and an empty
+    table gives none.
+    """
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):

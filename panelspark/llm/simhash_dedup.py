@@ -102,18 +102,19 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row of ``docs(doc_id, text)``.
 
     Equal fingerprints are one vertex, so copies add no pairs. Null, empty and
-    blank texts all have fingerprint zero and link like any other; rows that
-    repeat a doc_id each keep their row. An empty table gives an empty result;
-    further columns of ``docs`` are ignored.
+    blank texts all have fingerprint zero and link like any other; rows with a
+    null or repeated doc_id each keep their row and link by their own text.
+    component_id is the least doc_id that is not null, null if all are. An
+    empty table gives an empty result; further columns of ``docs`` are ignored.
     """
     rows = cut(fingerprints(docs, width))
-    reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges = links(reps)
-    comp = components(edges)
-    named = cut(
-        reps.join(comp, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    )
-    discard(edges, reps)
+    reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges = links(reps.select(F.col("fp").alias("id"), "fp"))
+    groups = components(edges).withColumnRenamed("id", "fp")
+    joined = cut(reps.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    first = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(joined.join(first, "component").select("fp", "component_id"))
+    discard(edges, reps, joined)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

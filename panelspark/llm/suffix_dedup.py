@@ -12,6 +12,9 @@ What is left, distinct contexts that share an anchor, is dealt by anchor; each
 task sorts the suffixes of its contexts by the difference-cover algorithm
 (sort the sampled triples, recurse on their names, merge the remaining
 suffixes) and compares adjacent suffixes for a common prefix of 100 bytes.
+Where more than BIG contexts share an anchor, as at the ends of a passage that
+many rows hold, no task could sort them together: their 100-byte strings are
+grouped by a 128-bit hash instead, and the least place of each is the first.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from panelspark.llm.common import cut, table
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # how far before its anchor a string may start
-#: Anchors with more rows than this are dealt by the bytes beside them as well.
-BIG = 2_000
-#: Bytes that a task sorts at once; a larger bucket is sorted alone.
+#: Most contexts of one anchor that a task sorts together.
+BIG = 1_000
+#: Bytes that a task sorts at once.
 CHUNK = 1 << 18
 NO_ID = -(1 << 63)
 _TABLE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
@@ -191,22 +194,48 @@ def _contexts(pairs: DataFrame) -> DataFrame:
                 for m in marks:
                     p, start = m["at"], max(0, m["at"] - REACH)
                     c = raw[start : p + LENGTH]
-                    if m["big"]:
-                        # two strings that share an anchor share 34 bytes on one side of it
-                        half = REACH // 2
-                        sides = {xxhash.xxh64_intdigest(raw[p : p + GRAM + half], 1), xxhash.xxh64_intdigest(raw[max(0, p - half) : p + GRAM], 2)}
-                        rows += [((m["key"] ^ s) & (2**64 - 1), d, h, start, c) for s in sides]
-                    else:
-                        rows.append((m["key"] & (2**64 - 1), d, h, start, c))
+                    rows.append((m["key"], d, h, start, c))
             key, d, h, s, c = zip(*rows) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32()), pa.array(c, pa.binary())],
+                [pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32()), pa.array(c, pa.binary())],
                 names=["key", "did", "th", "start", "ctx"],
             )
 
     return pairs.mapInArrow(run, "key long, did long, th long, start int, ctx binary")
 
 
+def repeats_of_common(pairs: DataFrame) -> DataFrame:
+    """``(did, th, lo, hi)``: strings about the anchors of ``pairs(did, th, text, marks)`` that also start earlier.
+
+    Grouped minima, joined back: a string of any number of rows is no group of
+    rows, only a key that the join may split.
+    """
+
+    def run(batches):
+        for b in batches:
+            h1, h2, did, th, at = [], [], [], [], []
+            for d, h, t, marks in zip(*(b.column(i).to_pylist() for i in range(4))):
+                raw = t.encode("utf-8", "surrogatepass")
+                places = {s for m in marks for s in range(max(0, m["at"] - REACH), min(m["at"], len(raw) - LENGTH) + 1)}
+                digests = b"".join(xxhash.xxh3_128_digest(raw[s : s + LENGTH]) for s in places)
+                pair = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                h1.append(pair[:, 0])
+                h2.append(pair[:, 1])
+                did += [d] * len(places)
+                th += [h] * len(places)
+                at += places
+            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cat(h1)), pa.array(cat(h2)), pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(at, pa.int32())], names=["h1", "h2", "did", "th", "at"]
+            )
+
+    strings = cut(pairs.mapInArrow(run, "h1 long, h2 long, did long, th long, at int"))
+    place = F.struct("did", "th", "at")
+    first = strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = strings.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    return later.select("did", "th", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
+
+
 def sort_contexts(contexts: DataFrame) -> DataFrame:
     """``(did, th, from, to)``: starts of repeated strings found among contexts of one key."""
 
@@ -293,12 +322,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     others. An empty table gives none and further columns are ignored.
     """
     found = cut(suspects(docs))
-    marks = found.where("not dup").groupBy("did", "th").agg(F.collect_set(F.struct("key", "at", "big")).alias("marks"))
+    of_text = lambda df: df.groupBy("did", "th").agg(F.collect_set(F.struct("key", "at")).alias("marks"))
+    marks, common = of_text(found.where("not dup and not big")), of_text(found.where("not dup and big"))
     did, text = _text_key()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), did, text).withColumn("th", F.xxhash64("text"))
-    # both joins deal the texts alike, so that one shuffle serves the two
-    pairs = rows.join(marks, ["did", "th"]).select("did", "th", "text", "marks", "doc_id")
-    sorted_spans = sort_contexts(_contexts(pairs))
+    # the joins deal the texts alike, so that one shuffle serves them
+    marked = lambda m: rows.join(m, ["did", "th"]).select("did", "th", "text", "marks", "doc_id")
+    sorted_spans = sort_contexts(_contexts(marked(marks)))
+    if not found.where("not dup and big").isEmpty():
+        sorted_spans = sorted_spans.union(repeats_of_common(marked(common)))
     copies = found.where("dup").select("did", "th", F.greatest(F.col("at") - REACH, F.lit(0)).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     spans = copies.union(sorted_spans).groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
@@ -332,3 +364,21 @@ def strip(text: str, spans) -> tuple[int, int, int, str]:
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+#: The same from every 100-byte string of every text; doc_ids must differ.
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+place AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {LENGTH - 1})) AS p FROM d),
+win AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, {2 * LENGTH})) AS s FROM place),
+later AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+edge AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > {LENGTH}, true) AS new FROM later),
+run AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge),
+span AS (SELECT doc_id, min(p) AS lo, max(p) + {LENGTH} AS hi FROM run GROUP BY doc_id, k),
+kept AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS was FROM span),
+cutout AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS stop, string_agg(substr(x, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) AS head
+           FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cutout USING (doc_id)
+"""

@@ -3,7 +3,8 @@
 DataFrame and SQL functions only. Lexical features of the url feed boosted
 trees that learn from labelled URLs: those that a rule decides, unless a
 labelled table is given. Suffix statistics (how common the host's last label
-is among labelled URLs, and how often it is blocked) are grouped counts.
+and its last two are among labelled URLs, and how often they are blocked) are
+grouped counts; a training row is left out of its own.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def lexical(df: DataFrame) -> DataFrame:
-    """``df(url, host, path)`` with the LEXICAL columns and ``suffix``."""
+    """``df(url, host, path)`` with the LEXICAL columns and the host's last labels."""
     url = F.coalesce(F.col("url"), F.lit(""))
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
     low = F.translate(url, UPPER, LOWER)
@@ -68,7 +69,8 @@ def lexical(df: DataFrame) -> DataFrame:
     entropy = reduce(lambda a, b: a + b, [part(c) for c in [*counts, F.length(F.translate(low, ALPHABET, "")).cast("double")]])
     labels = F.split("host", r"\.")
     return df.withColumns({
-        "suffix": F.element_at(labels, -1),
+        "suffix1": F.element_at(labels, -1),
+        "suffix2": F.substring_index("host", ".", -2),
         "n_url": F.length(url).cast("double"),
         "n_host": F.length("host").cast("double"),
         "n_path": F.length("path").cast("double"),
@@ -117,20 +119,21 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, max_
         discard(train)
         return out.select("page_id", "host", "path", "rule", F.coalesce("given", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("block_score"))
     prior = float(seen[1] / seen[0])
-    stats = cut(
-        train.groupBy("suffix").agg(
-            F.log1p(F.count("*").cast("double")).alias("suffix_count"),
-            ((F.sum("y") + 5 * prior) / (F.count("*") + 5)).alias("suffix_block"),
-        )
-    )
-    inputs = [*LEXICAL, "suffix_count", "suffix_block"]
+    suffixes = ("suffix1", "suffix2")
+    stats = {s: cut(train.groupBy(s).agg(F.count("*").alias(f"{s}_n"), F.sum("y").alias(f"{s}_y"))) for s in suffixes}
+    inputs = [*LEXICAL, *(f"{s}_{what}" for s in suffixes for what in ("count", "block"))]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
 
-    def with_stats(df: DataFrame) -> DataFrame:
-        return df.join(stats, "suffix", "left").fillna({"suffix_count": 0.0, "suffix_block": prior})
+    def with_stats(df: DataFrame, own: Column | None = None) -> DataFrame:
+        """Counts and smoothed block rates; a row with a label of its ``own`` is left out of them."""
+        for s in suffixes:
+            df = df.join(stats[s], s, "left").fillna({f"{s}_n": 0, f"{s}_y": 0.0})
+            n, y = (F.col(f"{s}_n"), F.col(f"{s}_y")) if own is None else (F.col(f"{s}_n") - 1, F.col(f"{s}_y") - own)
+            df = df.withColumns({f"{s}_count": F.log1p(n.cast("double")), f"{s}_block": (y + 5 * prior) / (n + 5)})
+        return df
 
     fitted = GBTClassifier(featuresCol="features", labelCol="y", maxIter=10, maxDepth=3, seed=seed, cacheNodeIds=False).fit(
-        assembler.transform(with_stats(train).select("y", *inputs))
+        assembler.transform(with_stats(train, F.col("y")).select("y", *inputs))
     )
     scored = fitted.transform(assembler.transform(with_stats(lexical(base))))
     scored = scored.withColumn("block_score", vector_to_array("probability")[1])
