@@ -48,6 +48,16 @@ def discard(*dfs: DataFrame) -> None:
             fs.delete(jpath, True)
 
 
+#: Tables of keys up to this size are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """``df``, of rows of ``row_bytes`` at most, marked for broadcast if its counted size allows."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,13 +27,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, discard, table
+from panelspark.llm.common import cut, discard, small, table
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints: blocks of BITS // BLOCKS bits, and the radius within which none is missed.
 BITS, BLOCKS, RADIUS = 64, 16, 15
-#: Sides up to this size are broadcast; all of them have rows of at most ROW_BYTES.
-BROADCAST_BYTES, ROW_BYTES = 64 << 20, 96
+#: Bound of a row of the tables that may be broadcast: all are of fixed width.
+ROW_BYTES = 96
 SCALE = 1_000_000
 TEXT = ["k1", "k2"]
 
@@ -59,11 +59,6 @@ def _shingle_at(n: int):
     return lambda i: F.xxhash64(*[F.get("hw", i + k) for k in range(n)])
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, of so many ``rows`` of fixed width, marked for broadcast if its size allows."""
-    return F.broadcast(df) if rows * ROW_BYTES <= BROADCAST_BYTES else df
-
-
 def text_key() -> list[Column]:
     """128 bits that stand for a text; null counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -122,7 +117,7 @@ def laid(places: DataFrame, key: list[str]) -> DataFrame:
 
 def verified(pairs: DataFrame, places: DataFrame, terms: DataFrame, n_terms: int, similarity: float) -> DataFrame:
     """``(k1, k2, iid, similarity, start)``: the best window of each of ``pairs(k1, k2, iid)`` that has the similarity."""
-    held = places.join(small(terms, n_terms), ["h", "width"]).join(pairs, [*TEXT, "iid"], "left_semi")
+    held = places.join(small(terms, ROW_BYTES, n_terms), ["h", "width"]).join(pairs, [*TEXT, "iid"], "left_semi")
     # an occurrence counts unless the tf-th one before it is in the window, too
     held = held.groupBy(*TEXT, "iid", "n", "len", "total", "h", "tf", "wt").agg(F.sort_array(F.collect_list("p")).alias("all"))
     one = F.transform("all", lambda p, i: F.struct(p.alias("p"), F.when(i >= F.col("tf"), F.get("all", i - F.col("tf").cast("int"))).otherwise(-1).alias("before")))
@@ -141,14 +136,14 @@ def found_by_fingerprint(places: DataFrame, likely: DataFrame, items: DataFrame,
     """``(k1, k2, iid)`` where a window's fingerprint is within RADIUS bits of an item's."""
     sizes = ["width", "n"]
     of_size = terms.select("h", *sizes, "wt").distinct()
-    held = places.join(small(of_size, n_terms), ["h", "width"]).join(likely.select(*TEXT, *sizes).distinct(), [*TEXT, *sizes], "left_semi")
+    held = places.join(small(of_size, ROW_BYTES, n_terms), ["h", "width"]).join(likely.select(*TEXT, *sizes).distinct(), [*TEXT, *sizes], "left_semi")
     held = held.withColumn("size", F.col("n"))
     windows = laid(held, [*TEXT, "width", "size"]).groupBy(*TEXT, "width", F.col("size").alias("n"), "start").agg(*votes())
     windows = windows.select(*TEXT, *sizes, fingerprint().alias("fp")).distinct()
     prints = cut(terms.select("iid", *sizes, "h", (F.col("wt") * F.col("tf")).alias("wt")).groupBy("iid", *sizes).agg(*votes()).select("iid", *sizes, fingerprint().alias("ifp")))
     index = prints.select("*", F.explode(blocks("ifp")).alias("b")).select("iid", *sizes, "ifp", "b.*")
     asked = windows.select("*", F.explode(blocks("fp")).alias("b")).select(*TEXT, *sizes, "fp", "b.*")
-    met = asked.join(small(index, BLOCKS * items.count()), [*sizes, "block", "value"])
+    met = asked.join(small(index, ROW_BYTES, BLOCKS * items.count()), [*sizes, "block", "value"])
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*TEXT, "iid").distinct()
 
 
@@ -162,7 +157,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarit
         with_shingles(docs.select(*text_key(), words(F.col("text")).alias("w")), widths)
         # explode() would filter on the array first and compute it within that filter again
         .select(*TEXT, F.explode_outer(F.concat(*arrays)).alias("h"))
-        .join(small(terms, n_terms), "h")
+        .join(small(terms, ROW_BYTES, n_terms), "h")
         .groupBy(*TEXT, "iid", "width", "n", "total", "h", "tf", "wt")
         .agg(F.count("*").alias("held"))
     )
@@ -173,13 +168,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarit
         .select(*TEXT, "iid", "width", "n")
     )
     keys = cut(likely.select(*TEXT).distinct())
-    picked = docs.select(*text_key(), F.col("text").cast("string").alias("text")).join(small(keys, keys.count()), TEXT, "left_semi")
+    picked = docs.select(*text_key(), F.col("text").cast("string").alias("text")).join(small(keys, ROW_BYTES), TEXT, "left_semi")
     picked = picked.groupBy(*TEXT).agg(F.first("text").alias("text")).select(*TEXT, words(F.col("text")).alias("w"))
     occurs = [
         with_shingles(picked, [n]).select(*TEXT, F.lit(n).alias("width"), F.size(f"sh{n}").alias("len"), F.posexplode_outer(f"sh{n}").alias("p", "h"))
         for n in widths
     ]
-    places = cut(reduce(DataFrame.unionByName, occurs).join(small(terms.select("h", "width").distinct(), n_terms), ["h", "width"]))
+    places = cut(reduce(DataFrame.unionByName, occurs).join(small(terms.select("h", "width").distinct(), ROW_BYTES, n_terms), ["h", "width"]))
     near = cut(found_by_fingerprint(places, likely, items, terms, n_terms).join(likely.select(*TEXT, "iid"), [*TEXT, "iid"], "left_semi"))
     rest = cut(likely.select(*TEXT, "iid").join(near, [*TEXT, "iid"], "left_anti"))
     sure = verified(near, places, terms, n_terms, similarity).withColumn("by_fingerprint", F.lit(True))
@@ -212,7 +207,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     bad = cut(matches(docs, benchmark).select(F.col("k1").alias("_bad1"), F.col("k2").alias("_bad2")).distinct())
     k1, k2 = text_key()
-    return docs.join(bad, (k1 == bad["_bad1"]) & (k2 == bad["_bad2"]), "left_anti")
+    return docs.join(small(bad, ROW_BYTES), (k1 == bad["_bad1"]) & (k2 == bad["_bad2"]), "left_anti")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, discard, table
+from panelspark.llm.common import cut, discard, small, table
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "letter", "digit", "space", "upper", "stop", "comma", "symbol", "bar",
@@ -213,7 +213,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
     scored = score(docs.select("doc_id", "text", keys[0].alias("k1"), keys[1].alias("k2")), labels, keep=["k1", "k2"])
     bad = cut(scored.where("predicted = 0").select(F.col("k1").alias("_bad1"), F.col("k2").alias("_bad2")).distinct())
-    return docs.join(bad, (keys[0] == bad["_bad1"]) & (keys[1] == bad["_bad2"]), "left_anti")
+    return docs.join(small(bad, 64), (keys[0] == bad["_bad1"]) & (keys[1] == bad["_bad2"]), "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
