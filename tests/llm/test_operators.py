@@ -369,6 +369,7 @@ def test_near_dedup_stage_against_brute_force(spark, docs, monkeypatch, block):
     import corpus_pipeline
 
     monkeypatch.setattr(jaccard_dedup, "BLOCK", block)
+    monkeypatch.setattr(jaccard_dedup, "BLOCK_SHINGLES", block * 1000)
     rng, data = random.Random(8), [(r.doc_id, r.text) for r in docs.collect()]
     for k in range(12):  # copies about the bound: each changed word changes up to five shingles
         base = [f"w{k}x{i}" for i in range(200)]
