@@ -429,7 +429,7 @@ def _sample(tables: Tables, node: np.ndarray, sizes: np.ndarray, seeds: np.ndarr
 SCHEMA = "doc_id long, rank int, log_prob double, gumbel double, log_inclusion double, n_pieces long, round_trip boolean, pieces array<int>"
 
 
-def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: float = SHARPNESS) -> DataFrame:
+def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: float = SHARPNESS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Up to ``k`` distinct segmentations of each row of ``docs(doc_id, text)``.
 
     Rows: rank from 1 by perturbed log probability, the piece ids, their log
@@ -439,6 +439,8 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: flo
     inclusion 1). A text with fewer than ``k`` segmentations gives those it
     has. Rows that repeat a doc_id and text repeat their result; a null doc_id
     has key 0. An empty table gives none and further columns are ignored.
+    ``chunk_chars`` bounds the text sampled at once, and so a task's memory; the
+    result does not depend on it.
     """
 
     def run(batches):
@@ -449,7 +451,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: flo
             at = 0
             while at < len(texts):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= CHUNK_CHARS):
+                while end < len(texts) and (end == at or chars + len(texts[end]) <= chunk_chars):
                     chars += len(texts[end])
                     end += 1
                 yield chunk(vocab, ids[at:end], texts[at:end])
