@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.operators import anomaly, audit, decompose, descriptive, evaluate, forecast, models
 from panelspark.sources import panel as source
-from panelspark.sources.simulate import simulate
 from panelspark.sources.sinks import write_csv, write_json
 
 
@@ -30,7 +29,7 @@ def forecasters(slow: bool = True) -> dict:
 def run(spark: SparkSession, panel: DataFrame, out: str, tag: str, horizon: int = 14, origins: int = 8, stride: int = 14, slow: bool = True, eda: bool = True) -> DataFrame:
     """Writes every table under ``out`` and returns the leaderboard."""
     source.validate(panel)
-    filled = source.fill_calendar(panel, source.CHANNELS).persist()
+    filled = source.fill_calendar(panel).persist()
     write_json(audit.verdict(filled, source.CHANNELS[1:]), out, "verdict", tag)
     if eda:
         for name, f in {"summary": source.summary, "city_profile": descriptive.city_profile, "numeric_summary": lambda p: descriptive.numeric_summary(p, source.CHANNELS),
@@ -39,40 +38,36 @@ def run(spark: SparkSession, panel: DataFrame, out: str, tag: str, horizon: int
     at = source.rolling_origins(filled, horizon, origins, stride).persist()
     made = [f(filled, at, horizon).select(*forecast.COLUMNS) for f in forecasters(slow).values()]
     scored = forecast.walk_forward(filled, reduce(DataFrame.unionByName, made)).persist()
-    board = evaluate.leaderboard(scored).orderBy("mae")
+    board = evaluate.leaderboard(scored).orderBy("mae").persist()  # one row a model
     write_csv(board, out, "leaderboard", tag)
     write_csv(evaluate.by_horizon(scored), out, "by_horizon", tag)
     before = forecast.calibration_origins(filled, horizon, tests=origins, stride=stride)
     seen = forecast.walk_forward(filled, forecast.climatology_persistence(filled, before, horizon))
     banded = evaluate.intervals(scored.where("model = 'climatology_persistence'"), evaluate.conformal_widths(seen))
     write_json(evaluate.interval_metrics(banded), out, "intervals", tag)
-    voted = anomaly.detect(filled, decompose.decompose(filled), ("temp_avg", "humidity", "pressure"))
+    write_csv(evaluate.interval_metrics(banded, by=("model", "horizon")), out, "coverage_by_horizon", tag)
+    parts = decompose.decompose(filled).persist()
+    voted = anomaly.detect(filled, parts, ("temp_avg", "humidity", "pressure"))
     write_csv(anomaly.flag_counts(voted), out, "anomalies", tag)
+    for df in (parts, scored, at, filled):
+        df.unpersist()
     return board
 
 
 def main(argv=None) -> None:
     a = argparse.ArgumentParser(prog="panelspark")
-    a.add_argument("--data", help="CSV file or folder of the panel")
-    a.add_argument("--simulated", action="store_true", help="use the generated panel")
-    a.add_argument("--both", action="store_true", help="run the file and the generated panel")
-    a.add_argument("--out", default="reports")
+    a.add_argument("data", help="panel to read: a CSV file, or a folder of them")
+    a.add_argument("--out", default="reports", help="folder of the tables")
+    a.add_argument("--tag", default="data", help="end of the tables' names")
     a.add_argument("--horizon", type=int, default=14)
     a.add_argument("--origins", type=int, default=8)
     a.add_argument("--stride", type=int, default=14)
-    a.add_argument("--no-slow", action="store_true")
-    a.add_argument("--skip-eda", action="store_true")
+    a.add_argument("--no-slow", action="store_true", help="leave out models that are fitted per series and origin")
+    a.add_argument("--skip-eda", action="store_true", help="leave out the descriptive tables")
     args = a.parse_args(argv)
-    if not args.data and not args.simulated:
-        a.error("give --data or --simulated")
     spark = SparkSession.builder.appName("panelspark").getOrCreate()
-    panels = {}
-    if args.data and (args.both or not args.simulated):
-        panels["data"] = source.read_csv(spark, args.data)
-    if args.simulated or args.both:
-        panels["simulated"] = simulate(spark)
-    for tag, p in panels.items():
-        run(spark, p, args.out, tag, args.horizon, args.origins, args.stride, not args.no_slow, not args.skip_eda).show(truncate=False)
+    panel = source.read_csv(spark, args.data)
+    run(spark, panel, args.out, args.tag, args.horizon, args.origins, args.stride, not args.no_slow, not args.skip_eda)
 
 
 if __name__ == "__main__":

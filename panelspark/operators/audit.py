@@ -123,8 +123,10 @@ def exogenous(panel: DataFrame, columns, target: str = "temp_avg") -> DataFrame:
 
 
 def verdict(panel: DataFrame, columns, target: str = "temp_avg") -> DataFrame:
-    """One row: five checks of the (filled) panel and what they say together. The checks share the persisted panel."""
-    panel = panel.persist()
+    """One row: five checks of the (filled) panel and what they say together.
+
+    Each check reads the panel: a caller that fills it persists and releases it.
+    """
     lags = autocorrelation(panel, 7, target).groupBy("city").agg(F.count_if(F.abs("acf") > F.col("band")).alias("k")).agg(F.avg((F.col("k") > 1).cast("double")).alias("short_lag_share"))
     noise = ljung_box(panel, column=target).groupBy("city").agg(F.min("p_value").alias("p")).agg(F.avg((F.col("p") < 0.05).cast("double")).alias("ljung_box_share"))
     season = seasonality(panel, target).agg(F.avg(F.col("seasonal").cast("double")).alias("seasonal_share"))

@@ -27,9 +27,21 @@ def dataset_profile(panel: DataFrame) -> DataFrame:
                       (100 * F.col("rows") / expected).alias("completeness_pct"), (F.col("rows") - F.col("keys")).alias("duplicate_rows"), "missing_cells")
 
 
-def column_inventory(panel: DataFrame, columns) -> DataFrame:
-    long = panel.select(*[F.col(c).cast("double") for c in columns]).unpivot([], list(columns), "column_name", "v")
-    return long.groupBy("column_name").agg(F.count_if(F.col("v").isNull()).alias("n_missing"), F.count_distinct("v").alias("n_unique"), F.min("v").alias("min"), F.max("v").alias("max"))
+def numeric_columns(panel: DataFrame, columns) -> list[str]:
+    """Which of ``columns`` the panel has."""
+    return [c for c in columns if c in panel.columns]
+
+
+def column_inventory(panel: DataFrame, columns=None) -> DataFrame:
+    """Type, missing and distinct values of every column, and the range of numeric ones."""
+    kinds = {c: t for c, t in panel.dtypes if columns is None or c in columns}
+    number = lambda c: F.col(c).cast("double") if kinds[c] in ("double", "float", "int", "bigint") else F.lit(None).cast("double")
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("dtype"), F.col(c).cast("string").alias("s"), number(c).alias("v")) for c, t in kinds.items()])
+    long = panel.select(F.explode(each).alias("e")).select("e.*")
+    missing = F.count_if(F.col("s").isNull())
+    return long.groupBy("column_name", "dtype").agg(
+        missing.alias("n_missing"), (100 * missing / F.count("*")).alias("pct_missing"), F.count_distinct("s").alias("n_unique"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
 
 
 def numeric_summary(panel: DataFrame, columns) -> DataFrame:
@@ -46,10 +58,12 @@ def city_profile(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
     """Two grouped steps: sums by month carry all that the series level needs."""
     m = panel.groupBy("city", F.month("date").alias("month")).agg(
         F.avg(column).alias("m"), F.max("state").alias("state"), F.count(column).alias("n"), F.sum(column).alias("s"), F.min(column).alias("lo"),
-        F.max(column).alias("hi"), F.sum(F.col("temp_max") - F.col("temp_min")).alias("dr"), F.count(F.col("temp_max") - F.col("temp_min")).alias("dn"),
+        F.max(column).alias("hi"), F.var_pop(column).alias("v"), F.sum(F.col("temp_max") - F.col("temp_min")).alias("dr"), F.count(F.col("temp_max") - F.col("temp_min")).alias("dn"),
     )
-    return m.groupBy("city").agg(
-        F.max("state").alias("state"), (F.sum("s") / F.sum("n")).alias("mean"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+    m = m.withColumn("mean", F.sum("s").over(Window.partitionBy("city")) / F.sum("n").over(Window.partitionBy("city")))
+    spread = F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) ** 2))
+    return m.groupBy("city", "mean").agg(
+        F.max("state").alias("state"), F.sqrt(F.try_divide(spread, F.sum("n") - 1)).alias("std"), F.min("lo").alias("min"), F.max("hi").alias("max"), (F.max("hi") - F.min("lo")).alias("range"),
         (F.max("m") - F.min("m")).alias("seasonal_amplitude"),
         F.max_by("month", F.struct("m", -F.col("month"))).cast("long").alias("hottest_month"),
         F.min_by("month", F.struct("m", F.col("month"))).cast("long").alias("coldest_month"), F.try_divide(F.sum("dr"), F.sum("dn")).alias("diurnal_range"),
@@ -63,8 +77,10 @@ def rank_cities(table: DataFrame, metric: str, top: int) -> DataFrame:
     return best.select("city", metric, F.row_number().over(Window.orderBy(F.desc(metric), "city")).cast("long").alias("rank"))
 
 
-def period_profile(panel: DataFrame, period, column: str = "temp_avg") -> DataFrame:
-    """Statistics by month or season and the deviation from the overall mean."""
+def period_profile(panel: DataFrame, period, column: str = "temp_avg", city: str | None = None) -> DataFrame:
+    """Statistics by month or season and the deviation from the overall mean, of all series or of one."""
+    if city is not None:
+        panel = panel.where(F.col("city") == city)
     by = panel.groupBy(period.alias("period")).agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
         F.percentile(column, F.lit(0.5)).alias("median"), F.max(column).alias("max"),
@@ -86,7 +102,8 @@ def eta_squared(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
     parts = by.withColumn("mean", mean).groupBy("city").agg(
         F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"), (F.max("m") - F.min("m")).alias("monthly_range")
     )
-    return parts.select("city", "monthly_range", F.try_divide("between", F.col("between") + F.col("within")).alias("eta_squared"))
+    return parts.select("city", "monthly_range", F.try_divide("between", F.col("between") + F.col("within")).alias("eta_squared"),
+                        (100 * F.try_divide("between", F.col("between") + F.col("within"))).alias("pct_of_variance"))
 
 
 def extreme_days(panel: DataFrame, hot: float = 35, cold: float = 15) -> DataFrame:
@@ -115,11 +132,30 @@ def diurnal_profile(panel: DataFrame) -> DataFrame:
     return d.groupBy("city").agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"), F.min("d").alias("min"), F.max("d").alias("max"), *by_season, safe_corr(F.col("d"), F.col("cloud_cover")).alias("corr_cloud"))
 
 
-def channel_correlation(panel: DataFrame, columns) -> DataFrame:
-    """All channel pairs in one aggregate, then one row per pair."""
+def channel_correlation(panel: DataFrame, columns, method: str = "pearson") -> DataFrame:
+    """Pairwise-complete correlations of all channel pairs in one aggregate, then one row per pair.
+
+    ``spearman`` correlates average ranks over the rows that have both
+    channels; ranks come from counts by value, one channel pair a partition.
+    """
     cols = list(columns)
-    wide = panel.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for i, a in enumerate(cols) for b in cols[i + 1 :]])
-    return wide.unpivot([], wide.columns, "pair", "r").select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    if method == "pearson":
+        wide = panel.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+        return wide.unpivot([], wide.columns, "pair", "r").select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
+    if method != "spearman":
+        raise ValueError(f"unknown method {method}")
+    value = lambda c: F.col(c).cast("double")
+    long = panel.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(a).alias("x"), value(b).alias("y")) for a, b in pairs])).alias("p")).select("p.*")
+    long = long.where("x is not null and y is not null")
+
+    def ranks(c: str) -> DataFrame:
+        by = long.groupBy("a", "b", c).agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(Window.partitionBy("a", "b").orderBy(c))
+        return by.select("a", "b", c, (upto - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
+
+    ranked = long.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
+    return ranked.groupBy("a", "b").agg(safe_corr(F.col("rank_x"), F.col("rank_y")).alias("r"))
 
 
 def cross_city_correlation(panel: DataFrame, column: str = "temp_avg") -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 #: A bound often is one of the residuals: rounding must not put it outside.
 EDGE = 1e-9
 
@@ -43,12 +42,19 @@ def conformal_widths(scored: DataFrame, coverage: float = 0.9) -> DataFrame:
     """
     alpha = 1 - coverage
     gate = max(10, ceil(1 / alpha))
-    r = F.abs(F.col("y_true") - F.col("y_pred"))
-    level = F.least(F.lit(1.0), F.ceil((F.count(r) + 1) * (1 - alpha)) / F.count(r))
-    pick = F.element_at(F.array_sort(F.collect_list(r)), (F.ceil(level * (F.count(r) - 1)) + 1).cast("int"))
-    overall = scored.groupBy("model").agg(pick.alias("overall"))
-    each = scored.groupBy("model", "horizon").agg(pick.alias("own"), F.count(r).alias("n"))
-    return each.join(overall, "model").select("model", "horizon", "n", F.when(F.col("n") >= gate, F.col("own")).otherwise(F.col("overall")).alias("width"))
+    r = scored.select("model", "horizon", F.abs(F.col("y_true") - F.col("y_pred")).alias("r")).where("r is not null")
+
+    def pick(*keys: str) -> DataFrame:
+        """The order statistic of each group, by rank: groups are sorted, not gathered."""
+        own = Window.partitionBy(*keys)
+        n = F.count("*").over(own)
+        level = F.least(F.lit(1.0), F.ceil((n + 1) * (1 - alpha)) / n)
+        ranked = r.select(*keys, "r", n.alias("n"), F.row_number().over(own.orderBy("r")).alias("i"), (F.ceil(level * (n - 1)) + 1).alias("at"))
+        return ranked.where("i = at").select(*keys, "n", "r")
+
+    overall = pick("model").select("model", F.col("r").alias("overall"))
+    each = pick("model", "horizon")
+    return each.join(overall, "model").select("model", "horizon", "n", F.when(F.col("n") >= gate, F.col("r")).otherwise(F.col("overall")).alias("width"))
 
 
 def intervals(forecasts: DataFrame, widths: DataFrame) -> DataFrame:
@@ -56,13 +62,22 @@ def intervals(forecasts: DataFrame, widths: DataFrame) -> DataFrame:
     return forecasts.join(w, ["model", "horizon"]).withColumns({"lower": F.col("y_pred") - F.col("width"), "upper": F.col("y_pred") + F.col("width")})
 
 
-def interval_metrics(scored: DataFrame, alpha: float = 0.1) -> DataFrame:
+def interval_metrics(scored: DataFrame, alpha: float = 0.1, by=("model",)) -> DataFrame:
+    """Coverage, mean width and interval score by ``by``; with horizon, the coverage by horizon."""
     y, lo, hi = F.col("y_true"), F.col("lower"), F.col("upper")
     miss = F.greatest(lo - y, F.lit(0.0)) + F.greatest(y - hi, F.lit(0.0))
-    return scored.groupBy("model").agg(F.avg(y.between(lo - EDGE, hi + EDGE).cast("double")).alias("coverage"), F.avg(hi - lo).alias("mean_width"), F.avg(hi - lo + miss * (2 / alpha)).alias("interval_score"))
+    return scored.groupBy(*by).agg(F.avg(y.between(lo - EDGE, hi + EDGE).cast("double")).alias("coverage"), F.avg(hi - lo).alias("mean_width"), F.avg(hi - lo + miss * (2 / alpha)).alias("interval_score"))
 
 
 def compare_boards(a: DataFrame, b: DataFrame) -> DataFrame:
     """Errors of the models of two leaderboards side by side, and their ratio."""
     left, right = a.select("model", F.col("mae").alias("mae_a")), b.select("model", F.col("mae").alias("mae_b"))
     return left.join(right, "model", "full").withColumn("ratio", F.try_divide("mae_a", "mae_b"))
+
+
+def models(scored: DataFrame) -> DataFrame:
+    return scored.select("model").distinct().orderBy("model")
+
+
+def for_model(scored: DataFrame, model: str) -> DataFrame:
+    return scored.where(F.col("model") == model)

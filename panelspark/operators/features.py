@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from math import pi
+import re
+from math import log1p, pi
 
-import pandas as pd
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.stats import safe_corr, season_id
 
+
 def by_city():
     return Window.partitionBy("city").orderBy("date")
 
 
-LAGS, WINDOWS = (1, 2, 3, 7, 14, 21, 28), (7, 14, 28, 90)
+LAGS, WINDOWS = (1, 2, 3, 7, 14, 21, 28, 365), (7, 14, 28, 90)
+#: Lags up to this one must be known in supervised rows.
+SHORT = 28
+CALENDAR = ("month", "imd_season", "doy", "weekday", "time_idx")
 
 
 def autocorrelation(panel: DataFrame, lags: int = 7, column: str = "temp_avg") -> DataFrame:
@@ -42,10 +45,30 @@ def predictability(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
     return out.select("city", "seasonal_r2", (F.col("r1") ** 2).alias("lag1_r2"), F.least(F.lit(1.0), F.col("seasonal_r2") + F.col("r1") ** 2).alias("ceiling"))
 
 
-def calendar_terms(panel: DataFrame, order: int = 2) -> DataFrame:
-    frac = F.dayofyear("date") / F.dayofyear(F.make_date(F.year("date"), F.lit(12), F.lit(31)))
+def lag_of(name: str) -> int | None:
+    """The lag that a feature's name ends with, if it names one."""
+    found = re.search(r"(?:^|_)lag(\d+)$", name)
+    return int(found[1]) if found else None
+
+
+def calendar_terms(panel: DataFrame, order: int = 2, include=CALENDAR, date: str = "date", origin=None) -> DataFrame:
+    """Calendar columns (``include`` names which) and Fourier terms of ``date``.
+
+    ``time_idx`` counts days from ``origin``, the panel's first date if none is
+    given. An unknown name raises ValueError.
+    """
+    unknown = [c for c in include if c not in CALENDAR]
+    if unknown:
+        raise ValueError(f"unknown calendar features: {', '.join(unknown)}")
+    day = F.col(date)
+    if "time_idx" in include and origin is None:
+        panel = panel.crossJoin(F.broadcast(panel.agg(F.min(date).alias("_first"))))  # one row
+        origin = F.col("_first")
+    since = F.lit(None) if origin is None else F.datediff(day, origin if isinstance(origin, Column) else F.lit(origin))
+    terms = {"month": F.month(day), "imd_season": season_id(F.month(day)), "doy": F.dayofyear(day), "weekday": F.weekday(day), "time_idx": since}
+    frac = F.dayofyear(day) / F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31)))
     waves = {f"{n}{k}": f(2 * pi * k * frac) for k in range(1, order + 1) for n, f in (("sin", F.sin), ("cos", F.cos))}
-    return panel.withColumns({"doy": F.dayofyear("date"), "imd_season": season_id(F.month("date")), "weekday": F.weekday("date"), **waves})
+    return panel.withColumns({c: terms[c] for c in include} | waves).drop("_first")
 
 
 def climatology(panel: DataFrame, window: int = 15, column: str = "temp_avg") -> DataFrame:
@@ -55,9 +78,9 @@ def climatology(panel: DataFrame, window: int = 15, column: str = "temp_avg") ->
     three = grid.join(mean, ["city", "doy"], "left").select("city", "doy", "m", F.explode(F.array(*map(F.lit, (-366, 0, 366)))).alias("turn"))
     t = three.withColumn("t", F.col("doy") + F.col("turn"))
     by = Window.partitionBy("city").orderBy("t")
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = by, Window.partitionBy("city").orderBy(F.desc("t"))  # both frames grow
     at = F.when(F.col("m").isNotNull(), F.col("t"))
-    v0, v1, t0, t1 = F.last("m", True).over(back), F.first("m", True).over(ahead), F.last(at, True).over(back), F.first(at, True).over(ahead)
+    v0, v1, t0, t1 = F.last("m", True).over(back), F.last("m", True).over(ahead), F.last(at, True).over(back), F.last(at, True).over(ahead)
     line = F.coalesce("m", v0 + (v1 - v0) * F.try_divide((F.col("t") - t0).cast("double"), (t1 - t0).cast("double")), v0, v1)
     half = window // 2
     smooth = t.withColumn("line", line).withColumn("clim", F.avg("line").over(by.rowsBetween(-half, half)))
@@ -79,26 +102,61 @@ def history(panel: DataFrame, column: str = "temp_avg", lags=LAGS, windows=WINDO
     return panel.select("city", "date", column, *[c.alias(n) for n, c in out.items()])
 
 
-def supervised(panel: DataFrame, horizon: int = 14, column: str = "temp_avg") -> DataFrame:
-    """``(city, origin, horizon, target_date, features, target)`` with complete short lags.
+def _decayed(rate: float):
+    return lambda acc, x: F.coalesce(acc + (x - acc) * rate, x)
+
 
-    The panel must lie on a gap-free calendar.
+def smoothed(panel: DataFrame, spans=(7, 30), column: str = "temp_avg") -> DataFrame:
+    """Exponential moving averages with decay 2 / (span + 1), started at the first value.
+
+    A fold over so many of the last values that older ones weigh less than
+    rounding, so the work is linear in the rows. Nulls are skipped.
     """
-    h = history(panel, column)
+    out = {}
+    for s in spans:
+        rate = 2.0 / (s + 1)
+        rows = int(36.8 / -log1p(-rate)) + 1
+        last = F.collect_list(F.col(column).cast("double")).over(by_city().rowsBetween(1 - rows, 0))
+        out[f"ewm{s}"] = F.aggregate(last, F.lit(None).cast("double"), _decayed(rate))
+    return panel.select("city", "date", *[c.alias(n) for n, c in out.items()])
+
+
+def all_history(panel: DataFrame, column: str = "temp_avg", channels=()) -> DataFrame:
+    """Every feature known at an origin: lags, trailing statistics, smoothed means and those of the other channels."""
+    out = history(panel, column).join(smoothed(panel, column=column), ["city", "date"])
+    channels = [c for c in channels if c != column and c in panel.columns]
+    return out.join(channel_history(panel, channels), ["city", "date"]) if channels else out
+
+
+def supervised(panel: DataFrame, horizon: int = 14, column: str = "temp_avg", channels=(), complete: bool = True) -> DataFrame:
+    """``(city, origin, horizon, target_date, features, target)``: history at the origin, calendar of the target date.
+
+    Rows without a target go, and with ``complete`` those without all lags up
+    to SHORT. The panel must lie on a gap-free calendar.
+    """
+    h = all_history(panel, column, channels)
     ahead = F.array(*[F.struct(F.lit(k).alias("horizon"), F.lead(column, k).over(by_city()).alias("target")) for k in range(1, horizon + 1)])
-    rows = h.withColumn("ahead", ahead).where(" and ".join(f"lag{k} is not null" for k in LAGS)).withColumn("a", F.explode("ahead")).drop("ahead")
-    return rows.select("city", F.col("date").alias("origin"), "a.horizon", F.date_add("date", F.col("a.horizon")).alias("target_date"), *[c for c in h.columns if c not in ("city", "date", column)], "a.target").where("target is not null")
+    rows = h.withColumn("ahead", ahead)
+    if complete:
+        rows = rows.where(" and ".join(f"lag{k} is not null" for k in LAGS if k <= SHORT))
+    rows = rows.withColumn("a", F.explode("ahead")).drop("ahead").where("a.target is not null")
+    names = [c for c in h.columns if c not in ("city", "date", column)]
+    rows = rows.select("city", F.col("date").alias("origin"), "a.horizon", F.date_add("date", F.col("a.horizon")).alias("target_date"), *names, "a.target")
+    first = panel.agg(F.min("date").alias("_day0"))
+    rows = rows.crossJoin(F.broadcast(first))  # one row
+    return calendar_terms(rows, date="target_date", origin=F.col("_day0")).drop("_day0")
 
 
-def smoothed(panel: DataFrame, spans=(7, 30), column: str = "temp_avg") -> DataFrame:
-    """Exponential moving averages with decay 2 / (span + 1), started at the first value."""
+KEYS = ("city", "origin", "horizon", "target_date", "target")
+
+
+def feature_names(rows: DataFrame) -> list[str]:
+    """The features of supervised rows."""
+    return [c for c in rows.columns if c not in KEYS]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        return pdf[["city", "date"]].assign(**{f"ewm{s}": pdf["y"].ewm(span=s, adjust=False).mean() for s in spans})
 
-    fields = "city string, date date, " + ", ".join(f"ewm{s} double" for s in spans)
-    return panel.select("city", "date", F.col(column).cast("double").alias("y")).groupBy("city").applyInPandas(run, fields)
+def for_horizon(rows: DataFrame, horizon: int) -> DataFrame:
+    return rows.where(F.col("horizon") == horizon)
 
 
 def channel_history(panel: DataFrame, columns, lags=(1, 7, 14)) -> DataFrame:

@@ -7,6 +7,8 @@ Forecasts are ``(model, city, origin, target_date, horizon, y_pred)``.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,19 @@ def _ahead(df: DataFrame, horizon: int) -> DataFrame:
     return h.withColumn("target_date", F.date_add("origin", F.col("horizon")))
 
 
+def _known(panel: DataFrame, origins: DataFrame, value, name: str) -> DataFrame:
+    """A running ``value`` of each series as of its last row at or before each origin: one pass, then a lookup.
+
+    Between two rows of a series the value holds, so each row knows until when.
+    """
+    by = Window.partitionBy("city").orderBy("date")
+    rows = panel.select("city", "date", value(by).alias(name), F.lead("date").over(by).alias("next"))
+    at = (F.col("date") <= F.col("origin")) & (F.col("next").isNull() | (F.col("next") > F.col("origin")))
+    return rows.join(F.broadcast(origins), at).select("city", "origin", name)  # a handful of origins
+
+
 def naive(panel: DataFrame, origins: DataFrame, horizon: int = 14, column: str = "temp_avg") -> DataFrame:
-    last = _train(panel, origins, column).where("y is not null").groupBy("city", "origin").agg(F.max_by("y", "date").alias("y_pred"))
+    last = _known(panel, origins, lambda by: F.last(column, True).over(by), "y_pred").where("y_pred is not null")
     return _ahead(last, horizon).withColumn("model", F.lit("naive")).select(*COLUMNS)
 
 
@@ -39,7 +52,7 @@ def recent_mean(panel: DataFrame, origins: DataFrame, column: str, rows: int = 7
 
 def seasonal_naive(panel: DataFrame, origins: DataFrame, horizon: int = 14, period: int = 365, column: str = "temp_avg") -> DataFrame:
     """The value ``period`` days before the target, else the mean of the last seven rows."""
-    base = recent_mean(panel, origins, column).groupBy("city", "origin").agg(F.avg("y").alias("fallback"))
+    base = _known(panel, origins, lambda by: F.avg(column).over(by.rowsBetween(-6, 0)), "fallback")
     past = panel.select("city", F.date_add("date", period).alias("target_date"), F.col("date").alias("seen"), F.col(column).alias("past"))
     out = _ahead(base, horizon).join(past, ["city", "target_date"], "left")
     past_known = F.when(F.col("seen") <= F.col("origin"), F.col("past"))
@@ -59,6 +72,51 @@ def climatology_persistence(panel: DataFrame, origins: DataFrame, horizon: int =
     return out.withColumn("y_pred", F.col("clim") + F.col("anomaly") * damp).withColumn("model", F.lit(name)).select(*COLUMNS)
 
 
+def checked(panel: DataFrame, columns=("temp_avg",)) -> DataFrame:
+    """The training panel if a model can be fitted on it: rows and the needed columns, else ValueError."""
+    missing = [c for c in ("city", "date", *columns) if c not in panel.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    if panel.isEmpty():
+        raise ValueError("no training rows")
+    return panel
+
+
+def scaffold(cities: DataFrame, origins: DataFrame, horizon: int = 14) -> DataFrame:
+    """Every series, origin and horizon, without predictions."""
+    return _ahead(cities.select("city").distinct().crossJoin(F.broadcast(origins)), horizon).withColumns({"model": F.lit(None).cast("string"), "y_pred": F.lit(None).cast("double")}).select(*COLUMNS)
+
+
+def as_predictions(rows: DataFrame, model: str, *extra: str) -> DataFrame:
+    """``rows(city, origin, horizon, y_pred)`` as forecasts of ``model``; ``extra`` columns pass."""
+    missing = [c for c in ("city", "origin", "horizon", "y_pred") if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return rows.withColumns({"model": F.lit(model), "target_date": F.date_add("origin", F.col("horizon"))}).select(*COLUMNS, *extra)
+
+
+def backtest(panel: DataFrame, factories: dict, origins: DataFrame, horizon: int, out: str, column: str = "temp_avg") -> tuple[DataFrame, list[dict]]:
+    """Scored forecasts of each of ``factories`` (functions of panel, origins, horizon), and how each one went.
+
+    Every model is one plan over all origins, written under ``out``; one that
+    fails is reported and does not stop the others. ``out`` is a folder that
+    driver and executors share.
+    """
+    spark, went = panel.sparkSession, []
+    for name, make in factories.items():
+        began = time.time()
+        try:
+            scored = walk_forward(panel, make(panel, origins, horizon).select(*COLUMNS), column)
+            scored.write.mode("overwrite").parquet(f"{out}/name={name}")
+            went.append({"model": name, "seconds": time.time() - began, "status": "ok"})
+        except Exception as e:  # whatever a model raises is its own failure
+            went.append({"model": name, "seconds": time.time() - began, "status": f"{type(e).__name__}: {str(e)[:200]}"})
+    good = [f"{out}/name={w['model']}" for w in went if w["status"] == "ok"]
+    if not good:
+        raise RuntimeError(f"every model failed: {went}")
+    return spark.read.parquet(*good), went
+
+
 def walk_forward(panel: DataFrame, forecasts: DataFrame, column: str = "temp_avg") -> DataFrame:
     """Forecasts with their truth; targets without a truth are dropped."""
     truth = panel.select("city", F.col("date").alias("target_date"), F.col(column).alias("y_true")).where("y_true is not null")

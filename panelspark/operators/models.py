@@ -123,6 +123,25 @@ def shrinkage(predicted: DataFrame, persistence: DataFrame) -> DataFrame:
     return s.withColumn("raw", raw).select("model", "horizon", "raw", F.min("raw").over(down).alias("factor"))
 
 
+def inference_rows(panel: DataFrame, origins: DataFrame, horizon: int = 14, column: str = "temp_avg") -> DataFrame:
+    """The features of supervised rows at each origin and horizon, known at the origin and without a target."""
+    now = features.all_history(panel, column).join(F.broadcast(origins.withColumnRenamed("origin", "date")), "date").withColumnRenamed("date", "origin")  # a handful
+    ask = now.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("target_date", F.date_add("origin", F.col("horizon")))
+    first = panel.agg(F.min("date").alias("_day0"))
+    return features.calendar_terms(ask.crossJoin(F.broadcast(first)), date="target_date", origin=F.col("_day0")).drop("_day0")  # one row
+
+
+def chronological_split(rows: DataFrame, days: int = 90) -> DataFrame:
+    """``rows(origin)`` with ``validation``: whether the origin lies in the last ``days`` days of origins."""
+    last = rows.agg(F.max("origin").alias("_last"))
+    return rows.crossJoin(F.broadcast(last)).withColumn("validation", F.col("origin") > F.date_sub("_last", days)).drop("_last")  # one row
+
+
+def in_sample_residuals(rows: DataFrame, anomaly: str = "anomaly", predicted: str = "prediction") -> DataFrame:
+    """Residuals of training rows ``(city, origin, horizon)``; the factors by horizon are not applied."""
+    return rows.select("city", "origin", "horizon", (F.col(anomaly) - F.col(predicted)).alias("residual"))
+
+
 def tree_rows(panel: DataFrame, horizon: int = 14, column: str = "temp_avg"):
     """Supervised rows with encodings, the anomaly to learn, and the names of the features; missing features are zero beside a flag."""
     clim = features.climatology(panel, column=column)
@@ -149,8 +168,7 @@ def boosted(panel: DataFrame, origins: DataFrame, horizon: int = 14, trees: int
     own = model.transform(fit).select(F.lit("gbm").alias("model"), "horizon", F.col("prediction").alias("anomaly"))
     factors = shrinkage(own, anomaly_persistence(past, clim, column))
 
-    now = features.history(panel, column).join(F.broadcast(origins.withColumnRenamed("origin", "date")), "date").withColumnRenamed("date", "origin")  # a handful
-    ask = now.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("target_date", F.date_add("origin", F.col("horizon")))
+    ask = inference_rows(panel, origins, horizon, column)
     ask = features.encodings(ask, clim, past)
     base = [c for c in names if not c.endswith("_missing")]
     ask = ask.withColumns({c: F.col(c.removesuffix("_missing")).isNull().cast("double") for c in names if c.endswith("_missing")}).fillna(0.0, base)
@@ -173,8 +191,7 @@ def quantile_tree(panel: DataFrame, origins: DataFrame, horizon: int = 14, cover
     q = lambda p: F.percentile("anomaly", F.lit(p))
     tails = (1 - coverage) / 2
     leaves = tree.transform(fit).groupBy("leaf").agg(q(0.5).alias("mid"), q(tails).alias("low"), q(1 - tails).alias("high"))
-    now = features.history(panel, column).join(F.broadcast(origins.withColumnRenamed("origin", "date")), "date").withColumnRenamed("date", "origin")  # a handful
-    ask = now.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("target_date", F.date_add("origin", F.col("horizon")))
+    ask = inference_rows(panel, origins, horizon, column)
     ask = tree.transform(assemble.transform(features.encodings(ask, clim, past).fillna(0.0, names))).join(F.broadcast(leaves), "leaf")  # at most 2 ** depth leaves
     shift = lambda c: F.col("target_clim") + F.col(c)
     return ask.withColumns({"model": F.lit("quantile_tree"), "y_pred": shift("mid"), "lower": shift("low"), "upper": shift("high")}).select(*COLUMNS, "lower", "upper")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from math import pi
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.stats import safe_corr
+
 
 def histogram(panel: DataFrame, bins: int = 10, column: str = "temp_avg") -> DataFrame:
     """Counts and density per series over equal bins of the series' own range."""
@@ -17,8 +22,43 @@ def histogram(panel: DataFrame, bins: int = 10, column: str = "temp_avg") -> Dat
 
 
 def monthly_boxes(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
-    q = lambda p: F.percentile(column, F.lit(p))
-    return panel.groupBy("city", F.month("date").alias("month")).agg(q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))
+    """Quartiles, whiskers (the last value within 1.5 quartile ranges) and the number of outliers, by series and month."""
+    own = ["city", "month"]
+    rows = panel.where(F.col(column).isNotNull()).select("city", F.month("date").alias("month"), F.col(column).alias("v"))
+    q = lambda p: F.percentile("v", F.lit(p))
+    box = rows.groupBy(*own).agg(q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    inside = F.col("v").between(F.col("q25") - reach, F.col("q75") + reach)
+    return rows.join(box, own).groupBy(*own, "q25", "median", "q75").agg(
+        F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.count_if(~inside).alias("outliers")
+    )
+
+
+def density_curves(panel: DataFrame, points: int = 25, column: str = "temp_avg") -> DataFrame:
+    """The normal and the uniform density of each series' moments and range, at equal steps over its range."""
+    s = panel.groupBy("city").agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("sd"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    at = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
+    normal = F.exp(-0.5 * ((F.col("x") - F.col("m")) / F.col("sd")) ** 2) / (F.col("sd") * (2 * pi) ** 0.5)
+    return at.select("city", F.col("i").cast("long").alias("i"), "x", F.when(F.col("sd") > 0, normal).alias("normal"), F.try_divide(F.lit(1.0), F.col("hi") - F.col("lo")).alias("uniform"))
+
+
+def residual_diagnostics(scored: DataFrame, bins: int = 45, lags: int = 40, quantiles: int = 19) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each model's residuals: a histogram, quantiles beside those of a normal, and autocorrelations within series."""
+    r = scored.select("model", "city", "origin", "horizon", (F.col("y_true") - F.col("y_pred")).alias("r"))
+    as_panel = r.select(F.col("model").alias("city"), "r")
+    hist = histogram(as_panel, bins, "r").withColumnRenamed("city", "model")
+    share = [(i + 1) / (quantiles + 1) for i in range(quantiles)]
+    q = r.groupBy("model").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), F.percentile("r", F.array(*map(F.lit, share))).alias("q"))
+    normal = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in share])
+    pairs = q.select("model", "m", "sd", F.posexplode(F.arrays_zip(normal.alias("z"), F.col("q"))).alias("i", "pair"))
+    qq = pairs.select("model", F.col("i").cast("long").alias("i"), (F.col("m") + F.col("sd") * F.col("pair.z")).alias("expected"), F.col("pair.q").alias("observed"))
+    by = Window.partitionBy("model", "city").orderBy("origin", "horizon")
+    c = r.withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy("model", "city")))
+    c = c.select("model", "x", *[F.lag("x", k).over(by).alias(f"l{k}") for k in range(1, lags + 1)])
+    names = [str(k) for k in range(1, lags + 1)]
+    acf = c.groupBy("model").agg(F.count("x").alias("n"), *[F.try_divide(F.sum(F.col("x") * F.col(f"l{k}")), F.sum(F.col("x") * F.col("x"))).alias(k) for k in names])
+    acf = acf.unpivot(["model", "n"], names, "lag", "acf").select("model", F.col("lag").cast("long").alias("lag"), "acf", (1.96 / F.sqrt("n")).alias("band"))
+    return hist, qq, acf
 
 
 def ecdf(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
@@ -29,7 +69,7 @@ def ecdf(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
 
 
 def scatter_fit(panel: DataFrame, x: str, y: str) -> DataFrame:
-    return panel.groupBy("city").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
+    return panel.groupBy("city").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), safe_corr(F.col(x), F.col(y)).alias("r"), F.count("*").alias("n"))
 
 
 def city_overview(panel: DataFrame, column: str = "temp_avg") -> DataFrame:

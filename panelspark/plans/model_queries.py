@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import anomaly, audit, decompose, evaluate, features, forecast, models, plot_data
-from panelspark.plans.queries import _FILL, _LONG, _P, _SIMPLE, CHANNELS, _corr, _filled, _r, _simple, panel, rounded
+from panelspark.plans.queries import _FILL, _LONG, _P, _SIMPLE, CHANNELS, _corr, _filled, _r, _simple, monthly_parts, panel, rounded
 from panelspark.plans.queries import oracle_sql as base_sql
 from panelspark.sources import panel as source
-from panelspark.sources.simulate import simulate
 
 OTHERS = CHANNELS[1:]
 PLACES = (("A-F", 27.0, 2.0), ("N-O", 25.0, 2.5), ("R-O", 31.0, 2.0))
 GAMMA = 0.3684211
 
 
-def _monthly_parts(p):
-    """A decomposition that SQL can state: no trend, the month's mean as season."""
-    r = anomaly.monthly_residual(p)
-    return r.select("city", "date", F.col("value").alias("observed"), F.lit(0.0).alias("trend"), (F.col("value") - F.col("resid")).alias("seasonal"), "resid")
-
-
 def _fitted(model, columns=forecast.COLUMNS):
     def run(spark, sf_dir):
         p = source.fill_calendar(panel(spark, sf_dir), ("temp_avg", "humidity", "pressure", "cloud_cover"))
@@ -40,29 +33,28 @@ def queries() -> dict:
         "f3_seasonality": audit.seasonality,
         "f5_exogenous": lambda p: audit.exogenous(p, OTHERS),
         "x12_smoothed": features.smoothed,
-        "x13_channel_history": lambda p: features.channel_history(p, ("humidity", "pressure")),
+        "x13_channel_history": lambda p: features.channel_history(p, OTHERS),
         "x18_encodings": lambda p: features.encodings(p.select("city", F.col("date").alias("target_date"), F.col("temp_avg").alias("lag1")), features.climatology(p), p),
         "m11_anomaly_persistence": lambda p: models.anomaly_persistence(p, features.climatology(p)),
-        "n1_brutlag": lambda p: anomaly.brutlag_bands(_monthly_parts(p)),
-        "n4_isolation_forest": lambda p: anomaly.isolation_forest(p, ("temp_avg", "humidity", "pressure"), trees=100),
+        "n1_brutlag": lambda p: anomaly.brutlag_bands(monthly_parts(p)),
+        "n4_isolation_forest": lambda p: anomaly.isolation_forest(p, ("temp_avg", "humidity", "pressure")),
         "p15_calendar_grid": lambda p: plot_data.calendar_grid(p.where("city = 'N-O'"), range(1995, 2002)),
-        "p6_flag_counts": lambda p: anomaly.flag_counts(anomaly.votes([anomaly.brutlag_bands(_monthly_parts(p)).select("city", "date", "flag_brutlag")], 1)),
+        "p6_flag_counts": lambda p: anomaly.flag_counts(anomaly.votes([anomaly.brutlag_bands(monthly_parts(p)).select("city", "date", "flag_brutlag")], 1)),
     }
     out = {name: (lambda spark, sf_dir, f=f: rounded(f(panel(spark, sf_dir)))) for name, f in on_panel.items()}
     on_filled = {
         "e1_harmonic": lambda p: decompose.decompose(p, method="harmonic"),
         "e3_loess": lambda p: decompose.decompose(p, method="stl"),
         "e5_several_periods": lambda p: decompose.decompose(p, method="mstl"),
-        "e6_strengths": lambda p: decompose.strengths(_monthly_parts(p)),
+        "e6_strengths": lambda p: decompose.strengths(monthly_parts(p)),
         "e8_stationarity": decompose.stationarity,
         "e9_acf_pacf": decompose.acf_pacf,
         "b5_calibration_origins": forecast.calibration_origins,
-        "n7_detect": lambda p: anomaly.detect(p, decompose.decompose(p, method="harmonic"), ("temp_avg",)),
+        "n7_detect": lambda p: anomaly.detect(p, decompose.decompose(p), ("temp_avg", "humidity", "pressure")),
     }
-    out |= {name: (lambda spark, sf_dir, f=f: rounded(f(_filled(spark, sf_dir)))) for name, f in on_filled.items()}
+    out |= {name: (lambda spark, sf_dir, f=f: rounded(f(_filled(spark, sf_dir, CHANNELS)))) for name, f in on_filled.items()}
     out |= {
-        "f7_verdict": lambda s, d: rounded(audit.verdict(source.fill_calendar(panel(s, d), CHANNELS), OTHERS)),
-        "s3_simulate": lambda s, d: simulate(s),
+        "f7_verdict": lambda s, d: rounded(audit.verdict(source.fill_calendar(panel(s, d)), OTHERS)),
         "m8_smoothing": _fitted(models.smoothing),
         "m9_autoregression": _fitted(models.autoregression, bounds),
         "m10_autoregression_exog": _fitted(lambda p, o: models.autoregression(p, o, exog=("humidity", "pressure", "cloud_cover")), bounds),
@@ -99,7 +91,7 @@ def oracle_sql() -> dict[str, str]:
     rho = " UNION ALL ".join(f"SELECT city, {k} lag, count(*) n, sum(x * l{k}) / sum(x * x) r FROM l GROUP BY city" for k in range(1, 31))
     clim = base["x4_climatology"].split("SELECT city, doy, round")[0].removeprefix(p)
     e = "abs(y_true - y_pred)"
-    six = [f"{c}_lag{k}" for c in ("humidity", "pressure") for k in (1, 7, 14)]
+    lagged = [f"{c}_lag{k}" for c in OTHERS for k in (1, 7, 14)]
     w7 = "OVER (PARTITION BY city ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
     weekly = lambda x: f"CASE WHEN count({x}) {w7} >= 3 THEN avg({x}) {w7} END"
     ewm = lambda s: f"list_reduce(v, lambda a, b: a + (b - a) * 2e0 / {s + 1})"
@@ -145,8 +137,8 @@ def oracle_sql() -> dict[str, str]:
           i AS (SELECT variable, greatest(sum(c / n * ln(c * CAST(n AS DOUBLE) / (cx * cy))) - (count(*) - count(DISTINCT bx) - count(DISTINCT bq) + 1) / (2e0 * max(n)), 0) mi FROM m GROUP BY 1), r AS (SELECT variable, corr(x, y) r FROM long GROUP BY 1)
           SELECT variable, {_r('r', 'pearson_r')}, {_r('mi', 'mutual_info')}, abs(r) > 0.15 OR mi > 0.05 informative FROM r JOIN i USING (variable)""",
         "x12_smoothed": f"{p}, w AS (SELECT city, date, list(temp_avg) OVER (PARTITION BY city ORDER BY date ROWS BETWEEN 599 PRECEDING AND CURRENT ROW) v FROM panel) SELECT city, date, {_r(ewm(7), 'ewm7')}, {_r(ewm(30), 'ewm30')} FROM w",
-        "x13_channel_history": f"{p} SELECT city, date, " + ", ".join(_r(f"lag({c.rsplit('_lag', 1)[0]}, {int(c.rsplit('_lag', 1)[1]) - 1}) OVER (PARTITION BY city ORDER BY date)", c) for c in six)
-        + f", {_r(weekly('humidity'), 'humidity_rmean7')}, {_r(weekly('pressure'), 'pressure_rmean7')}, {_r('temp_max - temp_min', 'diurnal_range')}, {_r(weekly('(temp_max - temp_min)'), 'diurnal_range_rmean7')} FROM panel",
+        "x13_channel_history": f"{p} SELECT city, date, " + ", ".join(_r(f"lag({c.rsplit('_lag', 1)[0]}, {int(c.rsplit('_lag', 1)[1]) - 1}) OVER (PARTITION BY city ORDER BY date)", c) for c in lagged)
+        + "".join(f", {_r(weekly(c), f'{c}_rmean7')}" for c in OTHERS) + f", {_r('temp_max - temp_min', 'diurnal_range')}, {_r(weekly('(temp_max - temp_min)'), 'diurnal_range_rmean7')} FROM panel",
         "x18_encodings": f"{p}{clim}, cl AS (SELECT city, doy, clim FROM s WHERE turn = 0) SELECT p.city, p.date target_date, {_r('temp_avg', 'lag1')}, {_r('clim', 'target_clim')}, dense_rank() OVER (ORDER BY p.city) - 1 city_code, {_r('temp_avg - clim', 'anomaly_lag1')} FROM panel p JOIN cl ON cl.city = p.city AND cl.doy = dayofyear(p.date)",
         "m11_anomaly_persistence": f"""{p}{clim}, cl AS (SELECT city, doy, clim FROM s WHERE turn = 0), a AS (SELECT p.city, p.date, temp_avg - clim a FROM panel p JOIN cl ON cl.city = p.city AND cl.doy = dayofyear(p.date)),
           lg AS (SELECT *, lag(a) OVER (PARTITION BY city ORDER BY date) l FROM a), b AS (SELECT city, corr(a, l) r, stddev_pop(a) sd FROM lg GROUP BY 1 HAVING count(*) >= 30) SELECT {_r('least(greatest(avg(r), 0), 0.98)', 'rho')}, {_r('avg(sd)', 'sigma')} FROM b""",

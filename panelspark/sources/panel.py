@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +19,39 @@ class DataValidationError(ValueError):
     """The panel breaks a rule that every operator relies on."""
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Panel of a CSV file with all HEADERS; further columns pass through."""
-    raw = spark.read.csv(path, header=True)
+def read_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """Panel of a CSV file with all HEADERS, in order of series and date; further columns pass through.
+
+    A missing path raises FileNotFoundError, a missing header or (with
+    ``check``) a broken rule raises DataValidationError.
+    """
+    try:
+        raw = spark.read.csv(path, header=True)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
     missing = [h for h in HEADERS if h not in raw.columns]
     if missing:
         raise DataValidationError(f"missing columns: {', '.join(missing)}")
     out = raw.withColumnsRenamed(HEADERS).withColumn("date", F.to_date("date"))
-    return out.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in CHANNELS})
+    out = out.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in CHANNELS})
+    if check:
+        validate(out)
+    return out.orderBy("city", "date")
+
+
+def load_panel(spark: SparkSession, path: str) -> DataFrame:
+    """The checked panel of a file on its whole calendar."""
+    return fill_calendar(read_csv(spark, path))
+
+
+def cities(panel: DataFrame) -> DataFrame:
+    return panel.select("city").distinct().orderBy("city")
+
+
+def date_range(panel: DataFrame) -> DataFrame:
+    return panel.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 def violations(panel: DataFrame) -> DataFrame:
@@ -51,29 +77,50 @@ def gaps(panel: DataFrame) -> DataFrame:
     )
 
 
-def fill_calendar(panel: DataFrame, columns=("temp_avg",), per_city: bool = False) -> DataFrame:
-    """Every series on the daily grid of the whole panel, ``columns`` interpolated.
+def fill_calendar(panel: DataFrame, columns=None, per_city: bool = False) -> DataFrame:
+    """Every series on the daily grid of the whole panel, or of its own days.
 
-    Inside a series by time, before its first value backward, after its last
-    forward. One shuffle by series; both directions share its sort.
+    CHANNELS are interpolated by time inside a series and carried to its ends;
+    other columns are carried forward, then backward. ``columns`` limits which
+    are kept. One shuffle by series; the way back is a growing frame over the
+    reversed order, so both directions are linear.
     """
-    span = panel.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    columns = [c for c in panel.columns if c not in ("city", "date")] if columns is None else list(columns)
     if per_city:
         grid = panel.groupBy("city").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     else:
-        grid = panel.select("city").distinct().crossJoin(span)
+        grid = panel.select("city").distinct().crossJoin(panel.agg(F.min("date").alias("lo"), F.max("date").alias("hi")))  # one row
     grid = grid.select("city", F.explode(F.sequence("lo", "hi")).alias("date"))
     full = grid.join(panel.select("city", "date", *columns), ["city", "date"], "left")
-    by = Window.partitionBy("city").orderBy("date")
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    series = Window.partitionBy("city")
+    back, ahead = series.orderBy("date"), series.orderBy(F.desc("date"))
+    known = lambda c: F.struct(F.col(c).alias("v"), F.col("date").alias("d"))
+    near = {}
+    for c in columns:
+        seen = F.when(F.col(c).isNotNull(), known(c))
+        near[f"_{c}_0"], near[f"_{c}_1"] = F.last(seen, True).over(back), F.last(seen, True).over(ahead)
     out = {}
     for c in columns:
-        day = F.when(F.col(c).isNotNull(), F.col("date"))
-        v0, d0 = F.last(c, True).over(back), F.last(day, True).over(back)
-        v1, d1 = F.first(c, True).over(ahead), F.first(day, True).over(ahead)
-        between = v0 + (v1 - v0) * F.try_divide(F.datediff("date", d0).cast("double"), F.datediff(d1, d0).cast("double"))
-        out[c] = F.coalesce(F.col(c), between, v0, v1)
-    return full.withColumns(out)
+        v0, d0, v1, d1 = (F.col(f"_{c}_{i}.{x}") for i in (0, 1) for x in ("v", "d"))
+        if c in CHANNELS:
+            between = v0 + (v1 - v0) * F.try_divide(F.datediff("date", d0).cast("double"), F.datediff(d1, d0).cast("double"))
+            out[c] = F.coalesce(F.col(c).cast("double"), between, v0.cast("double"), v1.cast("double"))
+        else:
+            out[c] = F.coalesce(v0, v1)
+    return full.withColumns(near).withColumns(out).select("city", "date", *columns)
+
+
+def city_series(panel: DataFrame, city: str) -> DataFrame:
+    """One series on its own calendar; KeyError if the panel has no such series."""
+    own = panel.where(F.col("city") == city)
+    if own.isEmpty():
+        raise KeyError(city)
+    return fill_calendar(own, per_city=True)
+
+
+def wide(panel: DataFrame, names, column: str = "temp_avg") -> DataFrame:
+    """The filled ``column`` by date, one column for each of the series ``names``."""
+    return fill_calendar(panel, [column]).groupBy("date").pivot("city", list(names)).agg(F.first(column))
 
 
 def summary(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
@@ -88,12 +135,21 @@ def split_by_date(panel: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
     return panel.where(F.col("date") <= F.lit(cutoff)), panel.where(F.col("date") > F.lit(cutoff))
 
 
-def rolling_origins(panel: DataFrame, horizon: int = 14, n: int = 8, stride: int = 14, min_train: int = 400) -> DataFrame:
+def rolling_origins(panel: DataFrame, horizon: int = 14, n: int = 8, stride: int = 14, min_train: int = 400, strict: bool = False) -> DataFrame:
     """Up to ``n`` origins, ``stride`` dates apart, the last with ``horizon`` dates after it.
 
     The dates are those of the calendar, so one task numbers days, not rows.
+    ``strict`` raises ValueError if the dates do not leave a horizon after the
+    training rows, or if no origin is left.
     """
     dates = panel.select("date").distinct()
     idx = dates.withColumn("idx", F.row_number().over(Window.orderBy("date")) - 1).withColumn("last", F.count("*").over(Window.partitionBy()) - horizon - 1)
     ok = ((F.col("last") - F.col("idx")) % stride == 0) & (F.col("idx") <= F.col("last")) & (F.col("idx") >= min_train)
-    return idx.where(ok & (F.col("idx") > F.col("last") - n * stride)).select(F.col("date").alias("origin"))
+    out = idx.where(ok & (F.col("idx") > F.col("last") - n * stride)).select(F.col("date").alias("origin"))
+    if strict:
+        days = dates.count()
+        if days < min_train + horizon:
+            raise ValueError(f"{days} dates are fewer than {min_train} for training and {horizon} ahead")
+        if out.isEmpty():
+            raise ValueError("no origin fits")
+    return out

@@ -14,11 +14,10 @@ sys.path.insert(0, os.path.dirname(__file__))
 from oracle import connect, differences  # noqa: E402
 
 from panelspark.functions import special
-from panelspark.operators import anomaly, audit, decompose, evaluate, forecast, models
+from panelspark.operators import anomaly, audit, decompose, descriptive, evaluate, features, forecast, models
 from panelspark.plans import model_queries as plans
 from panelspark.plans.queries import CHANNELS
 from panelspark.sources import panel as source
-from panelspark.sources.simulate import simulate
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +29,31 @@ def duck():
 
 @pytest.fixture(scope="module")
 def weather(spark):
-    return simulate(spark).persist()
+    """Ten made series over two years: a season, a shared and an own persistent part, channels that follow."""
+    r = np.random.default_rng(13)
+    n, rows, start = 731, [], dt.date(2023, 1, 1)
+
+    def persistent(keep, size):
+        out = [0.0]
+        for e in r.normal(0, size * math.sqrt(1 - keep * keep), n - 1):
+            out.append(keep * out[-1] + e)
+        return np.array(out)
+
+    shared = persistent(0.8, 1.4)
+    wave = np.sin(2 * np.pi * (np.arange(n) - 100) / 365.25)
+    for k in range(10):
+        mean, half = 22 + k, 5 + 0.4 * k
+        temp = mean + half * wave + shared + persistent(0.75, 1.0)
+        away = temp - mean
+        channels = {
+            "humidity": np.clip(60 - 1.5 * away + r.normal(0, 5, n), 5, 100), "rainfall": np.maximum(0, r.normal(-1, 3, n) - 0.3 * away), "wind_speed": 8 - 0.2 * away + r.normal(0, 1, n),
+            "aqi": np.round(np.clip(150 - 5 * away + r.normal(0, 20, n), 10, 490)), "pressure": 1010 - 0.5 * away + r.normal(0, 1, n), "cloud_cover": np.clip(50 - 3 * away + r.normal(0, 8, n), 0, 100),
+        }
+        for i in range(n):
+            rows.append((start + dt.timedelta(days=i), f"S{k}", f"T{k % 3}", *(round(float(temp[i] + d), 1) for d in (5, -5, 0)), *(round(float(c[i]), 1) for c in channels.values())))
+    names = ["temp_max", "temp_min", "temp_avg", "humidity", "rainfall", "wind_speed", "aqi", "pressure", "cloud_cover"]
+    made = spark.createDataFrame(rows, "date date, city string, state string, " + ", ".join(f"{c} double" for c in names))
+    return made.withColumn("aqi_category", descriptive.aqi_class(F.col("aqi"))).persist()
 
 
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
@@ -56,16 +79,6 @@ def test_tails_of_tables(spark):
     assert all(abs(p - 0.05) < 2e-4 for p in row)
 
 
-def test_generator_does_not_depend_on_partitions(spark, weather):
-    source.validate(weather)
-    assert weather.count() == 7310
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    again = simulate(spark)
-    assert again.exceptAll(weather).count() == 0
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert simulate(spark, seed=7).exceptAll(weather).count() > 0
-
-
 def test_verdicts(spark, weather):
     assert audit.verdict(weather, CHANNELS[1:]).first().verdict == "FORECASTABLE"
     u = random.Random(3)
@@ -115,7 +128,7 @@ def test_spikes_are_flagged_and_bands_cover(spark):
     assert anomaly.brutlag_bands(parts).where("not flag_brutlag").count() > 0.85 * 731
 
 
-def test_fitted_models_beat_persistence(spark, weather):
+def test_fitted_models_are_complete_and_regression_beats_persistence(spark, weather):
     o = source.rolling_origins(weather, n=3)
     ar = models.autoregression(weather, o)
     boosted, importance, factors = models.boosted(weather, o, trees=5)
@@ -132,8 +145,8 @@ def test_models_do_not_see_the_future(spark, weather):
     o = source.rolling_origins(weather, n=1)
     cut = o.first().origin
     for model in (models.autoregression, models.quantile_tree):
-        whole = model(weather, o).where("city = 'Delhi'").orderBy("horizon").collect()
-        assert whole == model(weather.where(F.col("date") <= cut), o).where("city = 'Delhi'").orderBy("horizon").collect()
+        whole = model(weather, o).where("city = 'S3'").orderBy("horizon").collect()
+        assert whole == model(weather.where(F.col("date") <= cut), o).where("city = 'S3'").orderBy("horizon").collect()
 
 
 def test_panel_is_written_and_read(spark, weather, tmp_path):
@@ -143,3 +156,88 @@ def test_panel_is_written_and_read(spark, weather, tmp_path):
     again = source.read_csv(spark, str(tmp_path / "panel"))
     assert again.select("city", "date", "temp_avg", "aqi", "aqi_category").exceptAll(weather.select("city", "date", "temp_avg", "aqi", "aqi_category")).count() == 0
     assert again.count() == weather.count()
+
+
+def test_read_checks_what_it_reads(spark, weather, tmp_path):
+    from panelspark.sources.sinks import write_panel
+
+    with pytest.raises(FileNotFoundError):
+        source.read_csv(spark, str(tmp_path / "nothing"))
+    write_panel(weather.where("date < '2023-02-01' and date <> '2023-01-10'"), str(tmp_path / "gap"))
+    whole = source.load_panel(spark, str(tmp_path / "gap"))
+    assert whole.count() == 310 and whole.where("temp_avg is null or humidity is null or state is null or aqi_category is null").count() == 0
+    write_panel(weather.limit(3).withColumn("temp_avg", F.lit(99.0)), str(tmp_path / "hot"))
+    with pytest.raises(source.DataValidationError):
+        source.read_csv(spark, str(tmp_path / "hot"))
+
+
+def test_command_line_writes_its_tables(spark, weather, tmp_path):
+    import json
+
+    from panelspark import cli
+    from panelspark.sources.sinks import write_panel
+
+    write_panel(weather.where("city in ('S1', 'S2')"), str(tmp_path / "panel"))
+    board = cli.run(spark, source.read_csv(spark, str(tmp_path / "panel")), str(tmp_path / "out"), "t", origins=2, slow=False, eda=False)
+    assert {r.model for r in board.collect()} == {"naive", "seasonal_naive", "climatology", "climatology_persistence", "gbm"}
+    assert {n.split("__")[0] for n in os.listdir(tmp_path / "out")} >= {"verdict", "leaderboard", "by_horizon", "intervals", "coverage_by_horizon", "anomalies"}
+
+
+def test_backtest_isolates_a_failure(spark, weather, tmp_path):
+    def broken(panel, origins, horizon):
+        raise ValueError("no")
+
+    o = source.rolling_origins(weather, n=2)
+    scored, went = forecast.backtest(weather, {"naive": forecast.naive, "broken": broken}, o, 7, str(tmp_path / "bt"))
+    assert [w["status"][:10] for w in went] == ["ok", "ValueError"] and all(w["seconds"] >= 0 for w in went)
+    assert {r.model for r in evaluate.models(scored).collect()} == {"naive"} and evaluate.for_model(scored, "naive").count() == 10 * 2 * 7
+    with pytest.raises(RuntimeError):
+        forecast.backtest(weather, {"broken": broken}, o, 7, str(tmp_path / "none"))
+
+
+def test_fit_and_predict_contracts(spark, weather):
+    with pytest.raises(ValueError, match="no training rows"):
+        forecast.checked(weather.limit(0))
+    with pytest.raises(ValueError, match="missing columns: soil"):
+        forecast.checked(weather, ("temp_avg", "soil"))
+    with pytest.raises(ValueError, match="missing columns"):
+        forecast.as_predictions(weather, "m")
+    o = source.rolling_origins(weather, n=1)
+    empty = forecast.scaffold(weather, o, 3)
+    assert empty.columns == list(forecast.COLUMNS) and empty.count() == 30 and empty.where("y_pred is not null").count() == 0
+    made = forecast.as_predictions(empty.select("city", "origin", "horizon", F.lit(1.0).alias("y_pred"), F.lit(0.0).alias("lower")), "m", "lower")
+    assert made.where("target_date = date_add(origin, horizon) and model = 'm'").count() == 30
+
+
+def test_split_and_residuals_of_training_rows(spark, weather):
+    rows = features.supervised(weather.where("city = 'S0'"), 2)
+    split = models.chronological_split(rows, 30)
+    last = rows.agg(F.max("origin")).first()[0]
+    assert {r.origin for r in split.where("validation").select("origin").distinct().collect()} == {last - dt.timedelta(days=i) for i in range(30)}
+    assert features.for_horizon(rows, 2).count() * 2 - rows.count() in (-1, 0)
+    assert "target" not in features.feature_names(rows) and {"lag365", "ewm7", "ewm30", "doy", "sin1", "time_idx"} <= set(features.feature_names(rows))
+    assert (features.lag_of("lag14"), features.lag_of("humidity_lag7"), features.lag_of("rmean7")) == (14, 7, None)
+    with pytest.raises(ValueError, match="unknown calendar"):
+        features.calendar_terms(weather, include=("month", "moon"))
+    r = models.in_sample_residuals(rows.withColumn("anomaly", F.col("target")).withColumn("prediction", F.col("target") - 2))
+    assert r.where("abs(residual - 2) > 1e-9").count() == 0
+
+
+def test_profile_against_all_pairs(spark):
+    r = np.random.default_rng(7)
+    y = np.concatenate([r.normal(size=150).cumsum(), np.ones(30), r.normal(size=60)])
+    got = anomaly.matrix_profile(series(spark, y), window=10, top_k=5, tile=37).orderBy("date").collect()
+    w = np.lib.stride_tricks.sliding_window_view(y, 10)
+    sd = w.std(axis=1)
+    z = (w - w.mean(axis=1)[:, None]) / np.where(sd < 1e-8, 1, sd)[:, None]
+    want = [min(np.linalg.norm(z[i] - z[j]) for j in range(len(z)) if abs(i - j) > 5) for i in range(len(z))]
+    assert [x.distance for x in got[: len(z)]] == pytest.approx(want, abs=1e-6) and all(x.distance is None for x in got[len(z) :])
+    cut = np.percentile(want, 100 * (1 - 5 / len(want)))
+    assert [x.flag_profile for x in got[: len(z)]] == [d >= cut - 1e-9 for d in want]
+
+
+def test_flags_by_name(spark):
+    v = anomaly.votes([series(spark, [1, 2, 3]).select("city", "date", (F.col("temp_avg") > 2).alias("flag_a"))], 1)
+    assert anomaly.flag_columns(v) == ["flag_a", "flag_ensemble"] and anomaly.anomalies(v).count() == 1
+    with pytest.raises(KeyError):
+        anomaly.anomalies(v, "flag_b")

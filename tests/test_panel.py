@@ -91,3 +91,27 @@ def test_entry_runs(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_unknown_series_and_too_few_dates(spark):
+    p = rows(spark, [(i, float(i)) for i in range(100)])
+    with pytest.raises(KeyError):
+        source.city_series(p, "B")
+    with pytest.raises(ValueError, match="fewer than"):
+        source.rolling_origins(p, strict=True)
+    with pytest.raises(ValueError, match="no origin"):
+        source.rolling_origins(p, horizon=14, min_train=86, n=0, strict=True)
+    assert source.rolling_origins(p, min_train=50, strict=True).count() == 3
+
+
+def test_other_columns_are_carried(spark):
+    p = rows(spark, [(0, 10.0), (2, 12.0)]).withColumn("state", F.when(F.col("temp_avg") == 12, "x"))
+    assert [(r.temp_avg, r.state) for r in source.fill_calendar(p).orderBy("date").collect()] == [(10, "x"), (11, "x"), (12, "x")]
+
+
+def test_ranks_see_what_is_not_linear(spark):
+    p = rows(spark, [(i, float(i)) for i in range(30)]).withColumn("h", F.exp(F.col("temp_avg") / 3)).withColumn("g", F.when(F.col("temp_avg") > 4, -F.col("h")))
+    got = {(r.a, r.b): r.r for r in descriptive.channel_correlation(p, ("temp_avg", "h", "g"), "spearman").collect()}
+    assert got == pytest.approx({("temp_avg", "h"): 1.0, ("temp_avg", "g"): -1.0, ("h", "g"): -1.0})
+    with pytest.raises(ValueError):
+        descriptive.channel_correlation(p, ("temp_avg", "h"), "other").collect()
