@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_rows(n: int):
+    """Jobs in here, or in a function so decorated, pass ``n`` rows a batch to Python.
+
+    Texts and sets are long rows: a default batch of 10,000 is held by the JVM and
+    by the worker at once.
+    """
+    spark, name = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(n, int(before)) if int(before) > 0 else n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete the files of tables that ``cut`` wrote and nothing reads again."""
     for df in dfs:
