@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, discard, small, table
+from panelspark.llm.common import arrow_rows, cut, discard, small, table
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "letter", "digit", "space", "upper", "stop", "comma", "symbol", "bar",
@@ -25,6 +25,8 @@ FEATURES = (
 N_COSINES, SEED, RIDGE = 256, 7, 1e-3
 #: Bound of the labelled rows that a fit uses; the sums are taken in TRAIN_PARTS tasks.
 MAX_TRAIN, TRAIN_PARTS = 100_000, 8
+#: Rows that the filter passes to Python at once.
+BATCH = 1_000
 THRESHOLD = 0.7
 
 
@@ -203,6 +205,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep=(
     )
 
 
+@arrow_rows(BATCH)
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the classifier does not reject, columns as given.
 
