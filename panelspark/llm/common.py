@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,39 @@ def arrow_rows(n: int):
         spark.conf.set(name, before)
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, if its allocator can be told what to give back; else None."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped by themselves
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(run):
+    """``run`` over Arrow batches by a worker that returns what it frees to the system.
+
+    Workers serve one task after another and live on between stages. What their
+    allocators keep counts against the executor although nothing holds it.
+    """
+
+    @wraps(run)
+    def served(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = _libc()
+        try:
+            yield from run(batches)
+        finally:
+            if libc:
+                libc.malloc_trim(0)
+
+    return served
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete the files of tables that ``cut`` wrote and nothing reads again."""
     for df in dfs:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import arrow_rows, cut, discard, small, table
+from panelspark.llm.common import arrow_rows, cut, discard, lean, small, table
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "letter", "digit", "space", "upper", "stop", "comma", "symbol", "bar",
@@ -78,7 +78,7 @@ def features(docs: DataFrame, keep=()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), x, *b.columns[2:]], names=["doc_id", "x", *keep])
 
     fields = "doc_id long, x array<double>" + "".join(f", {c} long" for c in keep)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(lean(run), fields)
 
 
 def held_out():
@@ -157,7 +157,7 @@ def fit(feats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mode
         yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()]})
 
     gram, right = np.zeros((N_COSINES + 1,) * 2), np.zeros(N_COSINES + 1)
-    for g, r in train.where("part <> 1").select("x", "y").mapInArrow(partial, "gram binary, right binary").collect():
+    for g, r in train.where("part <> 1").select("x", "y").mapInArrow(lean(partial), "gram binary, right binary").collect():
         gram += np.frombuffer(g).reshape(gram.shape)
         right += np.frombuffer(r)
     beta = np.linalg.solve(gram + RIDGE * sums[0] / N_COSINES * np.eye(N_COSINES + 1), right)
@@ -169,7 +169,7 @@ def fit(feats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mode
 
     # at most 3001 bins of raw scores, whatever the input
     bins = (
-        train.where("part = 1").select("x", "y").mapInArrow(raw, "raw double, y double")
+        train.where("part = 1").select("x", "y").mapInArrow(lean(raw), "raw double, y double")
         .groupBy(F.round(F.least(F.greatest("raw", F.lit(-1.0)), F.lit(2.0)) * 1000).cast("int").alias("bin"))
         .agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n"))
         .collect()
@@ -200,7 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep=(
             s = model.score(_matrix(b.column(1))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *b.columns[2:]], names=["doc_id", "score", *keep])
 
-    return feats.mapInArrow(run, "doc_id long, score double" + "".join(f", {c} long" for c in keep)).select(
+    return feats.mapInArrow(lean(run), "doc_id long, score double" + "".join(f", {c} long" for c in keep)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *keep
     )
 

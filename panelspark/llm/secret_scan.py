@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import table
+from panelspark.llm.common import lean, table
 
 # The base patterns of the contract.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -216,7 +216,7 @@ def scan(docs: DataFrame, min_log10: float = 8.0) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+        lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
     )
 
 
@@ -246,7 +246,7 @@ def redact(docs: DataFrame, min_log10: float = 8.0) -> DataFrame:
             text = pa.array([redact_text(t, min_log10) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([text if i == at else b.column(i) for i in range(len(names))], names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     if "n_chars" in names:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))

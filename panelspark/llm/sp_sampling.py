@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import table
+from panelspark.llm.common import lean, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 17
@@ -475,7 +475,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, sharpness: flo
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), lists], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -491,7 +491,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
             text = [None if p is None else vocab.decode(np.array(p, np.int64)).decode("utf-8", "replace") for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["doc_id", "rank", "text"])
 
-    return rows.select("doc_id", "rank", "pieces").mapInArrow(run, "doc_id long, rank int, text string")
+    return rows.select("doc_id", "rank", "pieces").mapInArrow(lean(run), "doc_id long, rank int, text string")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
