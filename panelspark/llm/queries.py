@@ -7,6 +7,7 @@ from panelspark.llm import (
     embedding_dedup,
     license_scan,
     quality,
+    quality_rules,
     resharding,
     secret_scan,
     simhash_dedup,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_benchmark_decontamination": decontaminate.op8,
         "op9_simhash_near_dedup": simhash_dedup.op9,
         "op10_embedding_near_dedup": embedding_dedup.op10,
+        "op11_quality_rules": quality_rules.op11,
     }
 
 
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scans": license_scan.OP7_SQL,
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
         "op10_embedding_near_dedup": embedding_dedup.OP10_SQL,
+        "op11_quality_rules": quality_rules.OP11_SQL,
     }
