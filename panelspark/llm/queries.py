@@ -11,6 +11,7 @@ from panelspark.llm import (
     resharding,
     secret_scan,
     simhash_dedup,
+    source_divergence,
     sp_sampling,
     suffix_dedup,
     url_filter,
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_simhash_near_dedup": simhash_dedup.op9,
         "op10_embedding_near_dedup": embedding_dedup.op10,
         "op11_quality_rules": quality_rules.op11,
+        "op12_source_divergence": source_divergence.op12,
     }
 
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_benchmark_decontamination": decontaminate.OP8_SQL,
         "op10_embedding_near_dedup": embedding_dedup.OP10_SQL,
         "op11_quality_rules": quality_rules.OP11_SQL,
+        "op12_source_divergence": source_divergence.OP12_SQL,
     }
