@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelspark.llm import (
+    collocations,
     decontaminate,
     embedding_dedup,
     license_scan,
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op10_embedding_near_dedup": embedding_dedup.op10,
         "op11_quality_rules": quality_rules.op11,
         "op12_source_divergence": source_divergence.op12,
+        "op13_phrase_collocations": collocations.op13,
     }
 
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_embedding_near_dedup": embedding_dedup.OP10_SQL,
         "op11_quality_rules": quality_rules.OP11_SQL,
         "op12_source_divergence": source_divergence.OP12_SQL,
+        "op13_phrase_collocations": collocations.OP13_SQL,
     }
