@@ -155,9 +155,12 @@ def find_anchors(docs: DataFrame) -> DataFrame:
                 continue
             key, ctx, did, th, at = map(np.concatenate, (key, ctx, did, th, at))
             order = np.lexsort([at, th, did, ctx, key])
-            k, c = key[order], ctx[order]
-            dup = np.zeros(len(key), bool)
-            dup[order[1:]] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+            alike = lambda x: x[order[1:]] == x[order[:-1]]
+            # rows of one doc_id and text are one document: its places come once
+            same = np.append(False, alike(at) & alike(th) & alike(did) & alike(ctx) & alike(key))
+            order = order[~same]
+            key, ctx, did, th, at = (x[order] for x in (key, ctx, did, th, at))
+            dup = np.append(False, (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]))
             key = np.where(dup, ctx ^ (did.astype(np.uint64) * _ODD) ^ (at.astype(np.uint64) * _TABLE[1]), key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(did), pa.array(th), pa.array(at.astype(np.int32)), pa.array(dup)],
@@ -169,13 +172,18 @@ def find_anchors(docs: DataFrame) -> DataFrame:
 
 
 def suspects(docs: DataFrame) -> DataFrame:
-    """Anchors whose context is a later copy (``dup``) or shares its anchor with others."""
+    """Anchors whose context is a later copy (``dup``) or shares its anchor with others.
+
+    A row of the same document, text and place is not a copy but the same place again.
+    """
     a = find_anchors(docs)
     # marked rows keep out of their key's groups
     group = Window.partitionBy("key", "dup")
     inner = group.orderBy("ctx", "did", "th", "at")
+    place = F.struct("did", "th", "at")
     return (
-        a.withColumn("copy", F.coalesce(F.lag("ctx").over(inner) == F.col("ctx"), F.lit(False)))
+        a.withColumn("copy", (F.lag("ctx").over(inner) == F.col("ctx")) & (F.lag(place).over(inner) != place))
+        .withColumn("copy", F.coalesce("copy", F.lit(False)))
         .withColumn("mixed", F.min("ctx").over(group) != F.max("ctx").over(group))
         .withColumn("n", F.count("*").over(group))
         .where(F.col("dup") | F.col("copy") | F.col("mixed"))

@@ -142,6 +142,16 @@ def test_suffix_edges(odd, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(3)
+    t, u = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    rows = [(9, t), (9, t), (None, u), (None, u), (12, t[:250] + "#" * 30), (3, "x" * 300), (3, "x" * 300)]
+    got = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == Counter({(9, 0): 2, (None, 0): 2, (12, 250): 1, (3, 299): 2})
+    one = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in one) == got
+
+
 # --- segmentations -----------------------------------------------------------
 def test_samples_round_trip(docs, odd, empty):
     for df in (docs.where("length(text) < 3000"), odd):
