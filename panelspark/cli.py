@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import argparse
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspark.operators import anomaly, audit, decompose, descriptive, evaluate, forecast, models
+from panelspark.functions.lineage import new_path
+from panelspark.operators import anomaly, audit, boosting, decompose, descriptive, evaluate, forecast, models, plot_data
 from panelspark.sources import panel as source
 from panelspark.sources.sinks import write_csv, write_json
 
@@ -19,13 +19,18 @@ def forecasters(slow: bool = True) -> dict:
         "seasonal_naive": forecast.seasonal_naive,
         "climatology": lambda p, o, h: forecast.climatology_persistence(p, o, h, decay=0.0),
         "climatology_persistence": forecast.climatology_persistence,
-        "gbm": lambda p, o, h: models.boosted(p, o, h)[0],
+        "gbm": boosting.boosted,
     }
     if slow:
         out |= {"stl_ets": models.smoothing, "sarimax_fourier": models.autoregression, "sarimax_exog": lambda p, o, h: models.autoregression(p, o, h, exog=("humidity", "pressure", "cloud_cover"))}
     return out
 
 
+def models_of(went: DataFrame) -> set[str]:
+    """Models that answered for an origin or more."""
+    return {r["model"] for r in went.where("status = 'ok'").select("model").distinct().collect()}  # a handful
+
+
 def run(spark: SparkSession, panel: DataFrame, out: str, tag: str, horizon: int = 14, origins: int = 8, stride: int = 14, slow: bool = True, eda: bool = True) -> DataFrame:
     """Writes every table under ``out`` and returns the leaderboard."""
     source.validate(panel)
@@ -36,8 +41,8 @@ def run(spark: SparkSession, panel: DataFrame, out: str, tag: str, horizon: int
                         "shape": audit.distribution_shape, "heat_spells": descriptive.heat_spells, "stationarity": decompose.stationarity}.items():
             write_csv(f(panel if name == "city_profile" else filled), out, name, tag)
     at = source.rolling_origins(filled, horizon, origins, stride).persist()
-    made = [f(filled, at, horizon).select(*forecast.COLUMNS) for f in forecasters(slow).values()]
-    scored = forecast.walk_forward(filled, reduce(DataFrame.unionByName, made)).persist()
+    scored, went = forecast.backtest(filled, forecasters(slow), at, horizon, new_path(spark, "backtest"))
+    write_csv(went, out, "timings", tag)
     board = evaluate.leaderboard(scored).orderBy("mae").persist()  # one row a model
     write_csv(board, out, "leaderboard", tag)
     write_csv(evaluate.by_horizon(scored), out, "by_horizon", tag)
@@ -46,10 +51,14 @@ def run(spark: SparkSession, panel: DataFrame, out: str, tag: str, horizon: int
     banded = evaluate.intervals(scored.where("model = 'climatology_persistence'"), evaluate.conformal_widths(seen))
     write_json(evaluate.interval_metrics(banded), out, "intervals", tag)
     write_csv(evaluate.interval_metrics(banded, by=("model", "horizon")), out, "coverage_by_horizon", tag)
+    write_csv(plot_data.forecast_example(filled, banded, source.cities(filled).first()["city"]), out, "forecast_example", tag)
+    if "gbm" in models_of(went):
+        block = boosting.fit_blocks(filled, at.orderBy(F.desc("origin")).limit(1), horizon)[0]
+        write_csv(boosting.importance(block.models[0.5], block.names), out, "importance", tag)
     parts = decompose.decompose(filled).persist()
     voted = anomaly.detect(filled, parts, ("temp_avg", "humidity", "pressure"))
     write_csv(anomaly.flag_counts(voted), out, "anomalies", tag)
-    for df in (parts, scored, at, filled):
+    for df in (parts, at, filled):
         df.unpersist()
     return board
 

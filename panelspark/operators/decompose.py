@@ -9,7 +9,7 @@ from math import ceil, erf, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.features import autocorrelation
@@ -173,16 +173,43 @@ def stationarity(panel: DataFrame, alpha: float = 0.05, column: str = "temp_avg"
     return rows.groupBy("city").applyInPandas(run, "city string, adf_stat double, adf_p double, kpss_stat double, kpss_p double, verdict string")
 
 
-def acf_pacf(panel: DataFrame, lags: int = 60, column: str = "temp_avg") -> DataFrame:
-    """Autocorrelations and partial ones (Yule-Walker on adjusted autocovariances); lags under half the rows."""
-    size = panel.groupBy("city").agg(F.count(column).alias("n"))
-    acf = autocorrelation(panel, lags, column).join(size, "city").where(F.col("lag") <= F.floor(F.col("n") / 2) - 1)
+def _once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        r = np.r_[1.0, (pdf["acf"] * pdf["n"] / (pdf["n"] - pdf["lag"])).to_numpy(float)]
-        at = np.abs(np.subtract.outer(np.arange(len(r)), np.arange(len(r))))
-        pacf = [np.linalg.lstsq(r[at[:k, :k]], r[1 : k + 1], rcond=None)[0][-1] for k in range(1, len(r))]
-        return pdf.assign(pacf=pacf)[["city", "lag", "acf", "pacf", "band"]]
 
-    return acf.where("acf is not null").groupBy("city").applyInPandas(run, "city string, lag long, acf double, pacf double, band double")
+def _partial(r: Column) -> Column:
+    """Partial correlations from correlations 1.. by the Durbin-Levinson recursion, a fold over orders.
+
+    The state holds the coefficients of the last order, the share of variance
+    they leave and the partial correlations so far.
+    """
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def order(state: Column, k: Column) -> Column:
+        phi, back = state["phi"], F.reverse(F.slice(r, F.lit(1), k - 1))
+        last = F.try_divide(F.get(r, k - 1) - add(F.zip_with(phi, back, lambda p, q: p * q)), state["left"])
+
+        def grown(a: Column) -> Column:
+            new = F.concat(F.zip_with(phi, F.reverse(phi), lambda p, q: p - a * q), F.array(a))
+            return F.struct(new.alias("phi"), (state["left"] * (1 - a * a)).alias("left"), F.concat(state["out"], F.array(a)).alias("out"))
+
+        return _once(last, grown)
+
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("phi"), F.lit(1.0).alias("left"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(r)), start, order, lambda s: s["out"])
+
+
+def acf_pacf(panel: DataFrame, lags: int = 60, column: str = "temp_avg") -> DataFrame:
+    """Autocorrelations and partial ones (Yule-Walker on adjusted autocovariances) at lags under half the rows.
+
+    A series' ``lags`` numbers are gathered into one row, never its values. A
+    constant series has no rows.
+    """
+    size = panel.groupBy("city").agg(F.count(column).alias("n"))
+    acf = autocorrelation(panel, lags, column).join(F.broadcast(size), "city").where("acf is not null")  # one row a series
+    acf = acf.where(F.col("lag") <= F.floor(F.col("n") / 2) - 1).withColumn("r", F.col("acf") * F.col("n") / (F.col("n") - F.col("lag")))
+    rows = acf.groupBy("city").agg(F.array_sort(F.collect_list(F.struct("lag", "acf", "band", "r"))).alias("x"))
+    rows = rows.withColumn("pacf", _partial(F.col("x.r")))
+    return rows.select("city", F.inline(F.zip_with("x", "pacf", lambda x, p: F.struct(x["lag"].alias("lag"), x["acf"].alias("acf"), p.alias("pacf"), x["band"].alias("band")))))

@@ -38,11 +38,14 @@ def mae_by_city(scored: DataFrame, cities) -> DataFrame:
 def conformal_widths(scored: DataFrame, coverage: float = 0.9) -> DataFrame:
     """Half widths by model and horizon: an order statistic of absolute residuals.
 
-    Horizons with too few residuals take the model's overall width.
+    Horizons with too few residuals take the model's ``overall`` width, which
+    also stands beside each; without any residual ValueError is raised.
     """
     alpha = 1 - coverage
     gate = max(10, ceil(1 / alpha))
-    r = scored.select("model", "horizon", F.abs(F.col("y_true") - F.col("y_pred")).alias("r")).where("r is not null")
+    r = scored.select("model", "horizon", F.abs(F.col("y_true") - F.col("y_pred")).alias("r")).where("r is not null and not isnan(r)")
+    if r.isEmpty():
+        raise ValueError("no finite residuals to calibrate on")
 
     def pick(*keys: str) -> DataFrame:
         """The order statistic of each group, by rank: groups are sorted, not gathered."""
@@ -54,12 +57,15 @@ def conformal_widths(scored: DataFrame, coverage: float = 0.9) -> DataFrame:
 
     overall = pick("model").select("model", F.col("r").alias("overall"))
     each = pick("model", "horizon")
-    return each.join(overall, "model").select("model", "horizon", "n", F.when(F.col("n") >= gate, F.col("r")).otherwise(F.col("overall")).alias("width"))
+    return each.join(overall, "model").select("model", "horizon", "n", F.when(F.col("n") >= gate, F.col("r")).otherwise(F.col("overall")).alias("width"), "overall")
 
 
 def intervals(forecasts: DataFrame, widths: DataFrame) -> DataFrame:
-    w = widths.select("model", "horizon", "width")
-    return forecasts.join(w, ["model", "horizon"]).withColumns({"lower": F.col("y_pred") - F.col("width"), "upper": F.col("y_pred") + F.col("width")})
+    """Forecasts with bounds; a horizon that was not calibrated takes its model's overall width, a model without widths has null bounds."""
+    overall = widths.groupBy("model").agg(F.max("overall").alias("overall"))  # equal in all rows of a model
+    joined = forecasts.join(widths.select("model", "horizon", "width"), ["model", "horizon"], "left").join(overall, "model", "left")
+    joined = joined.withColumn("width", F.coalesce("width", "overall")).drop("overall")
+    return joined.withColumns({"lower": F.col("y_pred") - F.col("width"), "upper": F.col("y_pred") + F.col("width")})
 
 
 def interval_metrics(scored: DataFrame, alpha: float = 0.1, by=("model",)) -> DataFrame:

@@ -73,8 +73,12 @@ def calendar_terms(panel: DataFrame, order: int = 2, include=CALENDAR, date: str
 
 def climatology(panel: DataFrame, window: int = 15, column: str = "temp_avg") -> DataFrame:
     """Smoothed mean by series and day of year 1..366, circular in both steps."""
-    mean = panel.groupBy("city", F.dayofyear("date").alias("doy")).agg(F.avg(column).alias("m"))
-    grid = panel.select("city").distinct().select("city", F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy"))
+    return smoothed_year(panel.groupBy("city", F.dayofyear("date").alias("doy")).agg(F.avg(column).alias("m")), window)
+
+
+def smoothed_year(mean: DataFrame, window: int = 15) -> DataFrame:
+    """``(city, doy, clim)`` from ``mean(city, doy, m)``: gaps filled along the circle, then a running mean."""
+    grid = mean.select("city").distinct().select("city", F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy"))
     three = grid.join(mean, ["city", "doy"], "left").select("city", "doy", "m", F.explode(F.array(*map(F.lit, (-366, 0, 366)))).alias("turn"))
     t = three.withColumn("t", F.col("doy") + F.col("turn"))
     by = Window.partitionBy("city").orderBy("t")
@@ -87,8 +91,8 @@ def climatology(panel: DataFrame, window: int = 15, column: str = "temp_avg") ->
     return smooth.where("turn = 0").select("city", "doy", "clim")
 
 
-def history(panel: DataFrame, column: str = "temp_avg", lags=LAGS, windows=WINDOWS) -> DataFrame:
-    """Lags, trailing statistics and differences known at each origin: one shuffle, one sort."""
+def history_columns(column: str = "temp_avg", lags=LAGS, windows=WINDOWS) -> dict[str, Column]:
+    """Lags, trailing statistics and differences known at each origin."""
     y = F.col(column)
     out = {f"lag{k}": F.lag(y, k - 1).over(by_city()) for k in lags}
     for w in windows:
@@ -99,14 +103,23 @@ def history(panel: DataFrame, column: str = "temp_avg", lags=LAGS, windows=WINDO
     out |= {f"diff{k}": y - F.lag(y, k).over(by_city()) for k in (1, 7)}
     w7, w28 = by_city().rowsBetween(-6, 0), by_city().rowsBetween(-27, 0)
     out["trend7"] = F.when(F.count(y).over(w7) >= 3, F.avg(y).over(w7)) - F.when(F.count(y).over(w28) >= 7, F.avg(y).over(w28))
-    return panel.select("city", "date", column, *[c.alias(n) for n, c in out.items()])
+    return out
+
+
+def _with(panel: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
+    """The columns over series in date order: one shuffle, one sort, however many there are."""
+    return panel.select("city", "date", *keep, *[c.alias(n) for n, c in columns.items()])
+
+
+def history(panel: DataFrame, column: str = "temp_avg", lags=LAGS, windows=WINDOWS) -> DataFrame:
+    return _with(panel, history_columns(column, lags, windows), column)
 
 
 def _decayed(rate: float):
     return lambda acc, x: F.coalesce(acc + (x - acc) * rate, x)
 
 
-def smoothed(panel: DataFrame, spans=(7, 30), column: str = "temp_avg") -> DataFrame:
+def smoothed_columns(spans=(7, 30), column: str = "temp_avg") -> dict[str, Column]:
     """Exponential moving averages with decay 2 / (span + 1), started at the first value.
 
     A fold over so many of the last values that older ones weigh less than
@@ -118,28 +131,33 @@ def smoothed(panel: DataFrame, spans=(7, 30), column: str = "temp_avg") -> DataF
         rows = int(36.8 / -log1p(-rate)) + 1
         last = F.collect_list(F.col(column).cast("double")).over(by_city().rowsBetween(1 - rows, 0))
         out[f"ewm{s}"] = F.aggregate(last, F.lit(None).cast("double"), _decayed(rate))
-    return panel.select("city", "date", *[c.alias(n) for n, c in out.items()])
+    return out
+
+
+def smoothed(panel: DataFrame, spans=(7, 30), column: str = "temp_avg") -> DataFrame:
+    return _with(panel, smoothed_columns(spans, column))
 
 
 def all_history(panel: DataFrame, column: str = "temp_avg", channels=()) -> DataFrame:
-    """Every feature known at an origin: lags, trailing statistics, smoothed means and those of the other channels."""
-    out = history(panel, column).join(smoothed(panel, column=column), ["city", "date"])
+    """Every feature known at an origin, in one pass: lags, trailing statistics, smoothed means and those of the other channels."""
     channels = [c for c in channels if c != column and c in panel.columns]
-    return out.join(channel_history(panel, channels), ["city", "date"]) if channels else out
+    others = channel_columns(channels, {"temp_max", "temp_min"} <= set(panel.columns)) if channels else {}
+    return _with(panel, history_columns(column) | smoothed_columns(column=column) | others, column)
 
 
-def supervised(panel: DataFrame, horizon: int = 14, column: str = "temp_avg", channels=(), complete: bool = True) -> DataFrame:
+def supervised(panel: DataFrame, horizon: int = 14, column: str = "temp_avg", channels=(), complete: bool = True, known: bool = True) -> DataFrame:
     """``(city, origin, horizon, target_date, features, target)``: history at the origin, calendar of the target date.
 
-    Rows without a target go, and with ``complete`` those without all lags up
-    to SHORT. The panel must lie on a gap-free calendar.
+    Rows without a target go unless ``known`` is off, and with ``complete``
+    those without all lags up to SHORT. The panel must lie on a gap-free calendar.
     """
     h = all_history(panel, column, channels)
     ahead = F.array(*[F.struct(F.lit(k).alias("horizon"), F.lead(column, k).over(by_city()).alias("target")) for k in range(1, horizon + 1)])
     rows = h.withColumn("ahead", ahead)
     if complete:
         rows = rows.where(" and ".join(f"lag{k} is not null" for k in LAGS if k <= SHORT))
-    rows = rows.withColumn("a", F.explode("ahead")).drop("ahead").where("a.target is not null")
+    rows = rows.withColumn("a", F.explode("ahead")).drop("ahead")
+    rows = rows.where("a.target is not null") if known else rows
     names = [c for c in h.columns if c not in ("city", "date", column)]
     rows = rows.select("city", F.col("date").alias("origin"), "a.horizon", F.date_add("date", F.col("a.horizon")).alias("target_date"), *names, "a.target")
     first = panel.agg(F.min("date").alias("_day0"))
@@ -159,16 +177,20 @@ def for_horizon(rows: DataFrame, horizon: int) -> DataFrame:
     return rows.where(F.col("horizon") == horizon)
 
 
-def channel_history(panel: DataFrame, columns, lags=(1, 7, 14)) -> DataFrame:
+def channel_columns(columns, span: bool, lags=(1, 7, 14)) -> dict[str, Column]:
     """Lags and weekly means of covariates known at each origin, and the daily range where both temperatures are there."""
     over = by_city().rowsBetween(-6, 0)
     weekly = lambda c: F.when(F.count(c).over(over) >= 3, F.avg(c).over(over))
     out = {f"{c}_lag{k}": F.lag(F.col(c).cast("double"), k - 1).over(by_city()) for c in columns for k in lags}
     out |= {f"{c}_rmean7": weekly(F.col(c).cast("double")) for c in columns}
-    if {"temp_max", "temp_min"} <= set(panel.columns):
-        span = F.col("temp_max") - F.col("temp_min")
-        out |= {"diurnal_range": span, "diurnal_range_rmean7": weekly(span)}
-    return panel.select("city", "date", *[c.alias(n) for n, c in out.items()])
+    if span:
+        daily = F.col("temp_max") - F.col("temp_min")
+        out |= {"diurnal_range": daily, "diurnal_range_rmean7": weekly(daily)}
+    return out
+
+
+def channel_history(panel: DataFrame, columns, lags=(1, 7, 14)) -> DataFrame:
+    return _with(panel, channel_columns(columns, {"temp_max", "temp_min"} <= set(panel.columns), lags))
 
 
 def climatology_at(rows: DataFrame, clim: DataFrame, panel: DataFrame, date: str = "date", column: str = "temp_avg") -> DataFrame:

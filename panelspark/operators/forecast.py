@@ -12,7 +12,7 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.features import climatology
+from panelspark.operators.features import smoothed_year
 from panelspark.sources.panel import rolling_origins
 
 COLUMNS = ("model", "city", "origin", "target_date", "horizon", "y_pred")
@@ -40,36 +40,49 @@ def _known(panel: DataFrame, origins: DataFrame, value, name: str) -> DataFrame:
 
 
 def naive(panel: DataFrame, origins: DataFrame, horizon: int = 14, column: str = "temp_avg") -> DataFrame:
+    panel = checked(panel, (column,))
     last = _known(panel, origins, lambda by: F.last(column, True).over(by), "y_pred").where("y_pred is not null")
-    return _ahead(last, horizon).withColumn("model", F.lit("naive")).select(*COLUMNS)
-
-
-def recent_mean(panel: DataFrame, origins: DataFrame, column: str, rows: int = 7) -> DataFrame:
-    t = _train(panel, origins, column)
-    rn = F.row_number().over(Window.partitionBy("city", "origin").orderBy(F.desc("date")))
-    return t.withColumn("rn", rn).where(F.col("rn") <= rows)
+    return as_predictions(_ahead(last, horizon), "naive")
 
 
 def seasonal_naive(panel: DataFrame, origins: DataFrame, horizon: int = 14, period: int = 365, column: str = "temp_avg") -> DataFrame:
     """The value ``period`` days before the target, else the mean of the last seven rows."""
+    panel = checked(panel, (column,))
     base = _known(panel, origins, lambda by: F.avg(column).over(by.rowsBetween(-6, 0)), "fallback")
     past = panel.select("city", F.date_add("date", period).alias("target_date"), F.col("date").alias("seen"), F.col(column).alias("past"))
     out = _ahead(base, horizon).join(past, ["city", "target_date"], "left")
     past_known = F.when(F.col("seen") <= F.col("origin"), F.col("past"))
-    return out.withColumn("y_pred", F.coalesce(past_known, "fallback")).withColumn("model", F.lit("seasonal_naive")).select(*COLUMNS)
+    return as_predictions(out.withColumn("y_pred", F.coalesce(past_known, "fallback")), "seasonal_naive")
+
 
+def climatology_by_origin(panel: DataFrame, origins: DataFrame, window: int = 15, column: str = "temp_avg") -> DataFrame:
+    """``(city, origin, doy, clim)``: the climatology that each origin knows, from one pass over the panel.
 
-def climatology_persistence(panel: DataFrame, origins: DataFrame, horizon: int = 14, decay: float = 0.85, window: int = 15, column: str = "temp_avg") -> DataFrame:
-    """Climatology fitted per origin plus the recent anomaly times ``decay ** horizon``; decay 0 is climatology alone."""
-    key = F.concat_ws("|", "city", "origin")
-    train = _train(panel, origins, column).withColumn("key", key)
-    clim = climatology(train.select(F.col("key").alias("city"), "date", F.col("y").alias(column)), window, column).withColumnRenamed("city", "key")
-    recent = recent_mean(panel, origins, column).withColumn("key", key).withColumn("doy", F.dayofyear("date"))
-    anomaly = recent.join(clim, ["key", "doy"]).groupBy("key", "city", "origin").agg(F.avg(F.col("y") - F.col("clim")).alias("anomaly"))
-    out = _ahead(anomaly, horizon).withColumn("doy", F.dayofyear("target_date")).join(clim, ["key", "doy"])
+    Each row is summed once, into its day of the year between two origins;
+    an origin's state is the sum of the states up to it.
+    """
+    asked = origins.select("origin").distinct()
+    between = asked.withColumn("after", F.lag("origin").over(Window.orderBy("origin")))  # one row an origin
+    within = (F.col("date") <= F.col("origin")) & (F.col("after").isNull() | (F.col("date") > F.col("after")))
+    rows = panel.select("city", "date", F.col(column).cast("double").alias("y")).join(F.broadcast(between), within)
+    states = rows.groupBy("city", F.dayofyear("date").alias("doy"), F.col("origin").alias("until")).agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    merged = states.join(F.broadcast(asked), F.col("until") <= F.col("origin")).groupBy("city", "origin", "doy").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    key = merged.select(F.struct("city", "origin").alias("city"), "doy", "m")
+    return smoothed_year(key, window).select("city.city", "city.origin", "doy", "clim")
+
+
+def climatology_persistence(panel: DataFrame, origins: DataFrame, horizon: int = 14, decay: float = 0.85, window: int = 15, column: str = "temp_avg", recent: int = 7) -> DataFrame:
+    """Climatology fitted per origin plus the mean anomaly of the last ``recent`` rows times ``decay ** horizon``; decay 0 is climatology alone."""
+    panel = checked(panel, (column,))
+    clim = climatology_by_origin(panel, origins, window, column)
+    row = F.struct(F.dayofyear("date").alias("doy"), F.col(column).cast("double").alias("y"))
+    last = _known(panel, origins, lambda by: F.collect_list(row).over(by.rowsBetween(1 - recent, 0)), "last")
+    last = last.select("city", "origin", F.inline("last")).join(clim, ["city", "origin", "doy"])
+    anomaly = last.groupBy("city", "origin").agg(F.avg(F.col("y") - F.col("clim")).alias("anomaly"))
+    out = _ahead(anomaly, horizon).withColumn("doy", F.dayofyear("target_date")).join(clim, ["city", "origin", "doy"])
     damp = F.pow(F.lit(float(decay)), F.col("horizon")) if decay else F.lit(0.0)
     name = "climatology_persistence" if decay else "climatology"
-    return out.withColumn("y_pred", F.col("clim") + F.col("anomaly") * damp).withColumn("model", F.lit(name)).select(*COLUMNS)
+    return as_predictions(out.withColumn("y_pred", F.col("clim") + F.coalesce("anomaly", F.lit(0.0)) * damp), name)
 
 
 def checked(panel: DataFrame, columns=("temp_avg",)) -> DataFrame:
@@ -95,26 +108,43 @@ def as_predictions(rows: DataFrame, model: str, *extra: str) -> DataFrame:
     return rows.withColumns({"model": F.lit(model), "target_date": F.date_add("origin", F.col("horizon"))}).select(*COLUMNS, *extra)
 
 
-def backtest(panel: DataFrame, factories: dict, origins: DataFrame, horizon: int, out: str, column: str = "temp_avg") -> tuple[DataFrame, list[dict]]:
-    """Scored forecasts of each of ``factories`` (functions of panel, origins, horizon), and how each one went.
+TIMINGS = "model string, origin date, seconds double, rows long, status string"
+
 
-    Every model is one plan over all origins, written under ``out``; one that
-    fails is reported and does not stop the others. ``out`` is a folder that
-    driver and executors share.
+def backtest(panel: DataFrame, factories: dict, origins: DataFrame, horizon: int, out: str, column: str = "temp_avg") -> tuple[DataFrame, DataFrame]:
+    """Scored forecasts of each of ``factories`` (functions of panel, origins, horizon), and how each went at each origin.
+
+    Every model is one plan over all origins, written under ``out``, a folder
+    that driver and executors share. Where a plan fails, the model is asked for
+    one origin after another, so a failure stays with its own model and origin.
+    The second table is ``(model, origin, seconds, rows, status)``; origins that
+    one plan served share its seconds. RuntimeError if nothing succeeds.
     """
-    spark, went = panel.sparkSession, []
-    for name, make in factories.items():
+    spark = panel.sparkSession
+    days = [r["origin"] for r in origins.select("origin").distinct().orderBy("origin").collect()]  # a handful
+    went, good = [], []
+
+    def attempt(name: str, make, asked: list, path: str) -> str:
         began = time.time()
         try:
-            scored = walk_forward(panel, make(panel, origins, horizon).select(*COLUMNS), column)
-            scored.write.mode("overwrite").parquet(f"{out}/name={name}")
-            went.append({"model": name, "seconds": time.time() - began, "status": "ok"})
+            some = origins.where(F.col("origin").isin(asked))
+            walk_forward(panel, make(panel, some, horizon).select(*COLUMNS), column).write.mode("overwrite").parquet(path)
+            rows = {r["origin"]: r["count"] for r in spark.read.parquet(path).groupBy("origin").count().collect()}
+            status = "ok"
+            good.append(path)
         except Exception as e:  # whatever a model raises is its own failure
-            went.append({"model": name, "seconds": time.time() - began, "status": f"{type(e).__name__}: {str(e)[:200]}"})
-    good = [f"{out}/name={w['model']}" for w in went if w["status"] == "ok"]
+            rows, status = {}, f"{type(e).__name__}: {str(e)[:200]}"
+        if status == "ok" or len(asked) == 1:
+            went.extend((name, d, (time.time() - began) / len(asked), rows.get(d, 0), status) for d in asked)
+        return status
+
+    for name, make in factories.items():
+        if attempt(name, make, days, f"{out}/name={name}") != "ok" and len(days) > 1:
+            for d in days:
+                attempt(name, make, [d], f"{out}/name={name}-{d}")
     if not good:
         raise RuntimeError(f"every model failed: {went}")
-    return spark.read.parquet(*good), went
+    return spark.read.parquet(*good), spark.createDataFrame(went, TIMINGS)
 
 
 def walk_forward(panel: DataFrame, forecasts: DataFrame, column: str = "temp_avg") -> DataFrame:

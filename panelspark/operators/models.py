@@ -1,4 +1,4 @@
-"""Fitted forecasters: smoothing, autoregression with harmonics, boosted trees.
+"""Fitted forecasters per series: smoothing, autoregression with harmonics; steps that boosting shares.
 
 Like the baselines they answer for all origins at once and see only rows
 dated at or before an origin. Per-series models are dealt by series and origin.
@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,58 +138,3 @@ def chronological_split(rows: DataFrame, days: int = 90) -> DataFrame:
 def in_sample_residuals(rows: DataFrame, anomaly: str = "anomaly", predicted: str = "prediction") -> DataFrame:
     """Residuals of training rows ``(city, origin, horizon)``; the factors by horizon are not applied."""
     return rows.select("city", "origin", "horizon", (F.col(anomaly) - F.col(predicted)).alias("residual"))
-
-
-def tree_rows(panel: DataFrame, horizon: int = 14, column: str = "temp_avg"):
-    """Supervised rows with encodings, the anomaly to learn, and the names of the features; missing features are zero beside a flag."""
-    clim = features.climatology(panel, column=column)
-    rows = features.encodings(features.supervised(panel, horizon, column), clim, panel)
-    names = [c for c in rows.columns if c not in ("city", "origin", "target_date", "target")]
-    rows = rows.withColumn("anomaly", F.col("target") - F.col("target_clim"))
-    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in names if c.startswith("r")}
-    return rows.withColumns(flags).fillna(0.0, names), names + list(flags), clim
-
-
-def boosted(panel: DataFrame, origins: DataFrame, horizon: int = 14, trees: int = 20, depth: int = 5, every: int = 7, column: str = "temp_avg"):
-    """One boosted model of all series, fitted before the first origin, shrunk by horizon: forecasts, importance, factors.
-
-    Learns the anomaly against climatology by absolute error on origins
-    ``every`` days apart, since neighbouring origins share nearly all of their
-    rows. Features of an origin use rows up to it.
-    """
-    first = origins.agg(F.min("origin").alias("first_origin"))
-    past = panel.join(F.broadcast(first), F.col("date") <= F.col("first_origin")).drop("first_origin")  # one row
-    rows, names, clim = tree_rows(past, horizon, column)
-    assemble = VectorAssembler(inputCols=names, outputCol="features")
-    fit = assemble.transform(rows.where(F.datediff("origin", F.lit("1970-01-01")) % every == 0)).select("features", "anomaly", "horizon")
-    model = GBTRegressor(labelCol="anomaly", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.85, minInstancesPerNode=40, seed=42).fit(fit)
-    own = model.transform(fit).select(F.lit("gbm").alias("model"), "horizon", F.col("prediction").alias("anomaly"))
-    factors = shrinkage(own, anomaly_persistence(past, clim, column))
-
-    ask = inference_rows(panel, origins, horizon, column)
-    ask = features.encodings(ask, clim, past)
-    base = [c for c in names if not c.endswith("_missing")]
-    ask = ask.withColumns({c: F.col(c.removesuffix("_missing")).isNull().cast("double") for c in names if c.endswith("_missing")}).fillna(0.0, base)
-    scored = model.transform(assemble.transform(ask)).join(F.broadcast(factors.drop("model")), "horizon")  # one row a horizon
-    out = scored.withColumn("model", F.lit("gbm")).withColumn("y_pred", F.col("target_clim") + F.col("prediction") * F.col("factor")).select(*COLUMNS)
-    weights = [(n, float(w)) for n, w in zip(names, model.featureImportances.toArray())]
-    return out, panel.sparkSession.createDataFrame(weights, "feature string, gain double"), factors
-
-
-def quantile_tree(panel: DataFrame, origins: DataFrame, horizon: int = 14, coverage: float = 0.9, depth: int = 5, every: int = 7, column: str = "temp_avg") -> DataFrame:
-    """Intervals from the quantiles of training anomalies in the leaves of one tree over all series."""
-    first = origins.agg(F.min("origin").alias("first_origin"))
-    past = panel.join(F.broadcast(first), F.col("date") <= F.col("first_origin")).drop("first_origin")  # one row
-    clim = features.climatology(past, column=column)
-    names = ["horizon", "lag1", "lag7", "rmean7", "rstd28", "trend7", "target_clim", "anomaly_lag1"]
-    assemble = VectorAssembler(inputCols=names, outputCol="features")
-    rows = features.encodings(features.supervised(past, horizon, column), clim, past).withColumn("anomaly", F.col("target") - F.col("target_clim"))
-    fit = assemble.transform(rows.fillna(0.0, names).where(F.datediff("origin", F.lit("1970-01-01")) % every == 0)).select("features", "anomaly")
-    tree = DecisionTreeRegressor(labelCol="anomaly", maxDepth=depth, minInstancesPerNode=40, leafCol="leaf", seed=42).fit(fit)
-    q = lambda p: F.percentile("anomaly", F.lit(p))
-    tails = (1 - coverage) / 2
-    leaves = tree.transform(fit).groupBy("leaf").agg(q(0.5).alias("mid"), q(tails).alias("low"), q(1 - tails).alias("high"))
-    ask = inference_rows(panel, origins, horizon, column)
-    ask = tree.transform(assemble.transform(features.encodings(ask, clim, past).fillna(0.0, names))).join(F.broadcast(leaves), "leaf")  # at most 2 ** depth leaves
-    shift = lambda c: F.col("target_clim") + F.col(c)
-    return ask.withColumns({"model": F.lit("quantile_tree"), "y_pred": shift("mid"), "lower": shift("low"), "upper": shift("high")}).select(*COLUMNS, "lower", "upper")

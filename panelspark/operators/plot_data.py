@@ -117,9 +117,12 @@ def calendar_grid(panel: DataFrame, years, column: str = "temp_avg") -> DataFram
 
 
 def forecast_example(panel: DataFrame, scored: DataFrame, city: str, rows: int = 90, column: str = "temp_avg") -> DataFrame:
-    """One series' last ``rows`` days before its last origin, then forecasts of every model beside the truth."""
+    """One series' last ``rows`` days before its last origin, then forecasts of every model beside the truth, with their band if they have one."""
     own = scored.where(F.col("city") == city)
     last = own.agg(F.max("origin").alias("origin"))
     past = panel.where(F.col("city") == city).join(F.broadcast(last), F.col("date").between(F.date_sub("origin", rows - 1), F.col("origin")))  # one row
-    ahead = own.join(F.broadcast(last), "origin").select(F.col("target_date").alias("date"), "model", "y_true", "y_pred")
-    return past.select("date", F.lit("history").alias("model"), F.col(column).alias("y_true"), F.lit(None).cast("double").alias("y_pred")).unionByName(ahead)
+    none = F.lit(None).cast("double")
+    band = [F.col(c) if c in scored.columns else none.alias(c) for c in ("lower", "upper")]
+    ahead = own.join(F.broadcast(last), "origin").select(F.col("target_date").alias("date"), "model", "y_true", "y_pred", *band)
+    before = past.select("date", F.lit("history").alias("model"), F.col(column).alias("y_true"), *[none.alias(c) for c in ("y_pred", "lower", "upper")])
+    return before.unionByName(ahead)

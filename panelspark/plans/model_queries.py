@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import anomaly, audit, decompose, evaluate, features, forecast, models, plot_data
+from panelspark.operators import anomaly, audit, boosting, decompose, evaluate, features, forecast, models, plot_data
 from panelspark.plans.queries import _FILL, _LONG, _P, _SIMPLE, CHANNELS, _corr, _filled, _r, _simple, monthly_parts, panel, rounded
 from panelspark.plans.queries import oracle_sql as base_sql
 from panelspark.sources import panel as source
@@ -22,6 +22,14 @@ def _fitted(model, columns=forecast.COLUMNS):
     return run
 
 
+def _importance(spark, sf_dir):
+    """Features of the fit before the last origins."""
+    p = source.fill_calendar(panel(spark, sf_dir), ("temp_avg", "humidity", "pressure", "cloud_cover"))
+    last = source.rolling_origins(p).orderBy(F.desc("origin")).limit(1)
+    block = boosting.fit_blocks(p, last)[0]
+    return rounded(boosting.importance(block.models[0.5], block.names))
+
+
 def queries() -> dict:
     bounds = (*forecast.COLUMNS, "lower", "upper")
     persistence = lambda s: s.range(1).select(F.lit(0.7).alias("rho"), F.lit(2.0).alias("sigma"))
@@ -58,8 +66,9 @@ def queries() -> dict:
         "m8_smoothing": _fitted(models.smoothing),
         "m9_autoregression": _fitted(models.autoregression, bounds),
         "m10_autoregression_exog": _fitted(lambda p, o: models.autoregression(p, o, exog=("humidity", "pressure", "cloud_cover")), bounds),
-        "m12_boosted": _fitted(lambda p, o: models.boosted(p, o)[0]),
-        "m19_quantiles": _fitted(models.quantile_tree, bounds),
+        "m12_boosted": _fitted(boosting.boosted),
+        "m17_importance": _importance,
+        "m19_quantiles": _fitted(boosting.quantile_boosted, bounds),
         "m14_shrinkage": lambda s, d: rounded(models.shrinkage(_simple(s, d).select("model", "horizon", (F.col("y_pred") - F.col("y_true")).alias("anomaly")), persistence(s))),
         "v17_significance": lambda s, d: rounded(audit.significance(_simple(s, d), "naive", ("seasonal_naive",), 2)),
         "v18_compare_boards": lambda s, d: rounded(evaluate.compare_boards(evaluate.leaderboard(_simple(s, d).where("horizon <= 7")), evaluate.leaderboard(_simple(s, d).where("horizon > 7")))),
@@ -103,7 +112,17 @@ def oracle_sql() -> dict[str, str]:
       d AS (SELECT *, pow(1 - {GAMMA}::DOUBLE, k) * (sum({GAMMA}::DOUBLE * e * pow(1 - {GAMMA}::DOUBLE, -k)) OVER (PARTITION BY city, ph ORDER BY t) + (1 - {GAMMA}::DOUBLE) * run0) d FROM k),
       bands AS (SELECT city, date, value, predicted, d deviation, predicted - 1.96::DOUBLE * d AS lower, predicted + 1.96::DOUBLE * d AS upper FROM d)"""
     dm = base["v13_diebold_mariano"].split("SELECT city, n, round")[0].replace("pow(y_true - y_pred, 2)", "abs(y_true - y_pred)")
+    lag60 = ", ".join(f"sum(x * l{k}) / sum(x * x) r{k}" for k in range(1, 61))
     return {
+        "e9_acf_pacf": f"""{p.replace("WITH", "WITH RECURSIVE", 1)}{_FILL},
+          c AS (SELECT city, date, temp_avg - avg(temp_avg) OVER (PARTITION BY city) x FROM filled),
+          l AS (SELECT city, x, {", ".join(f"lag(x, {k}) OVER (PARTITION BY city ORDER BY date) l{k}" for k in range(1, 61))} FROM c),
+          ew AS (SELECT city, count(*) n, {lag60} FROM l GROUP BY 1),
+          v AS (SELECT city, n, [{", ".join(f"r{k}" for k in range(1, 61))}] acf, [{", ".join(f"r{k} * n / (n - {k})" for k in range(1, 61))}] r FROM ew),
+          dl(city, k, phi, rest, a) AS (SELECT city, 1, [r[1]], 1 - r[1] * r[1], r[1] FROM v UNION ALL
+            SELECT city, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), rest * (1 - b * b), b
+            FROM (SELECT v.city, k, phi, rest, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / rest b FROM dl JOIN v USING (city) WHERE k < 60))
+          SELECT city, CAST(k AS BIGINT) lag, {_r('acf[k]', 'acf')}, {_r('a', 'pacf')}, {_r('1.96::DOUBLE / sqrt(n)', 'band')} FROM dl JOIN v USING (city)""",
         "a6_distribution_shape": f"""{p}, x AS (SELECT city, temp_avg x, row_number() OVER (PARTITION BY city ORDER BY temp_avg) i, count(*) OVER c m, min(temp_avg) OVER c lo, max(temp_avg) OVER c hi, avg(temp_avg) OVER c mu FROM panel WINDOW c AS (PARTITION BY city)),
           s AS (SELECT city, count(*) n, avg(x) mean, stddev_samp(x) std, avg(pow(x - mu, 3)) / pow(avg(pow(x - mu, 2)), 1.5) skew, avg(pow(x - mu, 4)) / pow(avg(pow(x - mu, 2)), 2) - 3 kurt,
             max(greatest(i / m - (x - lo) / (hi - lo), (x - lo) / (hi - lo) - (i - 1) / m)) d, CAST(count(*) AS DOUBLE) f FROM x GROUP BY 1),

@@ -146,7 +146,7 @@ def queries() -> dict:
         "v14_by_horizon": lambda s, d: rounded(evaluate.by_horizon(_simple(s, d))),
         "v15_leaderboard": lambda s, d: rounded(evaluate.leaderboard(_simple(s, d))),
         "v15_leaderboard_all": lambda s, d: rounded(evaluate.leaderboard(_forecasts(s, d))),
-        "c1_conformal_widths": lambda s, d: rounded(evaluate.conformal_widths(_simple(s, d))),
+        "c1_conformal_widths": lambda s, d: rounded(evaluate.conformal_widths(_simple(s, d)).drop("overall")),
         "v12_interval_metrics": lambda s, d: rounded(_intervals(s, d)),
         "b4_pivot_predictions": lambda s, d: rounded(plot_data.pivot_predictions(_simple(s, d), ("naive", "seasonal_naive"))),
         "v6_mase": lambda s, d: rounded(plot_data.mase(_filled(s, d), _simple(s, d))),
@@ -194,6 +194,22 @@ b AS (SELECT city, origin, max(CASE WHEN rn = 1 THEN y END) last_y, avg(CASE WHE
 fc AS (SELECT 'naive' model, city, origin, origin + CAST(h AS INT) target_date, h horizon, last_y y_pred FROM b, hz
   UNION ALL SELECT 'seasonal_naive', b.city, origin, origin + CAST(h AS INT), h, coalesce(f.temp_avg, m7) FROM b CROSS JOIN hz LEFT JOIN filled f ON f.city = b.city AND f.date = b.origin + CAST(h AS INT) - 365),
 scored AS (SELECT fc.*, f.temp_avg y_true FROM fc JOIN filled f ON f.city = fc.city AND f.date = fc.target_date)"""
+#: The four baselines: the climatology of every origin from all its rows, and the anomaly of its last seven.
+_BASELINES = _SIMPLE + """, om AS (SELECT city, origin, dayofyear(date) doy, avg(y) m FROM tr GROUP BY 1, 2, 3),
+ot AS (SELECT c.city, c.origin, CAST(d AS BIGINT) doy, turn, d + turn t, m FROM (SELECT DISTINCT city, origin FROM tr) c
+  CROSS JOIN generate_series(1, 366) g(d) CROSS JOIN (VALUES (-366), (0), (366)) k(turn) LEFT JOIN om ON om.city = c.city AND om.origin = c.origin AND om.doy = d),
+ow AS (SELECT *, last_value(m IGNORE NULLS) OVER b v0, last_value(CASE WHEN m IS NOT NULL THEN t END IGNORE NULLS) OVER b t0,
+  first_value(m IGNORE NULLS) OVER a v1, first_value(CASE WHEN m IS NOT NULL THEN t END IGNORE NULLS) OVER a t1 FROM ot
+  WINDOW b AS (PARTITION BY city, origin ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         a AS (PARTITION BY city, origin ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+os AS (SELECT city, origin, doy, turn, avg(coalesce(m, v0 + (v1 - v0) * (t - t0) / nullif(t1 - t0, 0), v0, v1))
+  OVER (PARTITION BY city, origin ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) clim FROM ow),
+oc AS (SELECT * FROM os WHERE turn = 0),
+oa AS (SELECT city, origin, avg(y - clim) a FROM tr JOIN oc USING (city, origin) WHERE rn <= 7 AND oc.doy = dayofyear(tr.date) GROUP BY 1, 2),
+both_clim AS (SELECT model, oa.city, oa.origin, oa.origin + CAST(h AS INT) target_date, h horizon, clim + a * CASE WHEN decay = 0 THEN 0 ELSE pow(decay, h) END y_pred
+  FROM oa CROSS JOIN hz CROSS JOIN (VALUES ('climatology', 0::DOUBLE), ('climatology_persistence', 0.85::DOUBLE)) v(model, decay)
+  JOIN oc ON oc.city = oa.city AND oc.origin = oa.origin AND oc.doy = dayofyear(oa.origin + CAST(h AS INT))),
+scored_all AS (SELECT * FROM scored UNION ALL SELECT b.*, f.temp_avg FROM both_clim b JOIN filled f ON f.city = b.city AND f.date = b.target_date)"""
 _SEASON = "CASE WHEN month(date) IN (12, 1, 2) THEN 'Winter' WHEN month(date) <= 5 THEN 'Pre-monsoon' WHEN month(date) <= 9 THEN 'Monsoon' ELSE 'Post-monsoon' END"
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 _LONG = ", long AS (" + " UNION ALL ".join(f"SELECT '{c}' column_name, CAST({c} AS DOUBLE) v FROM panel" for c in CHANNELS) + ")"
@@ -318,6 +334,8 @@ def oracle_sql() -> dict[str, str]:
         + f", {_r('f.temp_avg', 'target')} FROM h CROSS JOIN generate_series(1, 1) g(k) JOIN filled f ON f.city = h.city AND f.date = h.date + CAST(k AS INT) JOIN cal ON cal.date = f.date WHERE h.lag28 IS NOT NULL",
         "m4_m5_backtest": f"{p}{_SIMPLE} SELECT model, city, origin, target_date, horizon, {_r('y_pred', 'y_pred')}, {_r('y_true', 'y_true')} FROM scored",
         "v14_by_horizon": f"{p}{_SIMPLE} SELECT model, horizon, {_r(f'avg({e})', 'mae')}, {_r('sqrt(avg(pow(y_true - y_pred, 2)))', 'rmse')}, count(*) n FROM scored GROUP BY 1, 2",
+        "b1_walk_forward": f"{p}{_BASELINES} SELECT model, city, origin, target_date, horizon, {_r('y_pred', 'y_pred')}, {_r('y_true', 'y_true')} FROM scored_all",
+        "v15_leaderboard_all": f"{p}{_BASELINES} SELECT model, count(*) n, {_r(f'avg({e})', 'mae')}, {_r('sqrt(avg(pow(y_true - y_pred, 2)))', 'rmse')}, {_r('avg(y_pred - y_true)', 'bias')}, {_r('100 * avg(CASE WHEN abs(y_true) > 1e-8 THEN abs((y_true - y_pred) / y_true) END)', 'mape')}, {_r('100 * avg(abs(y_true - y_pred) / ((abs(y_true) + abs(y_pred)) / 2))', 'smape')}, {_r('1 - sum(pow(y_true - y_pred, 2)) / (var_pop(y_true) * count(*))', 'r2')} FROM scored_all GROUP BY 1",
         "v15_leaderboard": f"{p}{_SIMPLE} SELECT model, count(*) n, {_r(f'avg({e})', 'mae')}, {_r('sqrt(avg(pow(y_true - y_pred, 2)))', 'rmse')}, {_r('avg(y_pred - y_true)', 'bias')}, {_r('100 * avg(CASE WHEN abs(y_true) > 1e-8 THEN abs((y_true - y_pred) / y_true) END)', 'mape')}, {_r('100 * avg(abs(y_true - y_pred) / ((abs(y_true) + abs(y_pred)) / 2))', 'smape')}, {_r('1 - sum(pow(y_true - y_pred, 2)) / (var_pop(y_true) * count(*))', 'r2')} FROM scored GROUP BY 1",
         "c1_conformal_widths": f"{p}{_SIMPLE}{widths} SELECT model, horizon, n, {_r('width', 'width')} FROM wd",
         "v12_interval_metrics": f"{p}{_SIMPLE}{widths} SELECT model, {_r('avg(CAST(abs(y_true - y_pred) <= width + 1e-9 AS DOUBLE))', 'coverage')}, {_r('avg(2 * width)', 'mean_width')}, {_r('avg(2 * width + 20 * (greatest(y_pred - width - y_true, 0) + greatest(y_true - y_pred - width, 0)))', 'interval_score')} FROM scored JOIN wd USING (model, horizon) GROUP BY 1",

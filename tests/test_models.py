@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from oracle import connect, differences  # noqa: E402
 
 from panelspark.functions import special
-from panelspark.operators import anomaly, audit, decompose, descriptive, evaluate, features, forecast, models
+from panelspark.operators import anomaly, audit, boosting, decompose, descriptive, evaluate, features, forecast, models, plot_data
 from panelspark.plans import model_queries as plans
 from panelspark.plans.queries import CHANNELS
 from panelspark.sources import panel as source
@@ -128,27 +128,129 @@ def test_spikes_are_flagged_and_bands_cover(spark):
     assert anomaly.brutlag_bands(parts).where("not flag_brutlag").count() > 0.85 * 731
 
 
-def test_fitted_models_are_complete_and_regression_beats_persistence(spark, weather):
+def test_autoregression_beats_persistence(spark, weather):
     o = source.rolling_origins(weather, n=3)
     ar = models.autoregression(weather, o)
-    boosted, importance, factors = models.boosted(weather, o, trees=5)
-    board = {r.model: r.mae for r in evaluate.leaderboard(forecast.walk_forward(weather, forecast.naive(weather, o).unionByName(ar.select(*forecast.COLUMNS)).unionByName(boosted).unionByName(models.smoothing(weather, o)))).collect()}
-    assert board["sarimax_fourier"] < board["naive"] and set(board) == {"naive", "sarimax_fourier", "gbm", "stl_ets"}
-    assert abs(importance.agg(F.sum("gain")).first()[0] - 1) < 1e-6
-    f = [r.factor for r in factors.orderBy("horizon").collect()]
-    assert f == sorted(f, reverse=True) and 0 <= f[-1] <= f[0] <= 1
+    board = {r.model: r.mae for r in evaluate.leaderboard(forecast.walk_forward(weather, forecast.naive(weather, o).unionByName(ar.select(*forecast.COLUMNS)))).collect()}
+    assert board["sarimax_fourier"] < board["naive"]
     inside = evaluate.interval_metrics(forecast.walk_forward(weather, ar)).first()
     assert 0.75 < inside.coverage <= 1
 
 
+@pytest.fixture(scope="module")
+def blocks(weather):
+    o = source.rolling_origins(weather, n=6)
+    return boosting.fit_blocks(weather, o, refit_every=6)
+
+
+def test_boosting_uses_every_origin_and_beats_climatology(spark, weather, blocks):
+    o = source.rolling_origins(weather, n=6)
+    gbm = boosting._all(blocks).select(F.lit("gbm").alias("model"), "city", "origin", "target_date", "horizon", F.col("y0").alias("y_pred"))
+    assert gbm.count() == 10 * 6 * 14 and gbm.select("origin").distinct().count() == 6
+    some = blocks[0].training
+    assert some.select("origin").distinct().count() == (blocks[0].until - some.agg(F.min("origin")).first()[0]).days  # all of them, the last without a known target
+    for f in (forecast.naive(weather, o), forecast.climatology_persistence(weather, o, decay=0.0), forecast.climatology_persistence(weather, o)):
+        gbm = gbm.unionByName(f)
+    scored = forecast.walk_forward(weather, gbm).cache()
+    mae = {r.model: r.mae for r in evaluate.leaderboard(scored).collect()}
+    assert mae["climatology_persistence"] < mae["gbm"] < mae["climatology"] and mae["gbm"] < 1.05 * mae["climatology_persistence"]
+    at = {(r.model, r.horizon): r.mae for r in evaluate.by_horizon(scored).collect()}
+    assert at["gbm", 1] < at["climatology_persistence", 1] and at["gbm", 14] < 1.15 * at["climatology", 14] and at["naive", 1] < at["naive", 14]
+
+
+def test_boosted_factors_importance_and_residuals(spark, blocks):
+    block = blocks[-1]
+    f = [r.factor for r in block.factors.orderBy("horizon").collect()]
+    assert f == sorted(f, reverse=True) and 0 <= f[-1] <= f[0] <= 1 and len(f) == 14
+    top = boosting.importance(block.models[0.5], block.names, 10).collect()
+    assert [r.gain for r in top] == sorted((r.gain for r in top), reverse=True) and len(top) == 10 and "persisted" in {r.feature for r in top}
+    every = boosting.importance(block.models[0.5], block.names, 99).agg(F.sum("gain_pct"), F.sum("split")).first()
+    assert abs(every[0] - 100) < 1e-6 and every[1] == sum((t.numNodes - 1) // 2 for t, _ in block.models[0.5].trees)
+    assert not {"doy", "time_idx", "weekday"} & set(block.names)
+    r = boosting.training_residuals(block).agg(F.avg(F.abs("residual")), F.count("*")).first()
+    assert 0.5 < r[0] < 3 and r[1] == block.training.count()
+
+
+def test_blocks_know_dates_up_to_their_first_origin(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=14 * i) for i in range(5)]
+    made = boosting.blocks_of(spark.createDataFrame([(d,) for d in reversed(days)], "origin date"), 2)
+    assert [(b.origins, b.until) for b in made] == [(days[:2], days[0]), (days[2:4], days[2]), (days[4:], days[4])]
+
+
+def test_boosting_stops_early_where_asked(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    r = np.random.default_rng(2)
+    rows = [(float(x), float((x > 0) + r.normal(0, 0.3)), bool(i >= 1500)) for i, x in enumerate(r.normal(size=2000))]
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "x double, label double, validation boolean"))
+    m = boosting.boost(df, rounds=6, depth=2, step=0.7, patience=2)
+    assert len(m.losses) == len(m.trees) + 1 and m.losses[-1] == min(m.losses) < 0.6 * m.losses[0]
+    assert len(boosting.boost(df, rounds=3, depth=2).trees) == 3
+    high = boosting.boost(df, 0.9, rounds=6, depth=2, step=0.7).score(df)
+    assert 0.87 < high.agg(F.avg((F.col("label") <= F.col("prediction")).cast("double"))).first()[0] < 0.93
+    with pytest.raises(ValueError, match="no training rows"):
+        boosting.boost(df.limit(0))
+
+
+def test_boosted_bounds_cover_and_know_nothing_ahead(spark, weather):
+    o = source.rolling_origins(weather, n=6)
+    made = boosting.quantile_boosted(weather, o, refit_every=6, rounds=6).cache()
+    assert made.where("lower > y_pred or y_pred > upper").count() == 0
+    inside = evaluate.interval_metrics(forecast.walk_forward(weather, made)).first()
+    assert 0.84 <= inside.coverage <= 0.96
+    first = o.agg(F.min("origin")).first()[0]
+    seen = boosting.quantile_boosted(weather.where(F.col("date") <= first), o.where(F.col("origin") == first), refit_every=6, rounds=6)
+    key = lambda df: sorted(map(tuple, df.where((F.col("origin") == first) & (F.col("city") == "S3")).collect()))
+    assert key(made) == key(seen)
+
+
 def test_models_do_not_see_the_future(spark, weather):
     o = source.rolling_origins(weather, n=1)
     cut = o.first().origin
-    for model in (models.autoregression, models.quantile_tree):
+    for model in (models.autoregression, forecast.climatology_persistence):
         whole = model(weather, o).where("city = 'S3'").orderBy("horizon").collect()
         assert whole == model(weather.where(F.col("date") <= cut), o).where("city = 'S3'").orderBy("horizon").collect()
 
 
+def test_climatology_states_equal_fits_of_each_origin(spark, weather):
+    p = weather.where("city in ('S1', 'S2')")
+    o = source.rolling_origins(p, n=4)
+    got = {(r.city, r.origin, r.doy): r.clim for r in forecast.climatology_by_origin(p, o).collect()}
+    for (origin,) in o.collect():
+        want = features.climatology(p.where(F.col("date") <= origin)).collect()
+        assert all(abs(got[r.city, origin, r.doy] - r.clim) < 1e-9 for r in want) and len(want) == 2 * 366
+    plan = forecast.climatology_persistence(p, o)._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("model", [forecast.naive, forecast.seasonal_naive, forecast.climatology_persistence, boosting.boosted, boosting.quantile_boosted])
+def test_forecasters_refuse_what_cannot_be_fitted(weather, model):
+    o = source.rolling_origins(weather, n=1)
+    with pytest.raises(ValueError, match="no training rows"):
+        model(weather.limit(0), o)
+    with pytest.raises(ValueError, match="missing columns: temp_avg"):
+        model(weather.drop("temp_avg"), o)
+
+
+def test_widths_of_unseen_horizons_and_of_nothing(spark):
+    rows = [("m", h, 0.0, float(i)) for h in (1, 2) for i in range(1, 21)]
+    w = evaluate.conformal_widths(spark.createDataFrame(rows, "model string, horizon int, y_true double, y_pred double"))
+    ahead = spark.createDataFrame([("m", 1, 5.0), ("m", 9, 5.0), ("other", 1, 5.0)], "model string, horizon int, y_pred double")
+    got = {(r.model, r.horizon): r.width for r in evaluate.intervals(ahead, w).collect()}
+    assert got["m", 9] == w.first().overall == 19.0 and got["m", 1] == {r.horizon: r.width for r in w.collect()}[1] and got["other", 1] is None
+    for bad in ([], [("m", 1, None, 1.0)], [("m", 1, float("nan"), 1.0)]):
+        with pytest.raises(ValueError, match="residuals"):
+            evaluate.conformal_widths(spark.createDataFrame(bad, "model string, horizon int, y_true double, y_pred double"))
+
+
+def test_example_has_history_and_band(spark, weather):
+    o = source.rolling_origins(weather, n=2)
+    scored = forecast.walk_forward(weather, forecast.naive(weather, o))
+    rows = plot_data.forecast_example(weather, evaluate.intervals(scored, evaluate.conformal_widths(scored)), "S4", 30).collect()
+    assert sum(r.model == "history" for r in rows) == 30 and all(r.lower < r.y_pred < r.upper for r in rows if r.model == "naive")
+    assert sum(r.model == "naive" for r in rows) == 14 and all(r.lower is None for r in plot_data.forecast_example(weather, scored, "S4").collect())
+
+
 def test_panel_is_written_and_read(spark, weather, tmp_path):
     from panelspark.sources.sinks import write_panel
 
@@ -180,7 +282,7 @@ def test_command_line_writes_its_tables(spark, weather, tmp_path):
     write_panel(weather.where("city in ('S1', 'S2')"), str(tmp_path / "panel"))
     board = cli.run(spark, source.read_csv(spark, str(tmp_path / "panel")), str(tmp_path / "out"), "t", origins=2, slow=False, eda=False)
     assert {r.model for r in board.collect()} == {"naive", "seasonal_naive", "climatology", "climatology_persistence", "gbm"}
-    assert {n.split("__")[0] for n in os.listdir(tmp_path / "out")} >= {"verdict", "leaderboard", "by_horizon", "intervals", "coverage_by_horizon", "anomalies"}
+    assert {n.split("__")[0] for n in os.listdir(tmp_path / "out")} >= {"timings", "importance", "forecast_example", "verdict", "leaderboard", "by_horizon", "intervals", "coverage_by_horizon", "anomalies"}
 
 
 def test_backtest_isolates_a_failure(spark, weather, tmp_path):
@@ -189,8 +291,18 @@ def test_backtest_isolates_a_failure(spark, weather, tmp_path):
 
     o = source.rolling_origins(weather, n=2)
     scored, went = forecast.backtest(weather, {"naive": forecast.naive, "broken": broken}, o, 7, str(tmp_path / "bt"))
-    assert [w["status"][:10] for w in went] == ["ok", "ValueError"] and all(w["seconds"] >= 0 for w in went)
+    went = went.orderBy("model", "origin").collect()
+    assert [(w.model, w.status[:10], w.rows) for w in went] == [("broken", "ValueError", 0)] * 2 + [("naive", "ok", 70)] * 2 and all(w.seconds >= 0 for w in went)
     assert {r.model for r in evaluate.models(scored).collect()} == {"naive"} and evaluate.for_model(scored, "naive").count() == 10 * 2 * 7
+
+    def late(panel, origins, horizon):
+        if origins.count() > 1 or origins.first().origin == last:
+            raise ValueError("late")
+        return forecast.naive(panel, origins, horizon)
+
+    last = o.agg(F.max("origin")).first()[0]
+    scored, went = forecast.backtest(weather, {"late": late}, o, 7, str(tmp_path / "late"))
+    assert [(w.origin == last, w.rows, w.status[:10]) for w in went.orderBy("origin").collect()] == [(False, 70, "ok"), (True, 0, "ValueError")] and scored.count() == 70
     with pytest.raises(RuntimeError):
         forecast.backtest(weather, {"broken": broken}, o, 7, str(tmp_path / "none"))
 
