@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.lineage import written
 from panelspark.functions.special import chi2_tail, f_tail, ks_tail, normal_test, t_tail
 from panelspark.functions.stats import safe_corr
 from panelspark.operators.descriptive import cross_city_correlation, eta_squared
@@ -138,11 +139,12 @@ def verdict(panel: DataFrame, columns, target: str = "temp_avg") -> DataFrame:
     return one.withColumn("failed_checks", n).withColumn("verdict", F.when(n >= 4, "NOT FORECASTABLE").when(n >= 2, "WEAKLY FORECASTABLE").otherwise("FORECASTABLE"))
 
 
-def significance(scored: DataFrame, best: str, challengers, h: int = 14) -> DataFrame:
-    """The best model against each challenger by absolute loss, within series, with t tails."""
+def significance(scored: DataFrame, best: str, challengers, h: int = 14, by_series: bool = False) -> DataFrame:
+    """The best model against each challenger by absolute loss, one verdict a challenger, or with ``by_series`` one a series too."""
     from panelspark.operators.plot_data import diebold_mariano
 
-    each = [diebold_mariano(scored, best, c, h, absolute=True).withColumn("challenger", F.lit(c)) for c in challengers]
-    out = reduce(DataFrame.unionByName, each).withColumn("p_value", t_tail(F.abs("dm"), _number("n") - 1))
+    scored = written(scored.where(F.col("model").isin(best, *challengers)), "scored")  # read once a challenger
+    each = [diebold_mariano(scored, best, c, h, by_series=by_series).withColumn("challenger", F.lit(c)) for c in challengers]
+    out = reduce(DataFrame.unionByName, each)
     better = F.when(F.col("dm") < 0, "best significantly better").otherwise("challenger better")
     return out.withColumn("verdict", F.when(F.col("p_value") < 0.05, better).otherwise("no significant difference"))

@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.ordering import lagged, numbered
+from panelspark.functions.special import t_tail
 from panelspark.functions.stats import safe_corr
 
 
@@ -81,31 +83,46 @@ def pivot_predictions(scored: DataFrame, models) -> DataFrame:
     return scored.groupBy("city", "origin", "target_date", "horizon", "y_true").pivot("model", list(models)).agg(F.avg("y_pred"))
 
 
-def diebold_mariano(scored: DataFrame, a: str, b: str, h: int = 1, absolute: bool = False) -> DataFrame:
-    """Statistic of equal accuracy by squared (or absolute) loss, with the small-sample factor.
+def diebold_mariano(scored: DataFrame, a: str, b: str, h: int = 1, loss: str = "mae", by_series: bool = False) -> DataFrame:
+    """Statistic and p-value of equal accuracy, with the small-sample factor; negative favours ``a``.
 
-    Losses are compared within each series in order of origin and horizon, so
-    no lag crosses a series; fewer than ten pairs give null.
+    Losses (``mae`` or ``mse``) are compared over all rows in the order of
+    series, origin and horizon, or with ``by_series`` within each series, so
+    that no lag crosses one. Fewer than ten pairs give null.
     """
+    if loss not in ("mae", "mse"):
+        raise ValueError("loss must be 'mae' or 'mse'")
     wide = pivot_predictions(scored, (a, b)).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    loss = lambda m: F.abs(F.col("y_true") - F.col(m)) if absolute else (F.col("y_true") - F.col(m)) ** 2
-    d = wide.select("city", "origin", "horizon", (loss(a) - loss(b)).alias("d"))
-    own = Window.partitionBy("city")
-    by = own.orderBy("origin", "horizon")
-    c = d.withColumn("m", F.avg("d").over(own)).withColumn("c", F.col("d") - F.col("m"))
-    c = c.select("city", "m", "c", *[F.lag("c", k).over(by).alias(f"l{k}") for k in range(1, h)])
+    of = lambda m: F.abs(F.col("y_true") - F.col(m)) if loss == "mae" else (F.col("y_true") - F.col(m)) ** 2
+    d = wide.select("city", "origin", "horizon", (of(a) - of(b)).alias("d"))
+    if by_series:
+        own = Window.partitionBy("city")
+        by = own.orderBy("origin", "horizon")
+        c = d.withColumn("m", F.avg("d").over(own)).withColumn("c", F.col("d") - F.col("m"))
+        c = c.select("city", "m", "c", *[F.lag("c", k).over(by).alias(f"l{k}") for k in range(1, h)])
+    else:
+        mean = d.agg(F.avg("d").alias("m"))
+        c = numbered(d, "city", "origin", "horizon").crossJoin(F.broadcast(mean)).withColumn("c", F.col("d") - F.col("m"))  # one row
+        c = lagged(c, "c", range(1, h))
     long_run = F.avg(F.col("c") ** 2) + sum((2 * (1 - k / h) * F.avg(F.col("c") * F.col(f"l{k}")) for k in range(1, h)), F.lit(0.0))
-    out = c.groupBy("city").agg(F.count("*").alias("n"), F.avg("m").alias("mean_loss_diff"), F.greatest(long_run, F.lit(1e-12)).alias("lrv"))
+    out = c.groupBy(*["city"][: int(by_series)]).agg(F.count("*").alias("n"), F.avg("m").alias("mean_loss_diff"), F.greatest(long_run, F.lit(1e-12)).alias("lrv"))
     n = F.col("n")
     factor = F.sqrt(F.greatest((n + 1 - 2 * h + h * (h - 1) / n) / n, F.lit(0.0)))
     stat = F.when(n >= 10, factor * F.col("mean_loss_diff") / F.sqrt(F.col("lrv") / n))
-    return out.select("city", "n", "mean_loss_diff", stat.alias("dm"))
+    out = out.withColumn("dm", stat).drop("lrv")
+    return out.withColumn("p_value", t_tail(F.abs("dm"), n.cast("double") - 1))
+
 
+def mase(panel: DataFrame, scored: DataFrame, seasonality: int = 7, column: str = "temp_avg", by_series: bool = False) -> DataFrame:
+    """MAE by model over the in-sample seasonal naive error, of all rows one after another or with ``by_series`` within series.
 
-def mase(panel: DataFrame, scored: DataFrame, seasonality: int = 7, column: str = "temp_avg") -> DataFrame:
-    """MAE by model over the in-sample seasonal naive error, within series."""
-    by = Window.partitionBy("city").orderBy("date")
-    scale = panel.select(F.abs(F.col(column) - F.lag(column, seasonality).over(by)).alias("d")).agg(F.avg("d").alias("scale"))
+    Null where the scale is null or next to zero.
+    """
+    if by_series:
+        before = panel.withColumn("_l", F.lag(column, seasonality).over(Window.partitionBy("city").orderBy("date")))
+    else:
+        before = lagged(numbered(panel.select("city", "date", column), "city", "date"), column, [seasonality]).withColumnRenamed(f"l{seasonality}", "_l")
+    scale = before.agg(F.avg(F.abs(F.col(column) - F.col("_l"))).alias("scale"))
     mae = scored.groupBy("model").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
     return mae.crossJoin(F.broadcast(scale)).select("model", F.when(F.col("scale") > 1e-12, F.col("mae") / F.col("scale")).alias("mase"))  # one row
 

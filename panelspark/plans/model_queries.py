@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import anomaly, audit, boosting, decompose, evaluate, features, forecast, models, plot_data
-from panelspark.plans.queries import _FILL, _LONG, _P, _SIMPLE, CHANNELS, _corr, _filled, _r, _simple, monthly_parts, panel, rounded
+from panelspark.plans.queries import _BASELINES, _FILL, _LONG, _P, _SIMPLE, CHANNELS, _corr, _filled, _forecasts, _r, _simple, monthly_parts, panel, rounded
 from panelspark.plans.queries import oracle_sql as base_sql
 from panelspark.sources import panel as source
 
 OTHERS = CHANNELS[1:]
 PLACES = (("A-F", 27.0, 2.0), ("N-O", 25.0, 2.5), ("R-O", 31.0, 2.0))
 GAMMA = 0.3684211
+CHALLENGERS = ("naive", "seasonal_naive", "climatology")
 
 
 def _fitted(model, columns=forecast.COLUMNS):
@@ -70,13 +71,31 @@ def queries() -> dict:
         "m17_importance": _importance,
         "m19_quantiles": _fitted(boosting.quantile_boosted, bounds),
         "m14_shrinkage": lambda s, d: rounded(models.shrinkage(_simple(s, d).select("model", "horizon", (F.col("y_pred") - F.col("y_true")).alias("anomaly")), persistence(s))),
-        "v17_significance": lambda s, d: rounded(audit.significance(_simple(s, d), "naive", ("seasonal_naive",), 2)),
+        "v17_significance": lambda s, d: rounded(audit.significance(_simple(s, d), "naive", ("seasonal_naive",), 2, True)),
+        "v17_significance_by_challenger": lambda s, d: rounded(audit.significance(_forecasts(s, d), "climatology_persistence", CHALLENGERS)),
+        "v13_diebold_mariano_in_one_order": lambda s, d: rounded(plot_data.diebold_mariano(_simple(s, d), "naive", "seasonal_naive", 14)),
         "v18_compare_boards": lambda s, d: rounded(evaluate.compare_boards(evaluate.leaderboard(_simple(s, d).where("horizon <= 7")), evaluate.leaderboard(_simple(s, d).where("horizon > 7")))),
     }
     return out
 
 
 # --- DuckDB ---------------------------------------------------------------
+def _one_order(scored: str, best: str, challengers, h: int) -> str:
+    """Diebold-Mariano of absolute losses over all rows in the order of series, origin and horizon: rows (challenger, n, m, dm, pv)."""
+    lags = ", ".join(f"lag(c, {k}) OVER (PARTITION BY challenger ORDER BY city, origin, horizon) l{k}" for k in range(1, h))
+    lrv = "avg(c * c)" + "".join(f" + 2 * (1 - {k}::DOUBLE / {h}) * avg(c * l{k})" for k in range(1, h))
+    names = ", ".join(f"('{c}')" for c in challengers)
+    return f"""dl AS (SELECT b.challenger, city, origin, horizon,
+        sum(CASE WHEN model = '{best}' THEN 1 WHEN model = b.challenger THEN -1 ELSE 0 END * abs(y_true - y_pred)) d
+        FROM {scored} CROSS JOIN (VALUES {names}) b(challenger) GROUP BY 1, 2, 3, 4),
+      dc AS (SELECT *, avg(d) OVER (PARTITION BY challenger) m, d - avg(d) OVER (PARTITION BY challenger) c FROM dl),
+      lg AS (SELECT *, {lags} FROM dc),
+      st AS (SELECT challenger, count(*) n, avg(m) m, greatest({lrv}, 1e-12) v FROM lg GROUP BY 1),
+      t AS (SELECT *, sqrt((n + 1 - {2 * h} + {h * (h - 1)}::DOUBLE / n) / n) * m / sqrt(v / n) dm FROM st),
+      u AS (SELECT *, CAST(n - 1 AS DOUBLE) df, dm * dm f FROM t), g AS (SELECT *, {_angle('f', '1e0', 'df')} FROM u),
+      q AS (SELECT *, {_f_tail('1e0', 'df', 'a', 'z')} pv FROM g)"""
+
+
 def _tail(density, start: str, stop: str) -> str:
     def integral(lo):
         x = f"({lo} + i * ({stop} - {lo}) / 400)"
@@ -123,6 +142,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT city, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), rest * (1 - b * b), b
             FROM (SELECT v.city, k, phi, rest, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / rest b FROM dl JOIN v USING (city) WHERE k < 60))
           SELECT city, CAST(k AS BIGINT) lag, {_r('acf[k]', 'acf')}, {_r('a', 'pacf')}, {_r('1.96::DOUBLE / sqrt(n)', 'band')} FROM dl JOIN v USING (city)""",
+        "v13_diebold_mariano_in_one_order": f"""{p}{_SIMPLE}, {_one_order('scored', 'naive', ('seasonal_naive',), 14)}
+          SELECT n, {_r('m', 'mean_loss_diff')}, {_r('dm', 'dm')}, {_r('pv', 'p_value')} FROM q""",
+        "v17_significance_by_challenger": f"""{p}{_BASELINES}, {_one_order('scored_all', 'climatology_persistence', CHALLENGERS, 14)}
+          SELECT challenger, n, {_r('m', 'mean_loss_diff')}, {_r('dm', 'dm')}, {_r('pv', 'p_value')},
+            CASE WHEN pv >= 0.05 THEN 'no significant difference' WHEN dm < 0 THEN 'best significantly better' ELSE 'challenger better' END verdict FROM q""",
         "a6_distribution_shape": f"""{p}, x AS (SELECT city, temp_avg x, row_number() OVER (PARTITION BY city ORDER BY temp_avg) i, count(*) OVER c m, min(temp_avg) OVER c lo, max(temp_avg) OVER c hi, avg(temp_avg) OVER c mu FROM panel WINDOW c AS (PARTITION BY city)),
           s AS (SELECT city, count(*) n, avg(x) mean, stddev_samp(x) std, avg(pow(x - mu, 3)) / pow(avg(pow(x - mu, 2)), 1.5) skew, avg(pow(x - mu, 4)) / pow(avg(pow(x - mu, 2)), 2) - 3 kurt,
             max(greatest(i / m - (x - lo) / (hi - lo), (x - lo) / (hi - lo) - (i - 1) / m)) d, CAST(count(*) AS DOUBLE) f FROM x GROUP BY 1),

@@ -149,8 +149,9 @@ def queries() -> dict:
         "c1_conformal_widths": lambda s, d: rounded(evaluate.conformal_widths(_simple(s, d)).drop("overall")),
         "v12_interval_metrics": lambda s, d: rounded(_intervals(s, d)),
         "b4_pivot_predictions": lambda s, d: rounded(plot_data.pivot_predictions(_simple(s, d), ("naive", "seasonal_naive"))),
-        "v6_mase": lambda s, d: rounded(plot_data.mase(_filled(s, d), _simple(s, d))),
-        "v13_diebold_mariano": lambda s, d: rounded(plot_data.diebold_mariano(_simple(s, d), "naive", "seasonal_naive", 2)),
+        "v6_mase": lambda s, d: rounded(plot_data.mase(_filled(s, d), _simple(s, d), by_series=True)),
+        "v6_mase_in_one_order": lambda s, d: rounded(plot_data.mase(_filled(s, d), _simple(s, d))),
+        "v13_diebold_mariano": lambda s, d: rounded(plot_data.diebold_mariano(_simple(s, d), "naive", "seasonal_naive", 2, "mse", True).drop("p_value")),
         "v16_mae_by_city": lambda s, d: rounded(evaluate.mae_by_city(_simple(s, d), CITIES)),
         "p5_residual_histogram": lambda s, d: rounded(plot_data.residual_diagnostics(_simple(s, d))[0]),
         "p5_residual_quantiles": lambda s, d: rounded(plot_data.residual_diagnostics(_simple(s, d))[1]),
@@ -347,6 +348,7 @@ def oracle_sql() -> dict[str, str]:
         "p14_scatter_fit": f"{p} SELECT city, {_r('regr_slope(temp_avg, humidity)', 'slope')}, {_r('regr_intercept(temp_avg, humidity)', 'intercept')}, {_corr('humidity', 'temp_avg', 'r')}, count(*) n FROM panel GROUP BY 1",
         "p17_city_overview": f"{p} SELECT date, {_r('avg(temp_avg)', 'mean')}, count(temp_avg) n FROM panel GROUP BY 1",
         "b4_pivot_predictions": f"{p}{_SIMPLE} SELECT city, origin, target_date, horizon, {_r('y_true', 'y_true')}, " + ", ".join(_r(f"avg(y_pred) FILTER (model = '{m}')", m) for m in ("naive", "seasonal_naive")) + " FROM scored GROUP BY city, origin, target_date, horizon, scored.y_true",
+        "v6_mase_in_one_order": f"{p}{_SIMPLE}, sc AS (SELECT avg(d) s FROM (SELECT abs(temp_avg - lag(temp_avg, 7) OVER (ORDER BY city, date)) d FROM filled)) SELECT model, {_r(f'avg({e}) / any_value(s)', 'mase')} FROM scored, sc GROUP BY 1",
         "v6_mase": f"{p}{_SIMPLE}, sc AS (SELECT avg(d) s FROM (SELECT abs(temp_avg - lag(temp_avg, 7) OVER (PARTITION BY city ORDER BY date)) d FROM filled)) SELECT model, {_r(f'avg({e}) / any_value(s)', 'mase')} FROM scored, sc GROUP BY 1",
         "v13_diebold_mariano": f"""{p}{_SIMPLE}, dl AS (SELECT city, origin, horizon, sum(CASE WHEN model = 'naive' THEN 1 ELSE -1 END * pow(y_true - y_pred, 2)) d FROM scored GROUP BY 1, 2, 3),
           dc AS (SELECT *, avg(d) OVER (PARTITION BY city) m, d - avg(d) OVER (PARTITION BY city) c FROM dl), lg AS (SELECT *, lag(c) OVER (PARTITION BY city ORDER BY origin, horizon) l FROM dc),

@@ -232,6 +232,23 @@ def test_forecasters_refuse_what_cannot_be_fitted(weather, model):
         model(weather.drop("temp_avg"), o)
 
 
+@pytest.mark.parametrize("stretch", [1, 5, 7, 1 << 16])
+def test_lags_cross_stretches(spark, stretch):
+    from panelspark.functions.ordering import lagged, numbered
+
+    r = random.Random(4)
+    rows = sorted((f"c{r.randint(0, 3)}", i, r.random()) for i in range(60))
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "city string, at int, v double").repartition(5)
+    got = lagged(numbered(df, "city", "at"), "v", (1, 3, 6), stretch).orderBy("idx").collect()
+    v = [x[2] for x in rows]
+    assert [(g.idx, g.v, g.l1, g.l3, g.l6) for g in got] == [(i, x, *(v[i - k] if i >= k else None for k in (1, 3, 6))) for i, x in enumerate(v)]
+
+
+def test_bad_losses_are_refused(spark, weather):
+    with pytest.raises(ValueError, match="loss must be"):
+        plot_data.diebold_mariano(weather, "a", "b", loss="huber")
+
+
 def test_widths_of_unseen_horizons_and_of_nothing(spark):
     rows = [("m", h, 0.0, float(i)) for h in (1, 2) for i in range(1, 21)]
     w = evaluate.conformal_widths(spark.createDataFrame(rows, "model string, horizon int, y_true double, y_pred double"))
