@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.quantiles import with_quantiles
 from panelspark.functions.stats import MONTHS, SEASONS, month_name, safe_corr, season
 
 # Upper bounds of the air-quality classes, in order.
@@ -46,12 +47,12 @@ def column_inventory(panel: DataFrame, columns=None) -> DataFrame:
 
 def numeric_summary(panel: DataFrame, columns) -> DataFrame:
     long = panel.select(*[F.col(c).cast("double") for c in columns]).unpivot([], list(columns), "column_name", "v").where("v is not null")
-    q = lambda p: F.percentile("v", F.lit(p))
-    return long.groupBy("column_name").agg(
-        F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"),
-        q(0.75).alias("q75"), F.max("v").alias("max"), (q(0.75) - q(0.25)).alias("iqr"), (100 * F.try_divide(F.stddev_samp("v"), F.avg("v"))).alias("cv_pct"),
-        F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis"),
+    stats = long.groupBy("column_name").agg(
+        F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
+        (100 * F.try_divide(F.stddev_samp("v"), F.avg("v"))).alias("cv_pct"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis"),
     )
+    out = with_quantiles(stats, long, ["column_name"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return out.select("column_name", "n", "mean", "std", "min", "q25", "median", "q75", "max", (F.col("q75") - F.col("q25")).alias("iqr"), "cv_pct", "skew", "kurtosis")
 
 
 def city_profile(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
@@ -81,10 +82,9 @@ def period_profile(panel: DataFrame, period, column: str = "temp_avg", city: str
     """Statistics by month or season and the deviation from the overall mean, of all series or of one."""
     if city is not None:
         panel = panel.where(F.col("city") == city)
-    by = panel.groupBy(period.alias("period")).agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
-        F.percentile(column, F.lit(0.5)).alias("median"), F.max(column).alias("max"),
-    )
+    rows = panel.select(period.alias("period"), F.col(column).cast("double").alias("v"))
+    by = rows.groupBy("period").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    by = with_quantiles(by, rows, ["period"], "v", {"median": 0.5}).select("period", "n", "mean", "std", "min", "median", "max")
     every = Window.partitionBy()  # at most twelve rows
     overall = F.sum(F.col("mean") * F.col("n")).over(every) / F.sum("n").over(every)
     return by.withColumn("deviation", F.col("mean") - overall)

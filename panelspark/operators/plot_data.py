@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.ordering import lagged, numbered
+from panelspark.functions.quantiles import quantiles
 from panelspark.functions.special import t_tail
 from panelspark.functions.stats import safe_corr
 
@@ -27,8 +28,7 @@ def monthly_boxes(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
     """Quartiles, whiskers (the last value within 1.5 quartile ranges) and the number of outliers, by series and month."""
     own = ["city", "month"]
     rows = panel.where(F.col(column).isNotNull()).select("city", F.month("date").alias("month"), F.col(column).alias("v"))
-    q = lambda p: F.percentile("v", F.lit(p))
-    box = rows.groupBy(*own).agg(q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))
+    box = quantiles(rows, own, "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col("v").between(F.col("q25") - reach, F.col("q75") + reach)
     return rows.join(box, own).groupBy(*own, "q25", "median", "q75").agg(

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.quantiles import with_quantiles
+
 # Headers of the raw files and the columns they become.
 HEADERS = {
     "Date": "date", "City": "city", "State": "state", "Temperature_Max (°C)": "temp_max", "Temperature_Min (°C)": "temp_min",
@@ -124,11 +126,12 @@ def wide(panel: DataFrame, names, column: str = "temp_avg") -> DataFrame:
 
 
 def summary(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
-    q = lambda p: F.percentile(column, F.lit(p))
-    return panel.groupBy("city").agg(
+    stats = panel.groupBy("city").agg(
         F.count("*").alias("n_obs"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"),
-        q(0.05).alias("p05"), q(0.5).alias("median"), q(0.95).alias("p95"), F.max(column).alias("max"), (F.max(column) - F.min(column)).alias("range"),
+        F.max(column).alias("max"), (F.max(column) - F.min(column)).alias("range"),
     )
+    out = with_quantiles(stats, panel, ["city"], column, {"p05": 0.05, "median": 0.5, "p95": 0.95})
+    return out.select("city", "n_obs", "mean", "std", "min", "p05", "median", "p95", "max", "range")
 
 
 def split_by_date(panel: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:

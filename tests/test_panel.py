@@ -115,3 +115,22 @@ def test_ranks_see_what_is_not_linear(spark):
     assert got == pytest.approx({("temp_avg", "h"): 1.0, ("temp_avg", "g"): -1.0, ("h", "g"): -1.0})
     with pytest.raises(ValueError):
         descriptive.channel_correlation(p, ("temp_avg", "h"), "other").collect()
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_quantiles_by_selection(spark, ranges):
+    import numpy as np
+    from panelspark.functions.quantiles import quantiles
+
+    r = np.random.default_rng(3)
+    groups = {"a": r.normal(size=500), "b": np.repeat([1.0, 2.0, 5.0], [400, 1, 99]), "c": np.array([7.0]), "d": np.arange(10.0)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.95, "first": 0.0, "last": 1.0}
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {q.g: q for q in quantiles(df, ["g"], "x", shares, ranges).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert [got[g][n] for n in shares] == pytest.approx(np.quantile(x, list(shares.values())).tolist(), abs=1e-12)
+    whole = quantiles(df, [], "x", shares, ranges).first()
+    assert [whole[n] for n in shares] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), list(shares.values())).tolist(), abs=1e-12)
+    assert quantiles(df.limit(0), ["g"], "x", shares).count() == 0
