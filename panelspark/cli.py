@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.lineage import new_path
 from panelspark.operators import anomaly, audit, boosting, decompose, descriptive, evaluate, forecast, models, plot_data
 from panelspark.sources import panel as source
-from panelspark.sources.sinks import write_csv, write_json
+from panelspark.sources.sinks import write_csv, write_json, write_report
 
 
 def forecasters(slow: bool = True) -> dict:
@@ -35,7 +35,9 @@ def run(spark: SparkSession, panel: DataFrame, out: str, tag: str, horizon: int
     """Writes every table under ``out`` and returns the leaderboard."""
     source.validate(panel)
     filled = source.fill_calendar(panel).persist()
-    write_json(audit.verdict(filled, source.CHANNELS[1:]), out, "verdict", tag)
+    tables = audit.report(filled, source.CHANNELS[1:])
+    write_report(audit.report_rows(tables), out, "report", tag)
+    write_json(tables["verdict"], out, "verdict", tag)
     if eda:
         for name, f in {"summary": source.summary, "city_profile": descriptive.city_profile, "numeric_summary": lambda p: descriptive.numeric_summary(p, source.CHANNELS),
                         "shape": audit.distribution_shape, "heat_spells": descriptive.heat_spells, "stationarity": decompose.stationarity}.items():

@@ -11,7 +11,7 @@ from panelspark.functions.lineage import written
 from panelspark.functions.special import chi2_tail, f_tail, ks_tail, normal_test, t_tail
 from panelspark.functions.stats import safe_corr
 from panelspark.operators.descriptive import cross_city_correlation, eta_squared
-from panelspark.operators.features import autocorrelation, year_over_year
+from panelspark.operators.features import autocorrelation, predictability, year_over_year
 
 # Annual mean and annual range of reference places, in degrees.
 REFERENCE_CLIMATE = (
@@ -139,6 +139,53 @@ def verdict(panel: DataFrame, columns, target: str = "temp_avg") -> DataFrame:
     return one.withColumn("failed_checks", n).withColumn("verdict", F.when(n >= 4, "NOT FORECASTABLE").when(n >= 2, "WEAKLY FORECASTABLE").otherwise("FORECASTABLE"))
 
 
+def evidence(verdict_row: DataFrame) -> DataFrame:
+    """The verdict with ``evidence``, one line a check."""
+    share = lambda c: F.coalesce(F.round(100 * F.col(c), 1), F.lit(0.0)).cast("string")
+    lines = [
+        F.concat(share("short_lag_share"), F.lit("% of series have more than one short lag outside the noise band")),
+        F.concat(share("ljung_box_share"), F.lit("% of series are told apart from white noise")),
+        F.concat(share("seasonal_share"), F.lit("% of series are seasonal")),
+        F.concat(F.lit("mean correlation between series "), F.coalesce(F.round("mean_correlation", 3).cast("string"), F.lit("unknown"))),
+        F.concat(F.col("informative").cast("string"), F.lit(" informative channels")),
+    ]
+    return verdict_row.withColumn("evidence", F.array(*lines))
+
+
+def report(panel: DataFrame, columns, target: str = "temp_avg") -> dict[str, DataFrame]:
+    """The six tables of the audit and the verdict with its evidence, by name."""
+    return {
+        "autocorrelation": autocorrelation(panel, 7, target),
+        "ljung_box": ljung_box(panel, column=target),
+        "seasonality": seasonality(panel, target),
+        "cross_series": cross_series(panel, target),
+        "exogenous": exogenous(panel, columns, target),
+        "ceiling": predictability(panel, target),
+        "verdict": evidence(verdict(panel, columns, target)),
+    }
+
+
+def report_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(table, row)``: every row of every table as JSON, nulls included, so that one table holds the whole report."""
+    rows = [df.select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def report_table(rows: DataFrame, name: str, schema) -> DataFrame:
+    """One table of ``report_rows`` read back."""
+    return rows.where(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
+def print_report(tables: dict[str, DataFrame], rows: int = 20) -> None:
+    """The first ``rows`` of each table, then the verdict and its evidence."""
+    for name, df in tables.items():
+        if name != "verdict":
+            print(name.replace("_", " "))
+            df.show(rows, truncate=False)
+    one = tables["verdict"].first()
+    print(one["verdict"], *(f"- {line}" for line in one["evidence"]), sep="\n")
+
+
 def significance(scored: DataFrame, best: str, challengers, h: int = 14, by_series: bool = False) -> DataFrame:
     """The best model against each challenger by absolute loss, one verdict a challenger, or with ``by_series`` one a series too."""
     from panelspark.operators.plot_data import diebold_mariano

@@ -63,6 +63,7 @@ def queries() -> dict:
     }
     out |= {name: (lambda spark, sf_dir, f=f: rounded(f(_filled(spark, sf_dir, CHANNELS)))) for name, f in on_filled.items()}
     out |= {
+        "s10_report": lambda s, d: audit.report_rows({n: rounded(t) for n, t in audit.report(source.fill_calendar(panel(s, d)), OTHERS).items()}),
         "f7_verdict": lambda s, d: rounded(audit.verdict(source.fill_calendar(panel(s, d)), OTHERS)),
         "m8_smoothing": _fitted(models.smoothing),
         "m9_autoregression": _fitted(models.autoregression, bounds),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,9 +69,13 @@ def violations(panel: DataFrame) -> DataFrame:
 
 
 def validate(panel: DataFrame) -> None:
+    """Raises DataValidationError on violations; missing days only warn."""
     for name, n in violations(panel).first().asDict().items():
         if n:
             raise DataValidationError(f"{name}: {n}")
+    missing = gaps(panel).agg(F.sum("missing_days"), F.count_if(F.col("missing_days") > 0)).first()
+    if missing[0]:
+        warnings.warn(f"{missing[0]} missing days in {missing[1]} series", stacklevel=2)
 
 
 def gaps(panel: DataFrame) -> DataFrame:

@@ -23,6 +23,13 @@ def write_json(df: DataFrame, folder: str, name: str, tag: str = "") -> str:
     return path
 
 
+def write_report(rows: DataFrame, folder: str, name: str = "report", tag: str = "") -> str:
+    """``rows(table, row)`` as one folder of JSON lines a table."""
+    path = table_path(folder, name, tag)
+    rows.write.mode("overwrite").partitionBy("table").text(path)
+    return path
+
+
 def write_panel(panel: DataFrame, path: str) -> None:
     """A panel under the raw headers, as ``read_csv`` takes it."""
     known = {c: h for h, c in HEADERS.items() if c in panel.columns}

@@ -244,6 +244,27 @@ def test_lags_cross_stretches(spark, stretch):
     assert [(g.idx, g.v, g.l1, g.l3, g.l6) for g in got] == [(i, x, *(v[i - k] if i >= k else None for k in (1, 3, 6))) for i, x in enumerate(v)]
 
 
+def test_report_reads_back(spark, weather, tmp_path, capsys):
+    from panelspark.sources.sinks import write_report
+
+    tables = audit.report(weather.where("city < 'S3'"), ("humidity", "pressure"))
+    path = write_report(audit.report_rows(tables), str(tmp_path))
+    rows = spark.read.text(path).withColumnRenamed("value", "row")
+    assert {r.table for r in rows.select("table").distinct().collect()} == set(tables) and len(tables) == 7
+    for name in ("seasonality", "exogenous", "verdict"):
+        again = audit.report_table(rows, name, tables[name].schema)
+        assert sorted(map(repr, again.collect())) == sorted(map(repr, tables[name].collect()))
+    audit.print_report(tables, 3)
+    told = capsys.readouterr().out
+    one = tables["verdict"].first()
+    assert one.verdict in told and len(one.evidence) == 5 and all(line in told for line in one.evidence)
+
+
+def test_missing_days_warn(weather):
+    with pytest.warns(UserWarning, match="1 missing days in 1 series"):
+        source.validate(weather.where("not (city = 'S1' and date = '2023-05-05')"))
+
+
 def test_bad_losses_are_refused(spark, weather):
     with pytest.raises(ValueError, match="loss must be"):
         plot_data.diebold_mariano(weather, "a", "b", loss="huber")
