@@ -228,7 +228,7 @@ def boosted(panel: DataFrame, origins: DataFrame, horizon: int = 14, **options)
     return _all(fit_blocks(panel, origins, horizon, (0.5,), **options)).select(F.lit("gbm").alias("model"), "city", "origin", "target_date", "horizon", F.col("y0").alias("y_pred")).select(*COLUMNS)
 
 
-def quantile_boosted(panel: DataFrame, origins: DataFrame, horizon: int = 14, coverage: float = 0.9, held_days: int = 90, **options) -> DataFrame:
+def quantile_boosted(panel: DataFrame, origins: DataFrame, horizon: int = 14, coverage: float = 0.9, held_days: int = 90, refit_every: int = 8, **options) -> DataFrame:
     """Boosted median with bounds from boosted quantiles of the tails.
 
     Trees know their own rows too well, so bounds are moved by what they missed
@@ -237,7 +237,7 @@ def quantile_boosted(panel: DataFrame, origins: DataFrame, horizon: int = 14, co
     swapped and both enclose the median.
     """
     tail, out = (1 - coverage) / 2, None
-    for b in fit_blocks(panel, origins, horizon, (0.5, tail, 1 - tail), held_days=held_days, **options):
+    for b in fit_blocks(panel, origins, horizon, (0.5, tail, 1 - tail), held_days=held_days, refit_every=refit_every, **options):
         low, high = F.least("q1", "q2"), F.greatest("q1", "q2")
         missed = F.greatest(low - F.col("label"), F.col("label") - high)
         margin = b.held.agg(F.coalesce(F.percentile_approx(missed, coverage, ACCURACY), F.lit(0.0)).alias("margin")) if held_days else panel.sparkSession.range(1).select(F.lit(0.0).alias("margin"))
