@@ -154,23 +154,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def joined(base: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Unions of overlapping or touching spans, ``[start, end]`` each, from spans sorted by start."""
+    out: list[list[int]] = []
+    for s, _, e in base:
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
 def guess_spans(text: str, base: list[tuple[int, int, int]], min_log10: float) -> list[tuple[int, int, int]]:
     """Values in a credential context that reach beyond base spans and are costly to guess.
 
     A value may itself announce another; one inside a found value is part of it.
+    Values come by start, so one walk over the joined base spans serves all of them.
     """
-    out = []
-    stop = found = 0
+    out, covered = [], joined(base)
+    stop = found = k = 0
     for m in RE_CONTEXT.finditer(text):
         a = m.end()
         if a >= stop:  # values that start within a run of such characters end with it
             stop = RE_VALUE.match(text, a).end()
         if a < found:
             continue
-        at = a
-        for s, _, e in base:
-            if s <= at < e:
-                at = e
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        at = covered[k][1] if k < len(covered) and covered[k][0] <= a else a
         if at < stop and guess_cost(text[a:stop], min_log10) >= min_log10:
             out.append((a, 3, stop))
             found = stop
