@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import table
 
 WIDTH, CONTAINMENT, BANDS = 5, 0.8, 48
+#: Shingles of a text whose band minima are held at once (or those of the longest template, if more).
+CHUNK = 1 << 14
 # License notices, by name.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -74,26 +76,40 @@ class Index:
             m = 1 << max(0, int(np.ceil(np.log2(max(1, len(sh))))))
             self.classes.setdefault(m, []).append((number, sh, minima(sh, bands)))
 
-    def find(self, text: str | None, containment: float) -> list[tuple[int, float, int]]:
-        """``(template, containment, first shingle of the window)``, the best window each."""
-        sh = shingles(text, self.width)
-        found: list[tuple[int, float, int, set[int]]] = []
-        if not len(sh):
-            return []
-        level, at = sh[None, :] * _ODD[1, : self.bands, None], 1
+    def _look(self, sh: np.ndarray, start: int, step: int, widest: int, best: dict) -> None:
+        """Keeps in ``best`` each template's fullest window, the first of equals, of those that begin in the ``step`` shingles from ``start``."""
+        last = start + step >= len(sh)
+        # a window that begins in the last block ends in the one after it
+        level, at = sh[None, start : start + step + widest] * _ODD[1, : self.bands, None], 1
         for m in sorted(self.classes):
             while at < m:  # minima of twice as many shingles
                 if level.shape[1] % 2:
                     level = np.hstack([level, level[:, -1:]])
                 level, at = np.minimum(level[:, ::2], level[:, 1::2]), at * 2
             window = np.minimum(level, np.hstack([level[:, 1:], level[:, -1:]]))
+            if not last:
+                window = window[:, : step // m]
             for number, terms, least in self.classes[m]:
-                best = (0.0, 0, set())
                 for w in np.flatnonzero((window == least[:, None]).any(axis=0)).tolist():
-                    held = terms[np.isin(terms, sh[w * m : (w + 2) * m])]
-                    best = max(best, (len(held) / len(terms), -w * m, set(held.tolist())), key=lambda x: x[:2])
-                if best[0] >= containment:
-                    found.append((number, best[0], -best[1], best[2]))
+                    first = start + w * m
+                    held = terms[np.isin(terms, sh[first : first + 2 * m])]
+                    fuller = (len(held) / len(terms), -first, set(held.tolist()))
+                    best[number] = max(best.get(number, (0.0, 0, set())), fuller, key=lambda x: x[:2])
+
+    def find(self, text: str | None, containment: float) -> list[tuple[int, float, int]]:
+        """``(template, containment, first shingle of the window)``, the best window each.
+
+        A long text is looked at chunk by chunk; chunks overlap by the longest window's second half.
+        """
+        sh = shingles(text, self.width)
+        if not len(sh):
+            return []
+        widest = max(self.classes)
+        step = -(-CHUNK // widest) * widest  # whole windows of every class
+        best: dict[int, tuple[float, int, set[int]]] = {}
+        for start in range(0, len(sh), step):
+            self._look(sh, start, step, widest, best)
+        found = [(number, c, -at, held) for number, (c, at, held) in best.items() if c >= containment]
         # a template whose shingles here all belong to a fuller match is another version of it
         return [(n, c, at) for n, c, at, held in found if not any(c < d and held <= more for _, d, _, more in found)]
 
