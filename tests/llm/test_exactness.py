@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -371,3 +373,56 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for name in ("labels", "benchmark"):
         table(spark, str(tmp_path), name).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+# --- very long texts ---------------------------------------------------------
+def test_a_log_of_tokens_is_walked_once():
+    line = "token: abcdefgh{:07d} pwd=x9$Kq2!vLr7 auth: password\n"
+    text = "".join(line.format(i) for i in range(100_000))
+    began = time.process_time()
+    found = secret_scan.spans(text)
+    assert len(text) > 5_000_000 and time.process_time() - began < 30
+    size, few = len(line.format(0)), secret_scan.spans("".join(line.format(i) for i in range(3)))
+    assert [(a % size, k, b - a) for a, k, b in found] == [(a % size, k, b - a) for a, k, b in few[: len(few) // 3]] * 100_000
+
+
+def test_context_values_reach_beyond_base_spans():
+    rng = random.Random(4)
+    parts = ["token=", "auth: ", "pwd=", "abcdefgh12", "x9$Kq2!v", "0123456789abcdef" * 2, "AKIA" + "Z" * 14, '"', " ", "\n", "password", "é"]
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        base = secret_scan.base_spans(text)
+        want, reach = [], 0
+        for m in secret_scan.RE_CONTEXT.finditer(text):
+            a, at = m.end(), m.end()
+            stop = secret_scan.RE_VALUE.match(text, a).end()
+            for s, _, e in base:  # every base span for every value
+                at = e if s <= at < e else at
+            if a >= reach and at < stop and secret_scan.guess_cost(text[a:stop]) >= 8.0:
+                want.append((a, 3, stop))
+                reach = stop
+        assert secret_scan.guess_spans(text, base, 8.0) == want, text
+
+
+def test_licences_of_a_long_text_need_no_more_memory_than_its_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"l{i}" for i in range(3_000))  # as long as a whole licence
+    index = license_scan.Index([*license_scan.TEMPLATES, ("long", long)])
+    words = np.array([f"w{i}" for i in range(5_000)])[rng.integers(0, 5_000, 900_000)].tolist()
+    for at in (16_000, 32_750, 65_500, 700_001):  # across chunks too
+        words[at : at + 29] = license_scan.TEMPLATES[1][1].split()
+    words[300_000:303_000] = long.split()
+    text = " ".join(words)
+    tracemalloc.start()
+    got = index.find(text, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 5_000_000 and peak < 200e6, peak
+    monkeypatch.setattr(license_scan, "CHUNK", 1 << 22)  # all windows at once
+    assert sorted(n for n, _, _ in got) == [1, len(license_scan.TEMPLATES)] and got == index.find(text, 0.8)
+    for n in (0, 1, 4, 5, 16_383, 16_384, 16_389, 20_480):
+        short = " ".join(words[15_000 : 15_000 + n])
+        with monkeypatch.context() as small:
+            small.setattr(license_scan, "CHUNK", 64)
+            cut = license_scan.Index(license_scan.TEMPLATES).find(short, 0.5)
+        assert cut == license_scan.Index(license_scan.TEMPLATES).find(short, 0.5)
