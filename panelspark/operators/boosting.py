@@ -195,7 +195,9 @@ def fit_blocks(
         known = rows.where((F.col("target_date") <= until) & F.col("target").isNotNull()).where(lags)
         data, block.names = _dataset(known.where(F.col("target_date") <= fitted), clim, past, rho)
         # validation targets may be known only after the split: origins part the rows, as a forecast would see them
-        block.training = written(chronological_split(data.select("city", "origin", "horizon", "label", "features"), validation_days), "training")
+        training = chronological_split(data.select("city", "origin", "horizon", "label", "features"), validation_days)
+        # every round passes over these rows several times: deal them evenly once, by their key
+        block.training = written(training.repartition("city", "origin", "horizon"), "training")
         block.models = {q: boost(block.training.select("features", "label", "validation"), q, **boosting) for q in quantiles}
         middle = min(quantiles, key=lambda q: abs(q - 0.5))
         own = block.models[middle].score(block.training.select("horizon", "features"))
