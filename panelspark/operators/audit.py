@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.lineage import written
+from panelspark.functions.quantiles import average_ranks
 from panelspark.functions.special import chi2_tail, f_tail, ks_tail, normal_test, t_tail
 from panelspark.functions.stats import safe_corr
 from panelspark.operators.descriptive import cross_city_correlation, eta_squared
@@ -59,13 +60,9 @@ def correlation_significance(panel: DataFrame, columns, target: str = "temp_avg"
     """
     long = panel.select(_number(target).alias("y"), *[_number(c).alias(c) for c in columns]).unpivot(["y"], list(columns), "variable", "x").where("x is not null and y is not null")
 
-    def ranks(df: DataFrame, c: str) -> DataFrame:
-        """Average ranks from counts by value: the windows see one row a value, partitioned by channel."""
-        by = df.groupBy("variable", c).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.partitionBy("variable").orderBy(c))
-        return by.select("variable", c, (upto - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
-
-    ranked = long.join(ranks(long, "x"), ["variable", "x"]).join(ranks(long, "y"), ["variable", "y"])
+    ranked = long
+    for c in ("x", "y"):
+        ranked = ranked.join(average_ranks(long, ["variable"], c, f"rank_{c}"), ["variable", c])
     out = ranked.groupBy("variable").agg(F.count("*").alias("n"), safe_corr(F.col("x"), F.col("y")).alias("pearson_r"), safe_corr(F.col("rank_x"), F.col("rank_y")).alias("spearman_rho"))
 
     def p(r: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.quantiles import with_quantiles
+from panelspark.functions.quantiles import average_ranks, with_quantiles
 from panelspark.functions.stats import MONTHS, SEASONS, month_name, safe_corr, season
 
 # Upper bounds of the air-quality classes, in order.
@@ -136,7 +136,7 @@ def channel_correlation(panel: DataFrame, columns, method: str = "pearson") -> D
     """Pairwise-complete correlations of all channel pairs in one aggregate, then one row per pair.
 
     ``spearman`` correlates average ranks over the rows that have both
-    channels; ranks come from counts by value, one channel pair a partition.
+    channels; ranks come from counts by value over ranges of each pair's values.
     """
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
@@ -149,12 +149,9 @@ def channel_correlation(panel: DataFrame, columns, method: str = "pearson") -> D
     long = panel.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(a).alias("x"), value(b).alias("y")) for a, b in pairs])).alias("p")).select("p.*")
     long = long.where("x is not null and y is not null")
 
-    def ranks(c: str) -> DataFrame:
-        by = long.groupBy("a", "b", c).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.partitionBy("a", "b").orderBy(c))
-        return by.select("a", "b", c, (upto - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
-
-    ranked = long.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
+    ranked = long
+    for c in ("x", "y"):
+        ranked = ranked.join(average_ranks(long, ["a", "b"], c, f"rank_{c}"), ["a", "b", c])
     return ranked.groupBy("a", "b").agg(safe_corr(F.col("rank_x"), F.col("rank_y")).alias("r"))
 
 

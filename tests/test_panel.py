@@ -134,3 +134,24 @@ def test_quantiles_by_selection(spark, ranges):
     whole = quantiles(df, [], "x", shares, ranges).first()
     assert [whole[n] for n in shares] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), list(shares.values())).tolist(), abs=1e-12)
     assert quantiles(df.limit(0), ["g"], "x", shares).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_average_ranks_over_ranges(spark, ranges):
+    import numpy as np
+    import pandas as pd
+    from panelspark.functions.quantiles import average_ranks
+
+    r = np.random.default_rng(5)
+    # all distinct, one value in most rows, all alike, a lone row
+    groups = {"a": r.normal(size=700), "b": np.where(r.random(900) < 0.7, 0.0, r.integers(-3, 4, 900)), "c": np.full(40, 2.5), "d": np.array([1.0])}
+    data = [(g, float(v)) for g, x in groups.items() for v in x]
+    df = spark.createDataFrame([*data, ("a", None), ("e", None)], "g string, x double").repartition(5)
+    got = {(q.g, q.x): q.place for q in average_ranks(df, ["g"], "x", "place", ranges).collect()}
+    p = pd.DataFrame(data, columns=["g", "x"])
+    p["place"] = p.groupby("g").x.rank()
+    want = {(g, x): place for g, x, place in p.itertuples(index=False)}
+    assert got == want
+    assert average_ranks(df.limit(0), ["g"], "x", "place", ranges).count() == 0
+    plan = average_ranks(df, ["g"], "x", "place")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(g#" in plan and all("_range#" in line for line in plan.split("\n") if "windowspecdefinition" in line)
