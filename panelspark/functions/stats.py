@@ -15,9 +15,14 @@ def null_nan(c: Column) -> Column:
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson correlation; null where a side is constant."""
+    """Pairwise-complete Pearson correlation; null where a side is constant.
+
+    Extremes tell a constant: its deviation, merged from several tasks, can round to more than zero.
+    """
     both = x.isNotNull() & y.isNotNull()
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+    x, y = F.when(both, x), F.when(both, y)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def season_id(month: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 from oracle import connect, differences  # noqa: E402
 
-from panelspark.operators import anomaly, descriptive, evaluate, features, forecast
+from panelspark.operators import anomaly, audit, descriptive, evaluate, features, forecast
 from panelspark.plans import queries as plans
 from panelspark.sources import panel as source
 
@@ -49,6 +49,22 @@ def test_constant_channel_has_no_correlation(spark):
     assert descriptive.channel_correlation(p, ("temp_avg", "h")).first().r is None
 
 
+@pytest.fixture(scope="module")
+def dealt(spark):
+    """Constant channels in many tasks, whose merged deviations are not exactly zero."""
+    i = F.col("id")  # 98 rows a task: 1.0 / 98 * 98 is not 1.0
+    p = spark.range(0, 98 * 6, 1, 6).select(
+        F.lit("A").alias("city"), F.date_add(F.lit(dt.date(2020, 1, 1)), i.cast("int")).alias("date"), (i * i % 17).cast("double").alias("temp_avg"),
+        F.lit(2.0).alias("temp_max"), F.lit(1.0).alias("temp_min"), (i % 7).cast("double").alias("cloud_cover"),
+    )
+    assert p.agg(F.stddev_pop("temp_min")).first()[0] > 0
+    return p
+
+
+def test_constant_diurnal_range_has_no_correlation(dealt):
+    assert descriptive.diurnal_profile(dealt).first().corr_cloud is None
+
+
 def test_history_ignores_the_future(spark):
     p = rows(spark, [(i, float(i * i % 17)) for i in range(60)])
     cut = dt.date(2020, 2, 9)
