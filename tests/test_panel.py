@@ -65,6 +65,12 @@ def test_constant_diurnal_range_has_no_correlation(dealt):
     assert descriptive.diurnal_profile(dealt).first().corr_cloud is None
 
 
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_constant_channels_in_many_tasks_have_no_correlation(dealt, method):
+    got = {(r.a, r.b): r.r for r in descriptive.channel_correlation(dealt, ("temp_avg", "temp_max", "temp_min", "cloud_cover"), method).collect()}
+    assert {k for k, r in got.items() if r is not None} == {("temp_avg", "cloud_cover")}
+
+
 def test_history_ignores_the_future(spark):
     p = rows(spark, [(i, float(i * i % 17)) for i in range(60)])
     cut = dt.date(2020, 2, 9)
