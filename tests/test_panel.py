@@ -71,6 +71,12 @@ def test_constant_channels_in_many_tasks_have_no_correlation(dealt, method):
     assert {k for k, r in got.items() if r is not None} == {("temp_avg", "cloud_cover")}
 
 
+def test_constant_channels_in_many_tasks_are_not_informative(dealt):
+    got = {r.variable: r for r in audit.exogenous(dealt, ("temp_max", "temp_min", "cloud_cover")).collect()}
+    assert [got[c].pearson_r for c in ("temp_max", "temp_min")] == [None, None] and not got["temp_max"].informative
+    assert got["cloud_cover"].pearson_r is not None
+
+
 def test_history_ignores_the_future(spark):
     p = rows(spark, [(i, float(i * i % 17)) for i in range(60)])
     cut = dt.date(2020, 2, 9)
