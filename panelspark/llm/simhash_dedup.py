@@ -121,8 +121,10 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: one row of each group of five-word Jaccard 0.8 or more.
 
-    The contract's fingerprints and radius are op9's alone: texts of that
-    similarity often differ in more bits, so the stage searches exactly.
+    The contract's 64 bits and radius of 2 are op9's alone: texts of that
+    similarity often differ in more, so the stage takes SimHash fingerprints of
+    768 bits, counts shared positional bytes, checks the Hamming distance with
+    a radius to match and verifies what is within it.
     """
     from panelspark.llm import jaccard_dedup
 

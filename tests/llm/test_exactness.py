@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, embedding_dedup, license_scan, quality, secret_scan, simhash_dedup, sp_sampling, suffix_dedup, url_filter
+from panelspark.llm import decontaminate, embedding_dedup, jaccard_dedup, license_scan, quality, secret_scan, simhash_dedup, sp_sampling, suffix_dedup, url_filter
 from panelspark.llm.common import table
 from tests.llm.test_operators import brute_components, brute_repeats
 
@@ -426,3 +426,25 @@ def test_licences_of_a_long_text_need_no_more_memory_than_its_words(monkeypatch)
             small.setattr(license_scan, "CHUNK", 64)
             cut = license_scan.Index(license_scan.TEMPLATES).find(short, 0.5)
         assert cut == license_scan.Index(license_scan.TEMPLATES).find(short, 0.5)
+
+
+# --- near copies in the pipeline ------------------------------------------------
+def test_near_dedup_stage_decides_by_simhash():
+    """Fingerprints against plain votes; similar sets are close, others are left out before any set is compared."""
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 2**64, 301, dtype=np.uint64))
+    one = np.array([np.unpackbits(np.frombuffer(jaccard_dedup.fingerprint(h[i : i + 1]), np.uint8)) for i in range(len(h))], int)
+    want = np.packbits(one.sum(axis=0) * 2 > len(h)).tobytes()
+    assert jaccard_dedup.fingerprint(h) == want and jaccard_dedup.fingerprint(h[:0]) == bytes(jaccard_dedup.BYTES)
+    left, right = [], []
+    for k, (both, own, other) in enumerate([(4, 0, 1), (12, 0, 3), (20, 2, 3), (80, 9, 11), (320, 40, 40)] * 20):
+        z = rng.integers(0, 2**64, both + own + other, dtype=np.uint64)
+        left.append((k, jaccard_dedup.fingerprint(z[: both + own])))
+        right.append((1000 + k, jaccard_dedup.fingerprint(np.concatenate([z[:both], z[both + own :]]))))
+    x, y = (np.array([np.frombuffer(f, np.uint8) for _, f in side]) for side in (left, right))
+    bits = np.array([[np.unpackbits(a ^ b).sum() for b in y] for a in x])
+    near = jaccard_dedup.close(x, y)
+    assert (near == (((x[:, None] == y).sum(axis=2) >= jaccard_dedup.MIN_BYTES) & (bits <= jaccard_dedup.RADIUS))).all()
+    assert (near == np.eye(len(x), dtype=bool)).all()
+    got = jaccard_dedup.screen(7, 8, left[:50], right[25:]).to_pydict()
+    assert set(got["v"]) == set(range(25, 50)) | set(range(1025, 1050))
