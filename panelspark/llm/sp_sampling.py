@@ -39,17 +39,28 @@ M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.ui
 
 def mix(x) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = np.asarray(x).astype(np.uint64) * M3 + np.uint64(SEED)
-        x = (x ^ (x >> np.uint64(30))) * M1
-        x = (x ^ (x >> np.uint64(27))) * M2
-        return x ^ (x >> np.uint64(31))
+        x = np.asarray(x).astype(np.uint64)  # a copy, changed in place
+        x *= M3
+        x += np.uint64(SEED)
+        x ^= x >> np.uint64(30)
+        x *= M1
+        x ^= x >> np.uint64(27)
+        x *= M2
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def uniform(base, place, what) -> np.ndarray:
     """Numbers in (0, 1) from a mixed row key, a place and a purpose: the same wherever drawn."""
     with np.errstate(over="ignore"):
-        x = mix(base + np.asarray(place).astype(np.uint64) * M1 + np.uint64(what) * M2)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        x = np.asarray(place).astype(np.uint64)
+        x *= M1
+        x = x + base
+        x += np.uint64(what) * M2
+    u = (mix(x) >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 @lru_cache(maxsize=4)
@@ -193,7 +204,8 @@ class Vocabulary:
         """Text of piece ids as UTF-8; the leading space that encoding adds is dropped."""
         size = self.size[ids]
         ends = np.cumsum(size)
-        at = np.repeat(self.first[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.repeat(self.first[ids] - (ends - size), size)
+        at += np.arange(len(at))
         return self.flat[at].tobytes()[1:]
 
 
@@ -256,7 +268,7 @@ class Tables:
         spelled = [[vocab.byte_id[b] for b in text[i].encode("utf-8", "surrogatepass")] for i in start[lone].tolist()]
         count = np.ones(len(piece), np.int64)
         count[lone] = [len(x) for x in spelled]
-        self.id_end = np.cumsum(count)
+        self.id_size, self.id_end = count, np.cumsum(count)
         self.ids = np.repeat(piece, count)
         self.ids[self.ids < 0] = [i for x in spelled for i in x]
 
@@ -290,8 +302,7 @@ class Tables:
         return np.arange(self.first[node], self.first[node + 1])
 
     def pieces(self, arcs: np.ndarray) -> np.ndarray:
-        end = self.id_end[arcs]
-        size = end - np.where(arcs > 0, self.id_end[arcs - 1], 0)
+        end, size = self.id_end[arcs], self.id_size[arcs]
         at = np.cumsum(size)
         return self.ids[np.repeat(end - at, size) + np.arange(at[-1] if len(at) else 0)]
 
@@ -364,7 +375,7 @@ def _sample(tables: Tables, node: np.ndarray, sizes: np.ndarray, seeds: np.ndarr
     first_unit = np.cumsum(sizes) - sizes
     base = mix(seeds)
     who, arcs = tables.walk(node, base[doc], np.arange(len(node)) - first_unit[doc])
-    ends = np.searchsorted(doc[who], np.arange(n), side="right")
+    ends = np.searchsorted(who, first_unit + sizes)
     arrival = -np.log(uniform(base, 0, ROOT))
     found = _regions(tables.lp[arcs], np.zeros(n), arrival, base, np.zeros(n, np.int64), ends, k)
     done: list[list] = []
@@ -415,8 +426,7 @@ def _sample(tables: Tables, node: np.ndarray, sizes: np.ndarray, seeds: np.ndarr
             done[d].append((float(tables.lp[path].sum()), t, path, unit))
     paths = [x[2] for own in done for x in own]
     pieces, size = tables.pieces(np.concatenate(paths)) if paths else np.zeros(0, np.int64), np.array([len(x) for x in paths])
-    last = np.concatenate([[0], tables.id_end])
-    per_arc = np.concatenate([[0], np.cumsum(np.diff(last)[np.concatenate(paths)])]) if paths else np.zeros(1, np.int64)
+    per_arc = np.concatenate([[0], np.cumsum(tables.id_size[np.concatenate(paths)])]) if paths else np.zeros(1, np.int64)
     edge = per_arc[np.concatenate([[0], np.cumsum(size)])].tolist()
     result, at = [], 0
     for own, heap in zip(done, heaps):

@@ -448,3 +448,21 @@ def test_near_dedup_stage_decides_by_simhash():
     assert (near == np.eye(len(x), dtype=bool)).all()
     got = jaccard_dedup.screen(7, 8, left[:50], right[25:]).to_pydict()
     assert set(got["v"]) == set(range(25, 50)) | set(range(1025, 1050))
+
+
+# --- segmentations --------------------------------------------------------------
+def test_random_numbers_leave_their_keys_alone():
+    """Numbers are drawn in place: keys keep their values, and one by one or in a row gives the same."""
+    keys, places = np.arange(50, dtype=np.uint64), np.arange(50, dtype=np.int64)
+    base = sp_sampling.mix(keys)
+    u = sp_sampling.uniform(base, places, sp_sampling.SPLIT)
+    assert (keys == np.arange(50)).all() and (places == np.arange(50)).all() and (base == sp_sampling.mix(keys)).all()
+    assert [float(sp_sampling.uniform(base[i], i, sp_sampling.SPLIT)) for i in range(50)] == u.tolist()
+    assert ((u > 0) & (u < 1)).all() and len(set(u.tolist())) == 50
+
+
+def test_pieces_of_arcs_with_several_ids():
+    vocab = sp_sampling.vocabulary(sp_sampling.MODEL)
+    texts = ["a \u6f22\U0001f600 b", "", "then \u2603"]
+    for text, found in zip(texts, sp_sampling.sample(texts, np.arange(3, dtype=np.uint64), vocab, 2)):
+        assert all(vocab.decode(p) == text.encode() for *_, p in found)
