@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.lineage import written
+
 #: Ranges that a group's values are cut into; each is sorted by itself, for quantiles only those that hold an asked rank.
 RANGES = 64
 
@@ -19,14 +21,16 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], *on: str) -> DataFrame:
     return a.join(b, [*keys, *on]) if keys or on else a.crossJoin(F.broadcast(b))  # without keys b is one row
 
 
-def _ranges(rows: DataFrame, keys: list[str], value: str, ranges: int) -> tuple[DataFrame, DataFrame]:
+def _ranges(rows: DataFrame, keys: list[str], value: str, ranges: int, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(keys, _v, _c, _n, _range)``, the distinct values with their counts, and ``(keys, _range, _held, _n, _start)``, the rows in a range and before it.
 
     Equal values are counted where they are read; approximate quantiles of the distinct values are the edges.
+    They depend on the order in which tasks' sketches merge; with ``once`` they are written, so that both tables have the same.
     """
     counted = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     edges = F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(ranges * 20))
     groups = counted.groupBy(*keys).agg(edges.alias("_edges"), F.sum("_c").alias("_n"))
+    groups = written(groups, "edges") if once else groups
     dealt = _join(counted, groups, keys).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
     held = dealt.groupBy(*keys, "_range").agg(F.sum("_c").alias("_held"), F.max("_n").alias("_n"))
@@ -37,9 +41,10 @@ def average_ranks(rows: DataFrame, keys, value: str, name: str, ranges: int = RA
     """``(keys, value, name)``: each distinct value's average rank from 1 in its group of ``keys`` (one or more, not null).
 
     Running counts see one row a distinct value of one range. NaN ranks above all numbers; nulls have no row.
+    ``rows`` are read more than once and must have the same values each time, to the last bit.
     """
     keys = list(keys)
-    dealt, held = _ranges(rows, keys, value, max(2, ranges))
+    dealt, held = _ranges(rows, keys, value, max(2, ranges), once=True)
     inner = Window.partitionBy(*keys, "_range").orderBy("_v")
     upto = F.col("_start") + F.sum("_c").over(inner)
     counted = dealt.drop("_n").join(held.select(*keys, "_range", "_start"), [*keys, "_range"])

@@ -58,7 +58,8 @@ def correlation_significance(panel: DataFrame, columns, target: str = "temp_avg"
     Every channel is compared with its own threshold; a failure does not stop
     those after it.
     """
-    long = panel.select(_number(target).alias("y"), *[_number(c).alias(c) for c in columns]).unpivot(["y"], list(columns), "variable", "x").where("x is not null and y is not null")
+    fixed = written(panel.select(_number(target).alias("y"), *[_number(c).alias(c) for c in columns]), "channels")  # rows meet their ranks by value
+    long = fixed.unpivot(["y"], list(columns), "variable", "x").where("x is not null and y is not null")
 
     ranked = long
     for c in ("x", "y"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.lineage import written
 from panelspark.functions.quantiles import average_ranks, with_quantiles
 from panelspark.functions.stats import MONTHS, SEASONS, month_name, safe_corr, season
 
@@ -137,6 +138,8 @@ def channel_correlation(panel: DataFrame, columns, method: str = "pearson") -> D
 
     ``spearman`` correlates average ranks over the rows that have both
     channels; ranks come from counts by value over ranges of each pair's values.
+    Rows meet their ranks by value, so the channels are written once: computed
+    anew, sums merged in another order end in other bits and lose their ranks.
     """
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
@@ -145,8 +148,8 @@ def channel_correlation(panel: DataFrame, columns, method: str = "pearson") -> D
         return wide.unpivot([], wide.columns, "pair", "r").select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
     if method != "spearman":
         raise ValueError(f"unknown method {method}")
-    value = lambda c: F.col(c).cast("double")
-    long = panel.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(a).alias("x"), value(b).alias("y")) for a, b in pairs])).alias("p")).select("p.*")
+    fixed = written(panel.select(*[F.col(c).cast("double").alias(c) for c in cols]), "channels")
+    long = fixed.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("p")).select("p.*")
     long = long.where("x is not null and y is not null")
 
     ranked = long

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 from oracle import connect, differences  # noqa: E402
 
+from panelspark.functions import quantiles
 from panelspark.operators import anomaly, audit, descriptive, evaluate, features, forecast
 from panelspark.plans import queries as plans
 from panelspark.sources import panel as source
@@ -77,6 +78,32 @@ def test_constant_channels_in_many_tasks_are_not_informative(dealt):
     assert got["cloud_cover"].pearson_r is not None
 
 
+@pytest.fixture(scope="module")
+def unsteady():
+    """A column with other last bits each time it is computed, as sums merged in another order have."""
+    return F.udf(lambda v: v + os.urandom(1)[0] * 2.0**-44, "double").asNondeterministic()
+
+
+def test_ranks_keep_rows_whose_last_bits_change(spark, unsteady):
+    i = F.col("id")  # 0 to 210 in another order: ranks are values
+    p = spark.range(0, 211, 1, 3).select(unsteady(i.cast("double")).alias("x"), unsteady((i * 7 % 211).cast("double")).alias("y"))
+    apart = sum((k - k * 7 % 211) ** 2 for k in range(211))
+    assert descriptive.channel_correlation(p, ("x", "y"), "spearman").first().r == pytest.approx(1 - 6 * apart / (211 * (211**2 - 1)), abs=1e-12)
+
+
+def test_ranks_agree_on_the_edges_of_ranges(spark, monkeypatch):
+    """Edges that differ each time they are computed, as those of sketches merged in another order do."""
+    edges = F.udf(lambda n: sorted(b / 256 * n for b in os.urandom(7)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda v, shares, accuracy: edges(F.count(v)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        p = spark.range(300).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v"))
+        got = quantiles.average_ranks(p, ["k"], "v", "r").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(got) == 300 and all(r.r == r.v + 1 for r in got)
+
+
 def test_history_ignores_the_future(spark):
     p = rows(spark, [(i, float(i * i % 17)) for i in range(60)])
     cut = dt.date(2020, 2, 9)
