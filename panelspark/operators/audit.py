@@ -25,6 +25,15 @@ def _number(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def _channels(panel: DataFrame, columns, target: str) -> DataFrame:
+    """The channels with the target as ``y``, written once: sums that are merged anew can end in other last bits."""
+    return written(panel.select(_number(target).alias("y"), *[_number(c).alias(c) for c in columns]), "channels")
+
+
+def _beside(channels: DataFrame, columns) -> DataFrame:
+    return channels.unpivot(["y"], list(columns), "variable", "x").where("x is not null and y is not null")
+
+
 def distribution_shape(panel: DataFrame, column: str = "temp_avg") -> DataFrame:
     """Moments per series and tests against the normal and the uniform of its own range, over all rows."""
     own = Window.partitionBy("city")
@@ -58,8 +67,7 @@ def correlation_significance(panel: DataFrame, columns, target: str = "temp_avg"
     Every channel is compared with its own threshold; a failure does not stop
     those after it.
     """
-    fixed = written(panel.select(_number(target).alias("y"), *[_number(c).alias(c) for c in columns]), "channels")  # rows meet their ranks by value
-    long = fixed.unpivot(["y"], list(columns), "variable", "x").where("x is not null and y is not null")
+    long = _beside(_channels(panel, columns, target), columns)  # rows meet their ranks by value
 
     ranked = long
     for c in ("x", "y"):
@@ -103,8 +111,12 @@ def mutual_information(panel: DataFrame, columns, target: str = "temp_avg", bins
     """Mutual information of each channel with the target over equal-width bins, less its small-sample bias.
 
     Counts are pre-aggregated by bin pair, so later steps see at most ``bins`` squared rows a channel.
+    Bins start at the least value, so a second reading must not find a lesser one: channels are written once.
     """
-    long = panel.select(_number(target).alias("y"), *[_number(c).alias(c) for c in columns]).unpivot(["y"], list(columns), "variable", "x").where("x is not null and y is not null")
+    return _information(_beside(_channels(panel, columns, target), columns), bins)
+
+
+def _information(long: DataFrame, bins: int = 16) -> DataFrame:
     span = long.groupBy("variable").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     at = lambda v, lo, hi: F.coalesce(F.least(F.floor(bins * F.try_divide(F.col(v) - F.col(lo), F.col(hi) - F.col(lo))), F.lit(bins - 1)), F.lit(0))
     cells = long.join(F.broadcast(span), "variable").groupBy("variable", at("x", "x0", "x1").alias("bx"), at("y", "y0", "y1").alias("by")).agg(F.count("*").alias("c"))  # one row a channel
@@ -116,8 +128,9 @@ def mutual_information(panel: DataFrame, columns, target: str = "temp_avg", bins
 
 def exogenous(panel: DataFrame, columns, target: str = "temp_avg") -> DataFrame:
     """Linear and general dependence of the target on each channel."""
-    r = panel.agg(*[safe_corr(_number(c), _number(target)).alias(c) for c in columns]).unpivot([], list(columns), "variable", "pearson_r")
-    out = r.join(mutual_information(panel, columns, target), "variable", "left")
+    fixed = _channels(panel, columns, target)
+    r = fixed.agg(*[safe_corr(F.col(c), F.col("y")).alias(c) for c in columns]).unpivot([], list(columns), "variable", "pearson_r")
+    out = r.join(_information(_beside(fixed, columns)), "variable", "left")
     return out.withColumn("informative", F.coalesce((F.abs("pearson_r") > 0.15) | (F.col("mutual_info") > 0.05), F.lit(False)))
 
 

@@ -104,6 +104,14 @@ def test_ranks_agree_on_the_edges_of_ranges(spark, monkeypatch):
     assert len(got) == 300 and all(r.r == r.v + 1 for r in got)
 
 
+def test_bins_hold_rows_whose_last_bits_change(spark, unsteady):
+    i, names = F.col("id"), [f"c{k}" for k in range(8)]
+    p = spark.range(0, 960, 1, 3).select((i % 16 + i % 3 * 4).cast("double").alias("temp_avg"), (i % 16).cast("double").alias("steady"), *[unsteady((i % 16).cast("double")).alias(c) for c in names])
+    for rows in (audit.exogenous(p, ["steady", *names]).collect(), audit.mutual_information(p, ["steady", *names]).collect()):
+        got = {r.variable: r.mutual_info for r in rows}
+        assert got["steady"] > 0 and [got[c] for c in names] == pytest.approx([got["steady"]] * 8, abs=1e-12)
+
+
 def test_history_ignores_the_future(spark):
     p = rows(spark, [(i, float(i * i % 17)) for i in range(60)])
     cut = dt.date(2020, 2, 9)
