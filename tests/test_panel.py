@@ -91,6 +91,12 @@ def test_ranks_keep_rows_whose_last_bits_change(spark, unsteady):
     assert descriptive.channel_correlation(p, ("x", "y"), "spearman").first().r == pytest.approx(1 - 6 * apart / (211 * (211**2 - 1)), abs=1e-12)
 
 
+def test_significance_keeps_rows_whose_last_bits_change(spark, unsteady):
+    i = F.col("id")
+    p = spark.range(0, 211, 1, 3).select(unsteady((i * 7 % 211).cast("double")).alias("temp_avg"), unsteady(i.cast("double")).alias("x"))
+    assert audit.correlation_significance(p, ("x",)).first().n == 211
+
+
 def test_ranks_agree_on_the_edges_of_ranges(spark, monkeypatch):
     """Edges that differ each time they are computed, as those of sketches merged in another order do."""
     edges = F.udf(lambda n: sorted(b / 256 * n for b in os.urandom(7)), "array<double>").asNondeterministic()
