@@ -450,6 +450,29 @@ def test_near_dedup_stage_decides_by_simhash():
     assert set(got["v"]) == set(range(25, 50)) | set(range(1025, 1050))
 
 
+def test_near_dedup_stage_links_what_fingerprints_hold_apart(spark):
+    """Two texts of similarity 0.8 whose fingerprints differ in 218 of 768 bits, found by search."""
+    one = " ".join(f"w105398x{i}" for i in range(8))
+    two = one + " z71438"
+    fps = [np.frombuffer(jaccard_dedup.fingerprint(jaccard_dedup.shingles(t)), np.uint8)[None] for t in (one, two)]
+    assert np.unpackbits(fps[0] ^ fps[1]).sum() == 218 and not jaccard_dedup.close(*fps).any()
+    rows = [(3, one), (2, two), (5, "w105398x0 other words that share none of the shingles")]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 5]
+
+
+def test_parities_leave_every_similar_pair_possible():
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (4, 30, 400, 470, 500, 512, 513, 600, 1000, 1100, 5000)]
+    near = [np.concatenate([h[k:], rng.integers(0, 2**64, j, dtype=np.uint64)]) for h in sets for k, j in [(0, len(h) // 4), (len(h) // 5, 0), (len(h) // 9, len(h) // 9)]]
+    bits = [jaccard_dedup.parities(h) for h in (*sets, *near)]
+    got = jaccard_dedup.possible(bits, bits, 0.8, np.zeros((len(bits), len(bits)), bool))
+    both = [set(h.tolist()) for h in (*sets, *near)]
+    like = np.array([[len(a & b) / len(a | b) for b in both] for a in both])
+    assert got[like >= 0.8 - 1e-9].all() and not got[like < 0.6].any() and (like >= 0.8 - 1e-9).sum() > 3 * len(near)
+    assert not jaccard_dedup.possible(bits, bits, 0.8, like < 2).any()
+
+
 # --- segmentations --------------------------------------------------------------
 def test_random_numbers_leave_their_keys_alone():
     """Numbers are drawn in place: keys keep their values, and one by one or in a row gives the same."""
